@@ -4,22 +4,81 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.decontam import contamination, contamination_digest
+from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
+from tessella.llm.sharding import shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in each document."""
+    documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return contamination_digest(contamination(documents, benchmark))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document."""
+    return shard(_table(spark, sf_dir, "documents")).drop("row_number")
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op8_sharding": op8_sharding,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key,
+                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2 AS cap FROM s),
+f AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS pool,
+             coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+g AS (SELECT *, cap / w * open + below <= pool AS is_full FROM f),
+h AS (SELECT *, coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS spent, sum(w) FILTER (NOT is_full) OVER () AS rest FROM g),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE w * (pool - spent) / rest END AS target FROM h),
+p AS (SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + least(greatest(budget - epochs * source_size - before, 0), size))::BIGINT AS taken FROM e
+"""
+
+OP4_SQL = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents, fold),
+i AS (SELECT item_id, regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, fold),
+g AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k + 9], ' ') AS g
+      FROM i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS r(k) WHERE len(ws) > 0),
+l AS (SELECT DISTINCT n FROM g),
+o AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM d, l, unnest(range(1, len(ws) - n + 2)) AS r(k)),
+m AS (SELECT o.doc_id, o.k, o.n, g.item_id FROM o JOIN g ON o.g = g.g AND o.n = g.n),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM m, unnest(range(k, k + n)) AS r(q) GROUP BY doc_id),
+j AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -39,5 +98,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.node = w.doc_id
 """
 
 ORACLES = {
+    "op3_mixing": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
     "op10_minhash_neardup": OP10_SQL,
 }
