@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.decontam import contamination, contamination_digest
+from tessella.llm.media import media_digest
 from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.sharding import shard
+from tessella.llm.token_files import token_file_digest
+from tessella.llm.tokenization import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +29,26 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contamination(documents, benchmark))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, from token files."""
+    return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
     return shard(_table(spark, sf_dir, "documents")).drop("row_number")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a media file, and what its boxes say."""
+    return media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -38,7 +57,10 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_token_files": op5_token_files,
+    "op6_token_counts": op6_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_media": op9_media,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
