@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+#: Bytes of text that gathered() puts together.
+GATHER_BYTES = 12_000_000
 _UPPER = bytes(range(65, 91))
 #: Byte tables for bytes.translate(). Both lower-case A-Z alone.
 #: SPACED: words are what stands between the bytes 20 and 09-0D.
@@ -24,6 +28,19 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until they hold `most` bytes: larger ones repeat more words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def mapped(texts: pa.StringArray, table: bytes) -> pa.StringArray:
     """texts with each byte sent through the 256-byte table; lengths stay."""
     _, ends, data = texts.buffers()

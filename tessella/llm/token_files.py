@@ -31,9 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import text_array
+from tessella.llm.arrowtext import gathered, text_array
 from tessella.llm.shared import bound_batches, kept, new_folder
-from tessella.llm.tokenization import CachedEncoder
+from tessella.llm.tokenization import worker_encoder
 
 MAGIC = b"TPLN1\0\0\0"
 CHUNK = 1 << 16
@@ -200,16 +200,18 @@ def write_token_files(
         draft = f"{root}/.{uuid.uuid4().hex}"
         encoder, writer, stream = None, None, None
         end = struct.pack("<I", end_id)
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                encoder, stream = CachedEncoder(tokenizer_path), fs.open_output_stream(draft)
+                encoder, stream = worker_encoder(tokenizer_path), fs.open_output_stream(draft)
                 writer = Writer(stream, planes)
-            texts = text_array(batch.column(1)).to_pylist()
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                writer.add(doc, ids + end)
+            counts, ids = encoder.encode(text_array(batch.column(1)))
+            raw, at = ids.tobytes(), 0
+            for doc, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                writer.add(doc, raw[at : at + 4 * n] + end)
+                at += 4 * n
         if writer is None:
             return
         writer.finish()

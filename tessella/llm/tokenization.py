@@ -6,21 +6,27 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import text_array
+from tessella.llm.arrowtext import SPACED, starts_of, text_array, words
 from tessella.llm.shared import bound_batches
 
 #: Bytes of text given to the library at a time, and of one segment of a long text.
 BATCH_BYTES = 1_000_000
 SEGMENT_BYTES = 64_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_200_000
 
+#: New words encoded at a time.
+_LINE = 2000
+#: Letters up to U+017F that lower-case one by one and are composed already.
+_PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+_MARKS = frozenset(".,;:!?")
 _BREAK = re.compile(r"(?<=\w)(?= \w)")
 
 
@@ -140,37 +146,115 @@ def count_tokens(
     )
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """flat's runs (starts, lengths) one after the other."""
+    return flat[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+
 class CachedEncoder:
     """Ids of texts for a tokenizer that drops white space: each distinct piece is encoded once.
 
-    Texts are cut at spaces and line feeds only, which such a tokenizer drops and
-    never joins over, so the pieces' ids in order are the text's.
+    Texts are cut at ASCII white space, which such a tokenizer drops and never
+    joins over, so the pieces' ids in order are the text's. Where it folds case,
+    A-Z are folded first. A new piece is put together from its word and the mark
+    at its end where both are plain, and new plain words are encoded as one line,
+    which end-of-word ids divide again.
     """
 
     def __init__(self, path: str, most: int = CACHE_PIECES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        splits = spec.get("pre_tokenizer", {}).get("pretokenizers", [{}])
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.cuts = splits[0].get("behavior") == "Removed" and bool(splits[0].get("invert"))
+        self.folds = self.cuts and "Lowercase" in kinds
+        self.specials = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
         self.tokenizer = load(path)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.folds:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.most = most
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > self.most:
-            self.cache = {"": b""}
-            new = [p for p in pieces if p]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for piece, ids in zip(some, _encode(self.tokenizer, some), strict=True):
-                self.cache[piece] = np.asarray(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if not self.cuts:
-            return [np.asarray(ids, "<u4").tobytes() for ids in _encode(self.tokenizer, texts)]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn({p for pieces in cut for p in pieces})
-        find = self.cache.__getitem__
-        return [b"".join(map(find, pieces)) for pieces in cut]
+        self.place: dict[str, int] = {}
+        self.flat, self.edges = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, ids.astype("<u4")])
+
+    def _runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = self.edges[places]
+        return starts, self.edges[places + 1] - starts
+
+    def _encode_words(self, words_: list[str]) -> None:
+        plain = [w for w in words_ if _PLAIN.fullmatch(w)] if self.ends is not None else []
+        lines = [plain[k : k + _LINE] for k in range(0, len(plain), _LINE)]
+        found = [np.asarray(_encode(self.tokenizer, [" ".join(line)])[0], "<u4") for line in lines]
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        cuts = np.flatnonzero(self.ends[ids]) + 1 if plain else np.zeros(0, np.int64)
+        if len(cuts) != len(plain):
+            raise ValueError("words and end-of-word ids disagree")
+        self._append(plain, ids, np.diff(cuts, prepend=0))
+        rest = [w for w in words_ if w not in self.place]
+        if rest:
+            parts = _encode(self.tokenizer, rest)
+            self._append(rest, np.array([i for ids in parts for i in ids], "<u4"), np.array([len(ids) for ids in parts]))
+
+    def _learn(self, new: list[str]) -> None:
+        whole, marked = [], []
+        for piece in new:
+            if self.ends is not None and piece[-1] in _MARKS and _PLAIN.fullmatch(piece, 0, len(piece) - 1):
+                marked.append(piece)
+            else:
+                whole.append(piece)
+        parts = {w for piece in marked for w in (piece[:-1], piece[-1])}.difference(self.place, whole)
+        self._encode_words([*whole, *parts])
+        if marked:
+            pairs = np.array([[self.place[piece[:-1]], self.place[piece[-1]]] for piece in marked]).ravel()
+            starts, lengths = self._runs(pairs)
+            self._append(marked, _gather(self.flat, starts, lengths), lengths.reshape(-1, 2).sum(axis=1))
+
+    def _places(self, names: list[str]) -> np.ndarray:
+        find = self.place.get
+        return np.fromiter((find(w, -1) for w in names), np.int64, len(names))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids in order) of texts without nulls."""
+        table = SPACED if self.folds else bytes(range(256))
+        raw = b"" if texts.buffers()[2] is None else texts.buffers()[2].to_pybytes().translate(SPACED)
+        if not self.cuts or any(special in raw for special in self.specials):
+            found = _encode(self.tokenizer, texts.to_pylist())
+            counts = np.array([len(ids) for ids in found], np.int64)
+            return counts, np.array([i for ids in found for i in ids], "<u4")
+        counts, codes, distinct = words(texts, table)
+        names = distinct.to_pylist()
+        places = self._places(names)
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            if len(self.place) + 2 * len(unknown) > self.most:
+                # What came first is what texts hold most.
+                half = min(len(self.place), self.most // 2)
+                self.place = dict(islice(self.place.items(), half))
+                self.edges, self.flat = self.edges[: half + 1], self.flat[: self.edges[half]]
+                places = self._places(names)
+                unknown = np.flatnonzero(places < 0)
+            new = [names[i] for i in unknown.tolist()]
+            self._learn(new)
+            places[unknown] = self._places(new)
+        starts, lengths = self._runs(places[codes])
+        edges = starts_of(lengths)[starts_of(counts)]
+        return np.diff(edges), _gather(self.flat, starts, lengths)
+
+
+_ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def worker_encoder(path: str) -> CachedEncoder:
+    """The encoder for a file, kept over the tasks that a Python worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = CachedEncoder(path)
+    return _ENCODERS[path]
