@@ -4,20 +4,38 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.decontam import contamination, contamination_digest
+from tessella.llm.folds import held_out
+from tessella.llm.langid import fit_languages, languages
 from tessella.llm.media import media_digest
 from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.sharding import shard
 from tessella.llm.token_files import token_file_digest
 from tessella.llm.tokenization import count_tokens
+from tessella.llm.toxicity import fit_toxicity, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt outside the held-out fold."""
+    documents = _table(spark, sf_dir, "documents")
+    scored = toxicity(documents, fit_toxicity(documents, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learnt outside the held-out fold."""
+    documents = _table(spark, sf_dir, "documents")
+    found = languages(documents, fit_languages(documents))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix(_table(spark, sf_dir, "documents"))
@@ -55,6 +73,8 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
