@@ -13,6 +13,7 @@ from tessella.llm.media import media_digest
 from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.sharding import shard
+from tessella.llm.surrogates import surrogates
 from tessella.llm.token_files import token_file_digest
 from tessella.llm.tokenization import count_tokens
 from tessella.llm.toxicity import fit_toxicity, toxicity
@@ -57,6 +58,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its personal data replaced."""
+    return surrogates(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
     return shard(_table(spark, sf_dir, "documents")).drop("row_number")
@@ -79,6 +85,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
+    "op7_surrogates": op7_surrogates,
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_minhash_neardup": op10_minhash_neardup,
