@@ -2,20 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tessella.llm.decontam import contamination
+from tessella.llm.mixing import mixed_documents
 from tessella.llm.neardup import near_duplicates
-from tessella.llm.shared import kept
+from tessella.llm.shared import kept, small
+from tessella.llm.token_files import token_file_digest
+from tessella.llm.toxicity import fit_toxicity, toxicity
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose ids are rejected; rows with a null id stay."""
+    ids = kept(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
+    return docs.join(small(ids), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field doesn't call toxic. It learns from the labels of these documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, toxicity(docs, fit_toxicity(docs, labels)).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id."""
-    ids = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(ids, "doc_id", "left_semi")
+    """One document of each near-duplicate group: that with the smallest id, and one row of that id."""
+    rest = _without(docs, near_duplicates(docs).where("not kept"))
+    repeated = kept(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    once = rest.join(small(repeated), "doc_id", "left_anti").select(*docs.columns)
+    more = rest.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(more.select(*docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, contamination(docs, benchmark).where("size(spans) > 0"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: again where a source is repeated, in part at its cut."""
+    return mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, and each document's ids in them."""
+    return token_file_digest(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token_output", token_output),
+]
+#: The first stage learns a model, which SQL can't express.
 ORACLE_SQL = None
 
 
