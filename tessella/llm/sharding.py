@@ -65,7 +65,7 @@ def permuted(rows: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS,
 
 
 def global_rows(docs: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """docs with row_number long, from 0 without gaps, by hash of `order`, then by `order`."""
+    """docs with row_number long, from 0 without gaps, by (unsigned) hash of `order`, then by `order`."""
     ranges = max(1, -(-docs.count() // range_rows))
     hashed = docs.withColumn("row_hash", F.xxhash64(*order)).withColumn(
         "row_range", F.floor(F.expr(f"(shiftrightunsigned(row_hash, 33) * {ranges}) / 2147483648"))
@@ -75,7 +75,7 @@ def global_rows(docs: DataFrame, order: list[str], range_rows: int = RANGE_ROWS)
     offsets = kept(
         counts.select("row_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("row_offset")), "offsets"
     )
-    inside = Window.partitionBy("row_range").orderBy("row_hash", *order)
+    inside = Window.partitionBy("row_range").orderBy(F.col("row_hash") < 0, "row_hash", *order)
     return (
         hashed.withColumn("row_inside", F.row_number().over(inside))
         .join(small(offsets), "row_range")

@@ -264,13 +264,20 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (p - y) + 0.1 * beta
-        beta -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(beta)), slope)
-    return beta
+    """Ridge logistic regression by Newton steps; slopes are not negative, so more evidence never lowers a score."""
+    used = np.arange(x.shape[1])
+    while True:
+        part, beta = x[:, used], np.zeros(len(used))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(part @ beta, -30, 30)))
+            slope = part.T @ (p - y) + 0.1 * beta
+            beta -= np.linalg.solve(part.T @ (part * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(used)), slope)
+        worst = 1 + int(beta[1:].argmin()) if len(used) > 1 else 0
+        if not worst or beta[worst] >= 0:
+            out = np.zeros(x.shape[1])
+            out[used] = beta
+            return out
+        used = np.delete(used, worst)
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
