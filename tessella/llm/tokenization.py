@@ -6,19 +6,18 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import SPACED, starts_of, text_array, words
+from tessella.llm.arrowtext import SPACED, gathered, starts_of, text_array, words
 from tessella.llm.shared import bound_batches
 
-#: Bytes of text given to the library at a time, and of one segment of a long text.
+#: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
-SEGMENT_BYTES = 64_000
 #: Distinct pieces that a worker remembers.
 CACHE_PIECES = 1_200_000
 
@@ -71,21 +70,55 @@ def breaks_before_spaces(path: str) -> bool:
     return bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"))
 
 
-def segments(text: str, limit: int = SEGMENT_BYTES) -> list[str]:
-    """text cut before single spaces between word characters, where it is longer than limit.
+def segments(text: str) -> list[str]:
+    """text cut before single spaces between word characters; the segments joined are the text."""
+    return _BREAK.split(text)
 
-    A stretch without such a space stays whole. The segments joined are the text.
-    """
-    if len(text) <= limit:
-        return [text]
-    out, start = [], 0
-    while len(text) - start > limit:
-        cut = _BREAK.search(text, start + limit)
-        if not cut:
-            break
-        out.append(text[start : cut.start()])
-        start = cut.start()
-    return [*out, text[start:]]
+
+class Counter:
+    """Numbers of tokens of texts; remembers those of distinct segments where texts may be cut."""
+
+    def __init__(self, path: str, batch_bytes: int = BATCH_BYTES, most: int = CACHE_PIECES):
+        self.tokenizer, self.cuts = load(path), breaks_before_spaces(path)
+        self.batch_bytes, self.most = batch_bytes, most
+        self.known: dict[str, int] = {"": 0}
+
+    def _counted(self, texts: list[str]) -> Iterator[int]:
+        """Lengths from the library, in batches balanced by bytes."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.batch_bytes:
+                yield from _lengths(self.tokenizer, held)
+                held, size = [], 0
+        if held:
+            yield from _lengths(self.tokenizer, held)
+
+    def count(self, texts: list[str]) -> list[int]:
+        if not self.cuts:
+            return list(self._counted(texts))
+        cut = [segments(t) for t in texts]
+        pieces = set(chain.from_iterable(cut))
+        new = list(pieces.difference(self.known))
+        if len(self.known) + len(new) > self.most:
+            # What came first is what texts hold most.
+            self.known = dict(islice(self.known.items(), self.most // 2))
+            new = list(pieces.difference(self.known))
+        self.known.update(zip(new, self._counted(new), strict=True))
+        find = self.known.__getitem__
+        return [sum(map(find, parts)) for parts in cut]
+
+
+_COUNTERS: dict[str, Counter] = {}
+
+
+def worker_counter(path: str, batch_bytes: int) -> Counter:
+    """The counter for a file, kept over the tasks that a Python worker runs."""
+    if path not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[path] = Counter(path, batch_bytes)
+    return _COUNTERS[path]
 
 
 def count_tokens(
@@ -95,46 +128,25 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_bytes: int = BATCH_BYTES,
-    segment_bytes: int = SEGMENT_BYTES,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of docs.
 
     Counts are those of the library without added special tokens, truncation or
-    padding; only lengths leave the worker. Texts go to the library in batches of
-    about batch_bytes; where the tokenizer allows it, long texts are cut at safe
-    places first, so one text never makes a batch much larger. Null texts count
-    as empty. Other columns are ignored; an empty table gives none.
+    padding; only lengths leave the worker. The library gets batches of about
+    batch_bytes. Where the tokenizer allows it, texts are cut at safe places first,
+    so one long text never makes a batch much larger and a repeated piece is
+    encoded once. Null texts count as empty. Other columns are ignored; an empty table gives none.
     """
     bound_batches(docs.sparkSession)
-    may_cut = breaks_before_spaces(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(tokenizer_path)
-        for batch in batches:
+        counter = worker_counter(tokenizer_path, batch_bytes)
+        for batch in gathered(batches):
             texts = text_array(batch.column(1))
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
-            totals = np.zeros(len(texts), np.int64)
-            parts: list[str] = []
-            owners: list[int] = []
-            held = 0
-
-            def flush():
-                np.add.at(totals, owners, _lengths(tokenizer, parts))
-                parts.clear()
-                owners.clear()
-
-            for row, text in enumerate(texts.to_pylist()):
-                for part in segments(text, segment_bytes) if may_cut else [text]:
-                    parts.append(part)
-                    owners.append(row)
-                    held += len(part)
-                    if held >= batch_bytes:
-                        flush()
-                        held = 0
-            if parts:
-                flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals)], ["doc_id", "n_bytes", "n_tokens"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counter.count(texts.to_pylist()), pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()

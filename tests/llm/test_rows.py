@@ -107,7 +107,7 @@ def test_cached_encoder_equals_library(spark, sf_dir):
 def test_counts_equal_library(spark, path):
     texts = [r[1] or "" for r in AWKWARD] + ODD + ["x" * 5000, " a" * 4000, "word  two\n three " * 500]
     df = table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)] + [(99, None, None, None, None)])
-    found = {r.doc_id: r for r in tokenization.count_tokens(df, path, batch_bytes=3000, segment_bytes=100).collect()}
+    found = {r.doc_id: r for r in tokenization.count_tokens(df, path, batch_bytes=3000).collect()}
     library = tokenization.load(path)
     for i, text in enumerate(texts):
         want = len(tokenization._encode(library, [text])[0])
@@ -116,9 +116,17 @@ def test_counts_equal_library(spark, path):
     assert tokenization.count_tokens(table(spark, []), path).collect() == []
 
 
+def test_counter_forgets_and_stays_right(spark, sf_dir):
+    texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    counter, library = tokenization.Counter(BYTE, 500, most=40), tokenization.load(BYTE)
+    for _ in range(2):
+        for text in texts:
+            assert counter.count([text, ""]) == [len(library.encode(text, add_special_tokens=False).ids), 0]
+
+
 def test_segments_join_to_the_text():
     text = "one two  three\nfour five " * 40
-    parts = tokenization.segments(text, 50)
+    parts = tokenization.segments(text)
     assert "".join(parts) == text and len(parts) > 5
 
 
