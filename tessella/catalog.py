@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tessella.plans import corpus, search
+
+_PLANS = (search, corpus)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for plan in _PLANS for k, f in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {k: sql for plan in _PLANS for k, sql in plan.ORACLES.items()}
