@@ -83,11 +83,11 @@ def query_terms_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each item's five best hits: the share of its idf mass that they hold."""
     posts = _posts(spark, sf_dir)
-    stems = _item_stems(spark, sf_dir, posts).where("question < 5")
-    pairs = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "text").crossJoin(
-        F.broadcast(read(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("question")))
-    )
+    stems = _item_stems(spark, sf_dir, posts)
+    hits = s.top(s.bm25(posts, s.query_terms(stems)), 5).select("question", "id")
+    pairs = hits.join(articles(spark, sf_dir).select(F.col("article_id").alias("id"), "text"), "id")
     return s.coverage(pairs, stems).select(
         F.col("id").alias("doc_id"), F.col("question").alias("item_id"), F.round("coverage", 6).alias("coverage")
     )
@@ -194,10 +194,11 @@ ORACLES = {
     "idf_terms": f"WITH {ARTICLES}, {_TOKENS} SELECT term, doc, round(ln((SELECT count(*) FROM documents) / doc), 6) AS idf FROM df",
     "check_terms_smallest": f"WITH {ARTICLES}, {_TOKENS} SELECT term, doc FROM df WHERE doc >= 5 ORDER BY doc, term LIMIT 3",
     "query_terms_prune": f"WITH {ARTICLES}, {_TOKENS}, {_STEMS}, {_PRUNED} SELECT question AS item_id, term, round(idf, 6) AS idf FROM terms",
-    "coverage_score": f"""WITH {ARTICLES}, {_TOKENS}, {_STEMS}
+    "coverage_score": f"""{_ranked(_STEMS + ", " + _PRUNED)},
+        best AS (SELECT question, id FROM hits QUALIFY row_number() OVER (PARTITION BY question ORDER BY hits.score DESC, id) <= 5)
         SELECT article_id AS doc_id, question AS item_id, round(coalesce(sum(idf) FILTER (
             regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || regexp_replace(term, '^(...+)i$', '\\1'))), 0) / sum(idf), 6) AS coverage
-        FROM articles, stems WHERE question < 5 GROUP BY 1, 2""",
+        FROM best JOIN articles ON article_id = id JOIN stems USING (question) GROUP BY 1, 2""",
     "passage_score": f"""WITH {ARTICLES}, {_TOKENS}, bag AS (SELECT term, ln((SELECT count(*) FROM documents) / doc) AS idf
             FROM df WHERE term IN ('aning', 'nicht', 'inble')),
         counted AS (SELECT article_id, idf, len(regexp_extract_all(lower(text), '\\b' || term))
