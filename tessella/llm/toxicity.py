@@ -37,7 +37,9 @@ PURITY = 0.95
 #: Chance that any pattern passes as a marker by luck.
 LUCK = 0.01
 THRESHOLD = 0.7
-_MEMO = 500_000
+_MEMO = 200_000
+#: Bytes of text scored at a time: each token takes about 150 bytes of messages.
+_GATHER = 2_000_000
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -302,7 +304,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Field = shared.value
         memo: dict[str, float] = {}
-        for batch in gathered(batches):
+        for batch in gathered(batches, _GATHER):
             texts = text_array(batch.column(1))
             counts, codes, distinct = words(texts, ALNUM)
             names = distinct.to_pylist()
