@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import corpus, places, search
+from tessella.plans import corpus, measures, places, search
 
-_PLANS = (search, corpus, places)
+_PLANS = (search, corpus, places, measures)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for plan in _PLANS for k, f in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for plan in _PLANS for k, sql in plan.ORACLES.items()}
