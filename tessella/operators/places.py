@@ -225,6 +225,13 @@ def score(place_rank: Column, km: Column, radius_km: Column) -> Column:
     return place_rank / 100.0 - 0.6 * F.least(km / F.greatest(radius_km, F.lit(1.0)), F.lit(1.0))
 
 
+def question_score(place_rank: Column, km: Column, radius_km: Column, hours: Column, late: Column, tier: Column, price: Column) -> Column:
+    """score() with a point for hours past ten at night where the question asks for them, and one for the guide's price tier."""
+    open_late = late & F.coalesce(hours.rlike(r"24/7|-\s*(2[2-4]|0[0-5])[:.]"), F.lit(False))
+    priced = F.coalesce(tier.startswith(price), F.lit(False))
+    return score(place_rank, km, radius_km) + open_late.cast("int") + priced.cast("int")
+
+
 def with_cells(places: DataFrame) -> DataFrame:
     return places.withColumn("cell", geo.cell_of(F.col("lat"), F.col("lon")))
 

@@ -122,3 +122,22 @@ def test_grid_join_equals_brute_force(spark):
     want = {(x[0], y[0]) for x in pts[:50] for y in pts[50:]
             if math.hypot((x[1] - y[1]) * 110540, (x[2] - y[2]) * 111320 * math.cos(math.radians(x[1]))) <= 120}
     assert {(x.a, x.b) for x in p.near_pairs(a, b).collect()} == want
+
+
+def test_guides_alternate_with_articles(spark):
+    titles = spark.createDataFrame([(1, 0, 10, 20), (1, 1, 11, None)], "question long, place int, article_id long, guide_id long")
+    row = lambda a, start, score, rank: (1, a, 0, start, score, rank)
+    kind = "question long, article_id long, place int, start int, score double, rank int"
+    ours = spark.createDataFrame([row(10, 0, 1.0, 0), row(10, 5, 0.4, 1), row(10, 9, 0.3, 2), row(11, 0, 1.0, 0)], kind)
+    guide = spark.createDataFrame([row(20, 0, 1.0, 0), row(20, 7, 0.6, 1)], kind)
+    ranked = spark.createDataFrame([(1, 10, 5, 9.0, 0.9), (1, 30, 0, 8.0, 0.2), (1, 31, 0, 7.0, 0.8)], "question long, article_id long, start int, score double, coverage double")
+    got = [(x.corpus, x.article_id, x.start, x.via) for x in r.retrieve(titles, ours, ranked, guide=guide).orderBy("rank").collect()]
+    assert got == [("main", 10, 0, "title"), ("guide", 20, 7, "title"), ("main", 11, 0, "title"), ("main", 10, 5, "title"), ("main", 10, 9, "title"), ("main", 31, 0, "rank")]
+
+
+def test_late_hours_and_price_count(spark):
+    rows = [("Mo-Su 10:00-23:00", True, "Budget", "Budget"), ("10:00-18:00", True, None, "Budget"), ("24/7", False, "Mid-range", "Budget")]
+    df = spark.createDataFrame(rows, "h string, late boolean, tier string, price string")
+    zero = F.lit(0.0)
+    got = [x.s for x in df.select(p.question_score(F.lit(100), zero, zero, F.col("h"), F.col("late"), F.col("tier"), F.col("price")).alias("s")).collect()]
+    assert got == [3.0, 1.0, 1.0]
