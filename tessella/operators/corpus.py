@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,18 +86,22 @@ def infobox_facts(raw: str | Column) -> Column:
 
 
 def _pieces(paragraph: str, limit: int) -> Iterator[tuple[int, int]]:
-    """Spans of a long paragraph: up to limit at line or sentence ends, by force beyond half as much again."""
-    begin = seen = 0
-    for stop in [*(m.end() for m in _STOP.finditer(paragraph)), len(paragraph)]:
-        if stop - begin > limit and seen > begin:
-            yield begin, seen
-            begin = seen
-        while stop - begin > limit * 1.5:
-            yield begin, begin + limit
-            begin += limit
-        seen = stop
-    if begin < len(paragraph):
-        yield begin, len(paragraph)
+    """Spans of a long paragraph: each ends at the last line or sentence end that fits into limit.
+
+    Where none fits, at the next one within half as much again, else at limit by force.
+    """
+    stops = [m.end() for m in _STOP.finditer(paragraph)]
+    if not stops or stops[-1] < len(paragraph):
+        stops.append(len(paragraph))
+    begin = 0
+    while begin < len(paragraph):
+        following, beyond = bisect_right(stops, begin), bisect_right(stops, begin + limit)
+        if beyond > following:
+            end = stops[beyond - 1]
+        else:
+            end = stops[following] if stops[following] - begin <= 1.5 * limit else begin + limit
+        yield begin, end
+        begin = end
 
 
 class _Path:
