@@ -28,15 +28,21 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, put together until they hold `most` bytes: larger ones repeat more words."""
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about `most` bytes of the text column, one row at least.
+
+    Larger ones repeat more words; the bound holds a worker's memory however long texts are.
+    """
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= most:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+        start = 0
+        for row, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            size += n
+            if size >= most:
+                yield pa.concat_batches([*held, batch.slice(start, row + 1 - start)])
+                held, size, start = [], 0, row + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
     if held:
         yield pa.concat_batches(held)
 
@@ -44,10 +50,9 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Ite
 def mapped(texts: pa.StringArray, table: bytes) -> pa.StringArray:
     """texts with each byte sent through the 256-byte table; lengths stay."""
     _, ends, data = texts.buffers()
-    raw = b"" if data is None else data.to_pybytes().translate(table)
-    return pa.StringArray.from_buffers(
-        len(texts), ends, pa.py_buffer(raw), None, 0, texts.offset
-    )
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if ends else np.zeros(1, np.int32)
+    raw = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().translate(table) if data else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32).tobytes()), pa.py_buffer(raw))
 
 
 def words(texts: pa.StringArray, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:

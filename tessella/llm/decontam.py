@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import ALNUM, starts_of, text_array, words
+from tessella.llm.arrowtext import ALNUM, gathered, starts_of, text_array, words
 from tessella.llm.shared import bound_batches
+from tessella.llm.tokenization import release
 
 WINDOW = 10
 SHINGLE = 3
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 16_000_000
+#: Bytes of document texts scanned at a time.
+GATHER = 4_000_000
 #: Candidate places that are compared at a time.
 _CHUNK = 1 << 16
 
@@ -125,7 +128,8 @@ def _count(shared):
         items: Items = shared.value
         base = len(items.vocabulary) + 1
         total = {w: np.zeros(len(k), np.int64) for w, k in items.keys.items()}
-        for batch in batches:
+        release()
+        for batch in gathered(batches, GATHER, 0):
             counts, flat = _numbered(text_array(batch.column(0)), items)
             owner = np.repeat(np.arange(len(counts)), counts)
             for width, keys in items.keys.items():
@@ -173,7 +177,8 @@ def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         base = len(items.vocabulary) + 1
-        for batch in batches:
+        release()
+        for batch in gathered(batches, GATHER):
             counts, flat = _numbered(text_array(batch.column(1)), items)
             starts, owner = starts_of(counts), np.repeat(np.arange(len(counts)), counts)
             met: dict[int, tuple[set, set]] = {}

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tessella.llm.arrowtext import SPACED, gathered, mapped, text_array
 from tessella.llm.folds import held_out, with_texts
 from tessella.llm.shared import bound_batches
+from tessella.llm.tokenization import release
 
 #: Bytes of a window.
 LENGTH = 256
@@ -185,6 +186,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = shared.value
         tables = net.tables()
+        release()
         for batch in gathered(batches, 4_000_000):
             texts = text_array(batch.column(1))
             has_letter = [bool(_LETTER.search(t)) for t in texts.to_pylist()]

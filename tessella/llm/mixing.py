@@ -21,7 +21,7 @@ SHARE = 1.5
 REPEATS = 2
 SEED = "mix"
 #: Rows of one range of keys, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 _KEY_SPAN = 16**6
 
 

@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import SPACED, starts_of, text_array, word_hashes, words
+from tessella.llm.arrowtext import SPACED, gathered, starts_of, text_array, word_hashes, words
 from tessella.llm.components import components
 from tessella.llm.shared import bound_batches, kept, small
+from tessella.llm.tokenization import release
 
 WIDTH = 5
 COORDINATES = 64
@@ -39,6 +40,9 @@ SIMILAR = (75, 100)
 #: Documents of one side in a block comparison; families above one block are salted over blocks.
 BLOCK = 256
 
+#: Bytes of text hashed at a time.
+GATHER = 4_000_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,8 +88,9 @@ def _set_rows(shingles: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
 
 def _sign(width: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         xors, odds = _coordinate_keys(coordinates)
-        for batch in batches:
+        for batch in gathered(batches, GATHER):
             shingles, value = shingle_hashes(text_array(batch.column(1)), width)
             sets = _set_rows(shingles, value)
             full = np.flatnonzero(shingles)
@@ -113,7 +118,8 @@ def _sign(width: int, coordinates: int):
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in gathered(batches, GATHER):
             sets = _set_rows(*shingle_hashes(text_array(batch.column(1)), width))
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["node", "items"])

@@ -23,7 +23,7 @@ SHARDS = 8
 KEY = 20240101
 ROUNDS = 6
 #: Rows of one hash range, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_000
 _MASK = np.uint64(0xFFFFFFFF)
 
 

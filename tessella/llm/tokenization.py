@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import SPACED, gathered, starts_of, text_array, words
+from tessella.llm.arrowtext import SPACED, gathered, mapped, starts_of, text_array, words
 from tessella.llm.shared import bound_batches
 
 #: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 1_000_000
 
 #: New words encoded at a time.
 _LINE = 2000
@@ -110,9 +110,6 @@ class Counter:
         return [sum(map(find, parts)) for parts in cut]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def worker_counter(path: str, batch_bytes: int) -> Counter:
     """The counter for a file, kept over the tasks that a Python worker runs."""
     if path not in _COUNTERS:
@@ -163,6 +160,9 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
 class CachedEncoder:
     """Ids of texts for a tokenizer that drops white space: each distinct piece is encoded once.
 
@@ -236,7 +236,7 @@ class CachedEncoder:
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text, all ids in order) of texts without nulls."""
         table = SPACED if self.folds else bytes(range(256))
-        raw = b"" if texts.buffers()[2] is None else texts.buffers()[2].to_pybytes().translate(SPACED)
+        raw = mapped(texts, SPACED).buffers()[2].to_pybytes()
         if not self.cuts or any(special in raw for special in self.specials):
             found = _encode(self.tokenizer, texts.to_pylist())
             counts = np.array([len(ids) for ids in found], np.int64)
@@ -264,6 +264,12 @@ class CachedEncoder:
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
+def release() -> None:
+    """Forget what this worker keeps: other work in the same worker calls it first."""
+    _ENCODERS.clear()
+    _COUNTERS.clear()
+
+
 def worker_encoder(path: str) -> CachedEncoder:
     """The encoder for a file, kept over the tasks that a Python worker runs."""
     if path not in _ENCODERS:

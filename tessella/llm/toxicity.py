@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tessella.llm.arrowtext import ALNUM, gathered, starts_of, text_array, words
 from tessella.llm.folds import held_out, with_texts
 from tessella.llm.shared import bound_batches
+from tessella.llm.tokenization import release
 
 #: Labelled documents of each class that training sees at most, lowest hash first.
 SAMPLE = 1500
@@ -187,10 +188,13 @@ def _mark_tokens(distinct: list[str], codes: np.ndarray, counts: np.ndarray, tox
     pairs, token, times = np.unique(owner * np.int64(len(distinct)) + codes, return_inverse=True, return_counts=True)
     doc, word = pairs // len(distinct), pairs % len(distinct)
     width = np.array([len(o) for o in own])
-    flat = np.concatenate([np.array(o) for o in own])
+    flat = np.concatenate([np.array(o, np.int32) for o in own])
     reps = width[word]
-    at = np.repeat(starts_of(width)[:-1][word], reps) + np.arange(reps.sum()) - np.repeat(starts_of(reps)[:-1], reps)
-    seen, row = np.unique(flat[at] * np.int64(len(counts)) + np.repeat(doc, reps), return_inverse=True)
+    at = np.repeat((starts_of(width)[:-1][word] - starts_of(reps)[:-1]).astype(np.int32), reps) + np.arange(reps.sum(), dtype=np.int32)
+    at = flat[at] * np.int64(len(counts))
+    at += np.repeat(doc, reps)
+    seen, row = np.unique(at, return_inverse=True)
+    del at
     occurs = np.bincount(row, weights=np.repeat(times, reps))
     pattern, holder = seen // len(counts), seen % len(counts)
     use, hit = _unlike(distinct, codes, counts), np.zeros(len(seen), bool)
@@ -260,8 +264,11 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
             square[key] = 0.99 * square[key] + 0.01 * grad**2
             theta[key] = theta[key] - 0.3 * (mean[key] / (1 - 0.9**step)) / (np.sqrt(square[key] / (1 - 0.99**step)) + 1e-8)
     model = Field(theta["w"].astype(np.float32), float(theta["t"][0]), (float(theta["t"][1]), float(theta["t"][2])))
-    p, _, _ = marginals(theta["w"][features].sum(axis=1)[every], whole, model)
-    model.fit = _logistic(_document_features(p, whole), labels.astype(float))
+    word_odds, ends = theta["w"][features].sum(axis=1), starts_of(whole)
+    model.fit = _logistic(np.concatenate([
+        _document_features(marginals(word_odds[every[ends[k] : ends[min(k + 50, len(whole))]]], whole[k : k + 50], model)[0], whole[k : k + 50])
+        for k in range(0, len(whole), 50)
+    ]), labels.astype(float))
     return model
 
 
@@ -304,6 +311,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Field = shared.value
         memo: dict[str, float] = {}
+        release()
         for batch in gathered(batches, _GATHER):
             texts = text_array(batch.column(1))
             counts, codes, distinct = words(texts, ALNUM)
