@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -19,7 +20,7 @@ from tessella.llm.shared import bound_batches
 #: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000
 
 #: New words encoded at a time.
 _LINE = 2000
@@ -265,9 +266,11 @@ _ENCODERS: dict[str, CachedEncoder] = {}
 
 
 def release() -> None:
-    """Forget what this worker keeps: other work in the same worker calls it first."""
+    """Forget what this worker keeps, and give the memory back: other work in the same worker calls it first."""
     _ENCODERS.clear()
     _COUNTERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def worker_encoder(path: str) -> CachedEncoder:

@@ -190,3 +190,20 @@ def test_compact_sizes_and_wide_offsets():
     (track,) = media.tracks(data)
     assert track["codec"] == "mp4a" and track["sizes"].tolist() == [2, 3, 5] and media.payload(data, track) == payload
     assert track["keys"].tolist() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 10**6])
+def test_gathered_batches_keep_rows_and_words(most):
+    from tessella.llm.arrowtext import ALNUM, gathered, text_array, words
+
+    texts = ["Foo bar", None, "", "É-x 12", "long " * 9, "z"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(texts[:3])], ["i", "t"]), pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(texts[3:])], ["i", "t"])]
+    out = list(gathered(iter(batches), most))
+    assert [t for b in out for t in b.column(1).to_pylist()] == texts
+    assert most > 40 or len(out) > 1
+    found = []
+    for b in out:
+        counts, codes, distinct = words(text_array(b.column(1)), ALNUM)
+        found += [distinct[int(c)].as_py() for c in codes]
+        assert len(counts) == b.num_rows
+    assert found == ["foo", "bar", "É", "x", "12", *["long"] * 9, "z"]
