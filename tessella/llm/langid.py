@@ -69,16 +69,13 @@ def windows(raw: bytes, length: int = LENGTH) -> np.ndarray:
     return np.frombuffer(raw.ljust(rows * length, b" "), np.uint8).reshape(rows, length)
 
 
-def _pooled(x: np.ndarray, width: int, tables: list[np.ndarray], where: bool = False):
-    """Maximum of each filter over each row of bytes, and with `where` its place."""
+def _pooled(x: np.ndarray, width: int, tables: list[np.ndarray]) -> np.ndarray:
+    """Maximum of each filter over each row of bytes."""
     pair = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
     n = x.shape[1] - width + 1
     total = tables[0][pair[:, :n]]
     for k, table in enumerate(tables[1:], 1):
         total += table[(pair if len(table) > 256 else x)[:, 2 * k : 2 * k + n]]
-    if where:
-        at = total.argmax(axis=1)
-        return np.take_along_axis(total, at[:, None, :], axis=1)[:, 0], at
     return total.max(axis=1)
 
 
@@ -126,12 +123,11 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
         order = rng.permutation(len(x))
         for k in range(0, len(order), 64):
             rows, step = order[k : k + 64], step + 1
-            part, tables = x[rows], None
+            part = x[rows]
             grad = {k: np.zeros_like(v) for k, v in theta.items()}
             pooled, places = {}, {}
             for w in WIDTHS:
-                tables = _batch_tables(part, net, w)
-                pooled[w], places[w] = tables
+                pooled[w], places[w] = _training_pooled(part, net, w)
             hidden = {w: np.maximum(pooled[w] + net.bias[w], 0) for w in WIDTHS}
             h = np.concatenate([hidden[w] for w in WIDTHS], axis=1)
             p = np.exp(_log_softmax(h @ net.out + net.out_bias))
@@ -153,7 +149,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
     return net
 
 
-def _batch_tables(part: np.ndarray, net: Network, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _training_pooled(part: np.ndarray, net: Network, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(pooled, places) of a training batch, from single-byte tables: pair tables change too often to build."""
     n = part.shape[1] - width + 1
     total = sum(((net.embedding @ net.filters[width][o]).astype(np.float32))[part[:, o : o + n]] for o in range(width))

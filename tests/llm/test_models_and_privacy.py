@@ -96,7 +96,7 @@ def test_pair_tables_equal_single_byte_filters():
     x = np.random.default_rng(0).integers(0, 256, (3, langid.LENGTH)).astype(np.uint8)
     tables = net.tables()
     for w in langid.WIDTHS:
-        pooled, _ = langid._batch_tables(x, net, w)
+        pooled, _ = langid._training_pooled(x, net, w)
         assert np.allclose(langid._pooled(x, w, tables[w]), pooled, atol=1e-4)
 
 
