@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.arrowtext import ALNUM, gathered, starts_of, text_array, words
 from tessella.llm.shared import bound_batches
-from tessella.llm.tokenization import release
+from tessella.llm.workers import tidy
 
 WINDOW = 10
 SHINGLE = 3
@@ -128,7 +128,6 @@ def _count(shared):
         items: Items = shared.value
         base = len(items.vocabulary) + 1
         total = {w: np.zeros(len(k), np.int64) for w, k in items.keys.items()}
-        release()
         for batch in gathered(batches, GATHER, 0):
             counts, flat = _numbered(text_array(batch.column(0)), items)
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -177,7 +176,6 @@ def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         base = len(items.vocabulary) + 1
-        release()
         for batch in gathered(batches, GATHER):
             counts, flat = _numbered(text_array(batch.column(1)), items)
             starts, owner = starts_of(counts), np.repeat(np.arange(len(counts)), counts)
@@ -251,13 +249,13 @@ def contamination(
         mine = given.where(F.pmod(F.xxhash64("item", "words"), F.lit(max(1, blocks))) == b)
         items = _items([tuple(r) for r in mine.collect()], window, shingle)
         unranked = spark.sparkContext.broadcast(items)
-        counted = texts.mapInArrow(_count(unranked), "width int, rank long, n long")
+        counted = texts.mapInArrow(tidy(_count(unranked)), "width int, rank long, n long")
         frequency = {w: np.zeros(len(k), np.int64) for w, k in items.keys.items()}
         for row in counted.groupBy("width", "rank").agg(F.sum("n").alias("n")).collect() if items.keys else []:
             frequency[row["width"]][row["rank"]] = row["n"]
         ranked = spark.sparkContext.broadcast(_anchored(items, frequency, shingle))
         state = state.mapInArrow(
-            _scan(ranked),
+            tidy(_scan(ranked)),
             f"doc_id {id_type}, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>",
         )
     return state.select(F.col("doc_id").alias(id_col), "n_words", "spans", "items")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessella.llm.arrowtext import SPACED, gathered, mapped, text_array
 from tessella.llm.folds import held_out, with_texts
 from tessella.llm.shared import bound_batches
-from tessella.llm.tokenization import release
+from tessella.llm.workers import tidy
 
 #: Bytes of a window.
 LENGTH = 256
@@ -182,7 +182,6 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = shared.value
         tables = net.tables()
-        release()
         for batch in gathered(batches, 4_000_000):
             texts = text_array(batch.column(1))
             has_letter = [bool(_LETTER.search(t)) for t in texts.to_pylist()]
@@ -220,6 +219,6 @@ def languages(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _predict(shared), f"doc_id {kind}, lang_pred string, score double"
+        tidy(_predict(shared)), f"doc_id {kind}, lang_pred string, score double"
     )
     return found.withColumnRenamed("doc_id", id_col)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.arrowtext import text_array
 from tessella.llm.shared import bound_batches, new_folder
+from tessella.llm.workers import tidy
 
 FRAME = 64
 RATE = 25
@@ -269,7 +270,7 @@ def pack_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     kind = docs.schema[id_col].dataType.simpleString()
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, media binary"
+        tidy(run), f"doc_id {kind}, n_bytes long, media binary"
     )
     return packed.withColumnRenamed("doc_id", id_col)
 
@@ -305,7 +306,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stored = spark.read.schema(packed.schema).parquet(path)
     kind = packed.schema["doc_id"].dataType.simpleString()
     found = stored.mapInArrow(
-        _digest,
+        tidy(_digest),
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string",
     )

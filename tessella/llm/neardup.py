@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessella.llm.arrowtext import SPACED, gathered, starts_of, text_array, word_hashes, words
 from tessella.llm.components import components
 from tessella.llm.shared import bound_batches, kept, small
-from tessella.llm.tokenization import release
+from tessella.llm.workers import tidy
 
 WIDTH = 5
 COORDINATES = 64
@@ -88,7 +88,6 @@ def _set_rows(shingles: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
 
 def _sign(width: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         xors, odds = _coordinate_keys(coordinates)
         for batch in gathered(batches, GATHER):
             shingles, value = shingle_hashes(text_array(batch.column(1)), width)
@@ -118,7 +117,6 @@ def _sign(width: int, coordinates: int):
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in gathered(batches, GATHER):
             sets = _set_rows(*shingle_hashes(text_array(batch.column(1)), width))
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
@@ -277,7 +275,7 @@ def near_duplicates(
     bound_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     signed = kept(
-        own.mapInArrow(_sign(width, coordinates), "node long, n long, class binary, sign array<int>"), "signed"
+        own.mapInArrow(tidy(_sign(width, coordinates)), "node long, n long, class binary, sign array<int>"), "signed"
     )
     classes = kept(
         signed.where("n > 0 and node is not null")
@@ -295,7 +293,7 @@ def near_duplicates(
     signs = kept(classes.join(small(active), "node", "left_semi").select("node", "sign"), "signs")
     items = kept(
         own.join(small(active), "node", "left_semi").dropDuplicates(["node"])
-        .mapInArrow(_full_sets(width), "node long, items binary"),
+        .mapInArrow(tidy(_full_sets(width)), "node long, items binary"),
         "items",
     )
     passed = (
@@ -308,7 +306,7 @@ def near_duplicates(
         passed.join(items, "node")
         .join(items.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
         .select("node", "hub", "items", "hub_items")
-        .mapInArrow(_confirm, "u long, v long")
+        .mapInArrow(tidy(_confirm), "u long, v long")
     )
     first = kept(components(linked), "first")
     families = components(stars.select(F.col("node").alias("u"), F.col("hub").alias("v")))

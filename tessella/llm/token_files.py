@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tessella.llm.arrowtext import gathered, text_array
 from tessella.llm.shared import bound_batches, kept, new_folder
 from tessella.llm.tokenization import worker_encoder
+from tessella.llm.workers import tidy
 
 MAGIC = b"TPLN1\0\0\0"
 CHUNK = 1 << 16
@@ -222,7 +223,7 @@ def write_token_files(
             "ids": sum(n for _, n in writer.docs), "bytes": fs.get_file_info(name).size,
         }])
 
-    manifest = ordered.mapInArrow(run, "file string, part long, docs long, ids long, bytes long")
+    manifest = ordered.mapInArrow(tidy(run, keeps=True), "file string, part long, docs long, ids long, bytes long")
     return kept(manifest.withColumn("folder", F.lit(out_dir)), "manifest")
 
 
@@ -249,7 +250,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 )
 
     files = placed.repartition(min(MOST_FILES, max(1, manifest.count())), "part")
-    read = files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = files.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read.withColumnRenamed("doc_id", id_col)
 
 

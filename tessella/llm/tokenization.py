@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +15,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm.arrowtext import SPACED, gathered, mapped, starts_of, text_array, words
 from tessella.llm.shared import bound_batches
+from tessella.llm.workers import KEPT, tidy
 
 #: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 
 #: New words encoded at a time.
 _LINE = 2000
@@ -149,7 +149,7 @@ def count_tokens(
 
     kind = docs.schema[id_col].dataType.simpleString()
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_tokens long"
+        tidy(run, keeps=True), f"doc_id {kind}, n_bytes long, n_tokens long"
     )
     return counted.select(
         F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
@@ -231,8 +231,7 @@ class CachedEncoder:
             self._append(marked, _gather(self.flat, starts, lengths), lengths.reshape(-1, 2).sum(axis=1))
 
     def _places(self, names: list[str]) -> np.ndarray:
-        find = self.place.get
-        return np.fromiter((find(w, -1) for w in names), np.int64, len(names))
+        return np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text, all ids in order) of texts without nulls."""
@@ -249,7 +248,7 @@ class CachedEncoder:
         if len(unknown):
             if len(self.place) + 2 * len(unknown) > self.most:
                 # What came first is what texts hold most.
-                half = min(len(self.place), self.most // 2)
+                half = min(len(self.place), self.most * 3 // 4)
                 self.place = dict(islice(self.place.items(), half))
                 self.edges, self.flat = self.edges[: half + 1], self.flat[: self.edges[half]]
                 places = self._places(names)
@@ -265,12 +264,7 @@ class CachedEncoder:
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def release() -> None:
-    """Forget what this worker keeps, and give the memory back: other work in the same worker calls it first."""
-    _ENCODERS.clear()
-    _COUNTERS.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+KEPT += [_ENCODERS, _COUNTERS]
 
 
 def worker_encoder(path: str) -> CachedEncoder:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessella.llm.arrowtext import ALNUM, gathered, starts_of, text_array, words
 from tessella.llm.folds import held_out, with_texts
 from tessella.llm.shared import bound_batches
-from tessella.llm.tokenization import release
+from tessella.llm.workers import tidy
 
 #: Labelled documents of each class that training sees at most, lowest hash first.
 SAMPLE = 1500
@@ -311,7 +311,6 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Field = shared.value
         memo: dict[str, float] = {}
-        release()
         for batch in gathered(batches, _GATHER):
             texts = text_array(batch.column(1))
             counts, codes, distinct = words(texts, ALNUM)
@@ -371,7 +370,7 @@ def toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _score(shared), f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>"
+        tidy(_score(shared)), f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>"
     )
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     return scored.select(F.col("doc_id").alias(id_col), "score", predicted, "spans")
