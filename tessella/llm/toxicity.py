@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,13 +183,15 @@ def _mark_tokens(distinct: list[str], codes: np.ndarray, counts: np.ndarray, tox
 
     A pattern may mark by itself, or only where a text holds it two or three times.
     """
-    number: dict[str, int] = {}
-    own = [[number.setdefault(p, len(number)) for p in _patterns(w)] for w in distinct]
+    width = np.array([len(_patterns(w)) for w in distinct])
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.fromiter((digest(p) for w in distinct for p in _patterns(w)), np.uint64, width.sum())
+    known, flat = np.unique(hashes, return_inverse=True)
+    flat, patterns = flat.astype(np.int32), len(known)
+    del hashes, known
     owner = np.repeat(np.arange(len(counts)), counts)
     pairs, token, times = np.unique(owner * np.int64(len(distinct)) + codes, return_inverse=True, return_counts=True)
     doc, word = pairs // len(distinct), pairs % len(distinct)
-    width = np.array([len(o) for o in own])
-    flat = np.concatenate([np.array(o, np.int32) for o in own])
     reps = width[word]
     at = np.repeat((starts_of(width)[:-1][word] - starts_of(reps)[:-1]).astype(np.int32), reps) + np.arange(reps.sum(), dtype=np.int32)
     at = flat[at] * np.int64(len(counts))
@@ -202,7 +205,7 @@ def _mark_tokens(distinct: list[str], codes: np.ndarray, counts: np.ndarray, tox
         often = occurs >= least
         if often.any():
             marker = _markers(pattern[often], holder[often], toxic, use)
-            hit |= often & np.append(marker, np.zeros(len(number), bool))[pattern]
+            hit |= often & np.append(marker, np.zeros(patterns, bool))[pattern]
     marked = np.logical_or.reduceat(hit[row], starts_of(reps)[:-1])
     return marked[token] & toxic[owner]
 
