@@ -20,7 +20,7 @@ from tessella.llm.workers import KEPT, tidy
 #: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 
 #: New words encoded at a time.
 _LINE = 2000
