@@ -46,8 +46,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": rf"(?<!\p{{L}})(?:{_TITLE['m']}|{_TITLE['f']})\.? {_NAME}(?: {_NAME})?",
 }
-#: Texts without any of these hold no entity.
-_HINT = rf"[@0-9]|(?<!\p{{L}})(?:{_TITLE['m']}|{_TITLE['f']})\.? \p{{Lu}}"
+#: Texts without any of these hold no entity: each pattern needs one of them, secrets of letters alone their marks.
+_HINT = rf"[@0-9]|password=|AKIA|(?<!\p{{L}})(?:{_TITLE['m']}|{_TITLE['f']})\.? \p{{Lu}}"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: Endings that read as a gender, by script (fixed).
