@@ -82,11 +82,29 @@ def mix(
     id and size may swap their counts; otherwise reruns agree. Null ids share a
     key. Other columns are ignored; an empty table gives none.
     """
+    return _counted(docs, id_col, text_col, source_col, weights, share, repeats, seed, range_rows)
+
+
+def _counted(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    repeats: int = REPEATS,
+    seed: str = SEED,
+    range_rows: int = RANGE_ROWS,
+    tie: str | None = None,
+    row: str | None = None,
+) -> DataFrame:
+    """mix(), with docs' column `tie` deciding between equal ids and sizes, and its column `row` passed on."""
+    own = [c for c in (tie, row) if c]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = kept(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"), key.alias("key"),
+            word_count(F.col(text_col)).alias("size"), key.alias("key"), *own,
         ),
         "sized",
     )
@@ -109,7 +127,7 @@ def mix(
         F.coalesce(F.sum("words").over(before_range), F.lit(0)).alias("offset"),
     )
     within = (
-        Window.partitionBy("s", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("s", "range").orderBy("key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     )
     counted = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
         small(kept(offsets, "offsets")),
@@ -119,18 +137,22 @@ def mix(
     rest = F.col("budget") - epochs * F.col("source_size") - F.col("offset") - F.col("inside")
     taken = epochs * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
     return counted.select(
-        F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken")
+        F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *([row] if row else [])
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs as the mix takes them: once for each whole take, and the words of a part.
 
-    A part's words are joined by single spaces. Ids are expected to be unique.
+    A part's words are joined by single spaces. Ids may be null or repeated: rows
+    are numbered, written with their number and joined by it. Of equal ids and
+    sizes, the checksum of the text decides which is cut.
     """
-    counts = mix(docs, id_col, text_col, **settings).where("taken > 0")
+    numbered = docs.withColumn("mix_row", F.monotonically_increasing_id()).withColumn("mix_sum", F.xxhash64(text_col))
+    numbered = kept(numbered, "numbered")
+    counts = _counted(numbered, id_col, text_col, tie="mix_sum", row="mix_row", **settings).where("taken > 0")
     counts = counts.select(
-        F.col(id_col).alias("mix_id"), F.expr("taken div size").alias("mix_whole"),
+        "mix_row", F.expr("taken div size").alias("mix_whole"),
         F.expr("taken % size").cast("int").alias("mix_part"),
     )
     parts = F.concat(
@@ -142,7 +164,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.array_join(F.slice(words, F.lit(1), F.greatest("mix_take", F.lit(1))), " ")
     )
     return (
-        docs.join(counts, F.col(id_col) == F.col("mix_id"))
+        numbered.join(counts, "mix_row")
         .withColumn("mix_take", F.explode(parts))
         .withColumn(text_col, cut)
         .select(*docs.columns)

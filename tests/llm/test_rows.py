@@ -62,6 +62,27 @@ def test_mix_does_not_depend_on_ranges_and_is_expanded(spark):
     assert words == {k: v for k, v in taken.items() if v}
 
 
+@pytest.mark.parametrize("range_rows", [2, 20_000])
+def test_mixed_documents_hold_the_words_taken_of_null_and_repeated_ids(spark, range_rows):
+    rows = [(*r[:3], r[3] or "none", r[4]) for r in AWKWARD]
+    rows += [(5, "another text of id five", "de", "b", 1), (None, "a null id too", "de", "b", 1)]
+    _, sources, target = expected_mix([(r[0], r[1], r[3]) for r in rows])
+    found = mixed_documents(table(spark, rows), range_rows=range_rows).collect()
+    words = {}
+    for r in found:
+        words[r.source] = words.get(r.source, 0) + len(words5(r.text))
+    assert words == {s: int(t + 1e-9) for s, t in target.items() if t}
+    taken = {}
+    for r in mix(table(spark, rows), range_rows=range_rows).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    by_id = {}
+    for r in found:
+        by_id[r.doc_id] = by_id.get(r.doc_id, 0) + len(words5(r.text))
+    assert by_id == {i: n for i, n in taken.items() if n} and by_id[None] > 0 and by_id[5] > 0
+    again = mixed_documents(table(spark, rows).repartition(3), range_rows=range_rows).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
 def test_shards_are_even_gapless_and_reproducible(spark):
     df = table(spark, clash=("size", "row_number", "place"))
     rows = sharding.shard(df, shards=3).collect()
