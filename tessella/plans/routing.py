@@ -22,6 +22,12 @@ def working_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", q.needs_working(asked).alias("works"))
 
 
+def working_detector_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """working_detector over whole turns."""
+    asked = F.concat(F.lit("how many "), "text", F.when(F.col("turn") % 3 == 0, " 12").otherwise(""))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", q.needs_working(asked).alias("works"))
+
+
 def language_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", q.needs_translation(F.col("text")).alias("translate"))
 
@@ -46,7 +52,7 @@ def clean_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.concat(F.lit("best vegan food in "), F.initcap(F.substring("text", 1, 12)))
+    asked = F.concat(F.lit("best vegan food in "), F.initcap("text"))
     return read(spark, sf_dir, "benchmark").select("item_id", q.place_asks(asked).alias("ask")).select("item_id", "ask.*")
 
 
@@ -70,7 +76,7 @@ def check_terms_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        working_detector, language_detector, leak_detector, followup_detector, plan_lines, clean_checks, place_questions,
+        working_detector, working_detector_whole, language_detector, leak_detector, followup_detector, plan_lines, clean_checks, place_questions,
         context_pack, check_terms_overlap,
     )
 }
@@ -78,5 +84,7 @@ _W = q.CALCULATES.replace("'", "''")
 ORACLES = {
     "working_detector": f"""WITH a AS (SELECT conv_id, turn, 'how many ' || left(text, 40) || CASE WHEN turn % 3 = 0 THEN ' 12' ELSE '' END AS t FROM conversations)
         SELECT conv_id, turn, regexp_matches(t, '{_W}') OR regexp_matches(t, '{q.SUPPOSES}') OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '{q.MEASURES}')) AS works FROM a""",
+    "working_detector_whole": f"""WITH a AS (SELECT conv_id, turn, 'how many ' || text || CASE WHEN turn % 3 = 0 THEN ' 12' ELSE '' END AS t FROM conversations)
+        SELECT conv_id, turn, regexp_matches(t, '{_W}') OR regexp_matches(t, '{q.SUPPOSES}') OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '{q.MEASURES}')) AS works FROM a""",
     "leak_detector": "SELECT item_id, item_id % 2 = 0 AS leak FROM benchmark",
 }
