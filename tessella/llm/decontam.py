@@ -50,17 +50,21 @@ class Items:
     anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
-def _shingle_keys(flat: np.ndarray, width: int, base: int) -> np.ndarray:
-    """The key of the run of `width` words at each place; 0 where a word is in no item."""
+def _shingle_keys(flat: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the run of `width` words at each place; 0 where a word is in no item.
+
+    Runs that share a hash only make more candidates: windows are compared word by word.
+    """
     n = len(flat) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    key, known = np.zeros(n, np.int64), np.ones(n, bool)
+        return np.zeros(0, np.uint64)
+    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
     for k in range(width):
         part = flat[k : k + n]
-        key = key * base + part
+        key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
         known &= part > 0
-    return np.where(known, key, 0)
+    return np.where(known, key | np.uint64(1), np.uint64(0))
 
 
 def _items(rows: list[tuple[str, str]], window: int, shingle: int) -> Items:
@@ -72,26 +76,23 @@ def _items(rows: list[tuple[str, str]], window: int, shingle: int) -> Items:
     start = np.repeat(starts, number) + np.arange(number.sum()) - np.repeat(starts_of(number)[:-1], number)
     length = np.minimum(counts, window)[item]
     vocabulary = {w: i + 1 for i, w in enumerate(distinct.to_pylist())}
-    base = len(vocabulary) + 1
-    if base**shingle >= 2**63:
-        raise ValueError("too many distinct words in a block of items")
     keys = {}
     for width in range(1, shingle + 1):
         mine = np.minimum(length, shingle) == width
         if mine.any():
-            every = _shingle_keys(flat, width, base)
-            places = {int(s) + k for s, n in zip(start[mine], length[mine], strict=True) for k in range(n - width + 1)}
-            keys[width] = np.unique(every[sorted(places)])
+            every = _shingle_keys(flat, width)
+            runs = length[mine] - width + 1
+            places = np.repeat(start[mine], runs) + np.arange(runs.sum()) - np.repeat(starts_of(runs)[:-1], runs)
+            keys[width] = np.unique(every[np.unique(places)])
     return Items([i for i, _ in rows], vocabulary, flat, start, length, item, keys)
 
 
 def _anchored(items: Items, frequency: dict[int, np.ndarray], shingle: int) -> Items:
     """Choose each window's rarest shingle; windows sorted by it."""
-    base = len(items.vocabulary) + 1
     items.anchors = {}
     for width, keys in items.keys.items():
         mine = np.flatnonzero(np.minimum(items.length, shingle) == width)
-        every = _shingle_keys(items.flat, width, base)
+        every = _shingle_keys(items.flat, width)
         rank = np.searchsorted(keys, every).clip(0, len(keys) - 1)
         best, where = np.full(len(mine), np.iinfo(np.int64).max), np.zeros(len(mine), np.int64)
         for k in range(int(items.length[mine].max()) - width + 1):
@@ -113,9 +114,9 @@ def _numbered(texts: pa.StringArray, items: Items) -> tuple[np.ndarray, np.ndarr
     return counts, known[codes] if len(codes) else np.zeros(0, np.int64)
 
 
-def _found(flat: np.ndarray, owner: np.ndarray, keys: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+def _found(flat: np.ndarray, owner: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, rank of its key) of the shingles in flat that items have, within one document."""
-    key = _shingle_keys(flat, width, base)
+    key = _shingle_keys(flat, width)
     place = np.flatnonzero(key)
     place = place[owner[place] == owner[place + width - 1]]
     rank = np.searchsorted(keys, key[place]).clip(0, len(keys) - 1)
@@ -126,13 +127,12 @@ def _found(flat: np.ndarray, owner: np.ndarray, keys: np.ndarray, width: int, ba
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        base = len(items.vocabulary) + 1
         total = {w: np.zeros(len(k), np.int64) for w, k in items.keys.items()}
         for batch in gathered(batches, GATHER, 0):
             counts, flat = _numbered(text_array(batch.column(0)), items)
             owner = np.repeat(np.arange(len(counts)), counts)
             for width, keys in items.keys.items():
-                _, rank = _found(flat, owner, keys, width, base)
+                _, rank = _found(flat, owner, keys, width)
                 total[width] += np.bincount(rank, minlength=len(keys))
         for width, n in total.items():
             seen = np.flatnonzero(n)
@@ -144,11 +144,11 @@ def _count(shared):
     return run
 
 
-def _candidates(flat, owner, items: Items, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(flat, owner, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(start in flat, window) in chunks: anchors met whose window fits into the document."""
     for width, keys in items.keys.items():
         anchor, window, offset = items.anchors[width]
-        place, rank = _found(flat, owner, keys, width, base)
+        place, rank = _found(flat, owner, keys, width)
         low, high = np.searchsorted(anchor, rank, "left"), np.searchsorted(anchor, rank, "right")
         reps = high - low
         ends = np.cumsum(reps)
@@ -175,12 +175,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        base = len(items.vocabulary) + 1
         for batch in gathered(batches, GATHER):
             counts, flat = _numbered(text_array(batch.column(1)), items)
             starts, owner = starts_of(counts), np.repeat(np.arange(len(counts)), counts)
             met: dict[int, tuple[set, set]] = {}
-            for begin, window in _candidates(flat, owner, items, base):
+            for begin, window in _candidates(flat, owner, items):
                 length = items.length[window]
                 same = np.ones(len(begin), bool)
                 for k in range(int(length.max()) if len(length) else 0):
