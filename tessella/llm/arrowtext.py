@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that gathered() puts together.
-GATHER_BYTES = 12_000_000
+GATHER_BYTES = 4_000_000
 _UPPER = bytes(range(65, 91))
 #: Byte tables for bytes.translate(). Both lower-case A-Z alone.
 #: SPACED: words are what stands between the bytes 20 and 09-0D.

@@ -7,17 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. A batch holds whole texts, so this bounds a worker's memory.
+#: Rows and bytes of an Arrow batch. A batch holds whole texts, so these bound a worker's memory; one row may be larger.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 #: Rows up to which a table of a few fixed-width columns may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batches to `rows` and BATCH_BYTES; smaller settings stay.
+
+    Spark reads both when a plan runs, which may be long after this call, so they
+    are not set back.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, str(2**31 - 1))
+        if not (now.isdigit() and 1 <= int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_root(spark: SparkSession) -> str:
