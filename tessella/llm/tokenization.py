@@ -20,7 +20,7 @@ from tessella.llm.workers import KEPT, tidy
 #: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 
 #: New words encoded at a time.
 _LINE = 2000
@@ -60,7 +60,8 @@ def _lengths(tokenizer, texts: list[str]) -> list[int]:
 def breaks_before_spaces(path: str) -> bool:
     """Whether the tokenizer starts a new piece at a single space between word characters.
 
-    True for byte-level splitting by its own pattern, whose words carry the space before them.
+    True for byte-level splitting by its own pattern, whose words carry the space before
+    them, if no added token holds a space or takes those beside it.
     """
     if not path.endswith(".json"):
         return False
@@ -68,6 +69,7 @@ def breaks_before_spaces(path: str) -> bool:
         spec = json.load(f)
     before = spec.get("pre_tokenizer") or {}
     plain = spec.get("normalizer") is None and not spec["model"].get("dropout")
+    plain = plain and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
     return bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"))
 
 
@@ -89,7 +91,7 @@ class Counter:
         held, size = [], 0
         for text in texts:
             held.append(text)
-            size += len(text)
+            size += len(text) if text.isascii() else len(text.encode())
             if size >= self.batch_bytes:
                 yield from _lengths(self.tokenizer, held)
                 held, size = [], 0
