@@ -1,7 +1,8 @@
 """ISO base media files in a binary column: boxes, sample tables, keyframe byte ranges.
 
 index_media() walks the boxes of each file and decodes the sample tables of its
-tracks. Payload bytes are never decoded; they are only named by offset and size.
+tracks, and the runs of fragments. Payload bytes are never decoded; they are only
+named by offset and size.
 pack_text() makes such a file of a text: frames of 64 8-bit samples, stored raw.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrowtext import text_array
+from tessella.llm.arrowtext import gathered, text_array
 from tessella.llm.shared import bound_batches, new_folder
 from tessella.llm.workers import tidy
 
@@ -138,23 +139,81 @@ def _sizes(data: memoryview, at: int, end: int, compact: bool) -> np.ndarray:
             return np.full(count, field, np.int64)
         return np.frombuffer(data[at + 12 : end], ">u4", count).astype(np.int64)
     bits = field & 0xFF
+    if bits not in (4, 8, 16):
+        raise ValueError(f"sample sizes of {bits} bits")
     if bits == 4:
         pairs = np.frombuffer(data[at + 12 : end], np.uint8, (count + 1) // 2)
         return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:count].astype(np.int64)
     return np.frombuffer(data[at + 12 : end], f">u{bits // 8}", count).astype(np.int64)
 
 
+def _fragment_header(view: memoryview, at: int, moof: int, defaults: dict[int, tuple]) -> dict:
+    """What a tfhd box says of its fragment; what it leaves out comes from trex, and its base from the moof box."""
+    flags, track = struct.unpack_from(">I", view, at)[0] & 0xFFFFFF, struct.unpack_from(">I", view, at + 4)[0]
+    duration, size, sample_flags = defaults.get(track, (0, 0, 0))
+    base, at = moof, at + 8
+    if flags & 0x1:
+        base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+    at += 4 if flags & 0x2 else 0
+    fields = {0x8: duration, 0x10: size, 0x20: sample_flags}
+    for flag in fields:
+        if flags & flag:
+            fields[flag], at = struct.unpack_from(">I", view, at)[0], at + 4
+    return {"track": track, "base": base, "next": base, "duration": fields[0x8], "size": fields[0x10], "flags": fields[0x20]}
+
+
+def _run(view: memoryview, at: int, end: int, head: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(offsets, sizes, keys) of a trun box's samples, and their duration."""
+    flags, count = struct.unpack_from(">I", view, at)[0] & 0xFFFFFF, struct.unpack_from(">I", view, at + 4)[0]
+    start, at = head["next"], at + 8
+    if flags & 0x1:
+        start, at = head["base"] + struct.unpack_from(">i", view, at)[0], at + 4
+    first = head["flags"]
+    if flags & 0x4:
+        first, at = struct.unpack_from(">I", view, at)[0], at + 4
+    given = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    if at + 4 * len(given) * count > end or (not given and count > len(view)):
+        raise ValueError("run longer than its box")
+    rows = np.frombuffer(view[at : at + 4 * len(given) * count], ">u4").astype(np.int64).reshape(count, len(given))
+    field = lambda flag, default: rows[:, given.index(flag)] if flag in given else np.full(count, default, np.int64)
+    sizes, marks = field(0x200, head["size"]), field(0x400, head["flags"]).copy()
+    if flags & 0x4 and count:
+        marks[0] = first
+    offsets = start + np.cumsum(sizes) - sizes
+    head["next"] = start + int(sizes.sum())
+    # Bit 16 of a sample's flags: it isn't a sync sample.
+    return offsets, sizes, (marks >> 16) & 1 == 0, int(field(0x100, head["duration"]).sum())
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Each track: handler, codec, width, height, timescale, duration, and its samples' offsets, sizes and keys."""
+    """Each track: number, handler, codec, width, height, timescale, duration, and its samples' offsets, sizes and keys.
+
+    Samples of fragments come after those of the sample tables.
+    """
     view, found = memoryview(data), []
+    defaults: dict[int, tuple] = {}
+    head, moof, runs = None, 0, []
     for path, at, end in walk(view):
         kind = path[-1]
         if path == (b"moov", b"trak"):
-            found.append({"handler": "", "codec": "", "width": 0, "height": 0, "timescale": 0, "duration": 0})
+            found.append({"number": 0, "handler": "", "codec": "", "width": 0, "height": 0, "timescale": 0, "duration": 0})
+        elif kind == b"trex":
+            number, _, *values = struct.unpack_from(">5I", view, at + 4)
+            defaults[number] = tuple(values)
+        elif path == (b"moof",):
+            moof = at - 8
+        elif kind == b"tfhd":
+            head = _fragment_header(view, at, moof, defaults)
+        elif kind == b"trun":
+            if head is None:
+                raise ValueError("run without a fragment header")
+            runs.append((head["track"], *_run(view, at, end, head)))
         if not found or b"trak" not in path:
             continue
         track = found[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            track["number"] = struct.unpack_from(">I", view, at + (20 if view[at] == 1 else 12))[0]
+        elif kind == b"mdhd":
             form = ">QQIQ" if view[at] == 1 else ">IIII"
             _, _, track["timescale"], track["duration"] = struct.unpack_from(form, view, at + 4)
         elif kind == b"hdlr" and path[-2] == b"mdia":
@@ -175,9 +234,23 @@ def tracks(data: bytes) -> list[dict]:
             track["sizes"] = _sizes(view, at, end, kind == b"stz2")
     for track in found:
         _place(track, len(data))
+        _append_runs(track, [r[1:] for r in runs if r[0] == track["number"]], len(data))
     return found
 
 
+def _append_runs(track: dict, runs: list[tuple], length: int) -> None:
+    if not runs:
+        return
+    before = len(track["sizes"])
+    offsets, sizes, keys, durations = zip(*runs, strict=True)
+    track["duration"] = (track["duration"] if before else 0) + sum(durations)
+    track["keys"] = np.concatenate([track["keys"], before + np.flatnonzero(np.concatenate(keys))])
+    track["offsets"] = np.concatenate([track["offsets"], *offsets])
+    track["sizes"] = np.concatenate([track["sizes"], *sizes])
+    if (track["offsets"] < 0).any() or (track["offsets"] + track["sizes"] > length).any():
+        raise ValueError("sample beyond the file")
+
+
 def _place(track: dict, length: int) -> None:
     """Offsets of a track's samples, from its chunk and size tables."""
     sizes, chunks = track.pop("sizes", np.zeros(0, np.int64)), track.pop("chunks", np.zeros(0, np.int64))
@@ -215,41 +288,57 @@ def payload(data: bytes, track: dict) -> bytes:
 
 _KEYFRAMES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
 INDEX_SCHEMA = (
-    "codec string, timescale long, duration long, samples long, "
+    "track int, handler string, codec string, timescale long, duration long, samples long, "
     "keyframes array<struct<offset:bigint,size:bigint>>, error string"
 )
+#: Bytes of media taken at a time.
+GATHER = 8_000_000
+
+
+def keyframes(track: dict) -> list[dict]:
+    """Byte ranges of a track's keyframes."""
+    keys = track["keys"]
+    return [{"offset": o, "size": n} for o, n in zip(track["offsets"][keys].tolist(), track["sizes"][keys].tolist(), strict=True)]
 
 
 def index_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, codec, timescale, duration, samples, keyframes, error) of each file's first track.
+    """(doc_id, track, handler, codec, timescale, duration, samples, keyframes, error), a row for each track of each file.
 
-    duration is in units of 1/timescale seconds; keyframes are byte ranges of the
-    file. A null, empty or malformed file has nulls and says why in error; a track
-    without a sync table has a keyframe for each sample. Other columns are ignored.
+    track counts from 1 in file order. duration is in units of 1/timescale seconds;
+    keyframes are byte ranges of the file. A null, empty or malformed file is one
+    row of nulls that says why in error, however it is malformed; a track without a
+    sync table has a keyframe for each sample. Other columns are ignored.
     """
     bound_batches(media.sparkSession)
+    names = ("track", "handler", "codec", "timescale", "duration", "samples", "keyframes", "error")
+    kinds = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 3, _KEYFRAMES, pa.string()]
+
+    def rows_of(raw: bytes) -> list[dict]:
+        try:
+            found = [
+                {k: t[k] for k in ("handler", "codec", "timescale", "duration")}
+                | {"track": n, "samples": len(t["sizes"]), "keyframes": keyframes(t)}
+                for n, t in enumerate(tracks(raw), 1)
+            ]
+            return found or [{"error": "no track"}]
+        except Exception as e:  # noqa: BLE001  a bad file must not end the job
+            return [{"error": str(e) or type(e).__name__}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw in batch.column(1):
-                row = dict.fromkeys(("codec", "timescale", "duration", "samples", "keyframes", "error"))
-                try:
-                    track = tracks(raw.as_py() or b"")[0]
-                    row |= {k: track[k] for k in ("codec", "timescale", "duration")} | {"samples": len(track["sizes"])}
-                    row["keyframes"] = [
-                        {"offset": int(track["offsets"][k]), "size": int(track["sizes"][k])} for k in track["keys"]
-                    ]
-                except (ValueError, IndexError, struct.error) as e:
-                    row["error"] = str(e) or "no track"
-                rows.append(row)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), _KEYFRAMES, pa.string()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in zip(rows[0] if rows else (), kinds, strict=False)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], *rows[0]])
+        for batch in gathered(batches, GATHER):
+            rows, owner = [], []
+            for k, raw in enumerate(batch.column(1)):
+                mine = rows_of(raw.as_py() or b"")
+                rows += mine
+                owner += [k] * len(mine)
+            columns = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *columns], ["doc_id", *names])
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, {INDEX_SCHEMA}")
+    found = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(
+        tidy(run), f"doc_id {kind}, {INDEX_SCHEMA}"
+    )
+    return found.withColumnRenamed("doc_id", id_col)
 
 
 def pack_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +349,7 @@ def pack_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, GATHER):
             raws = text_array(batch.column(1)).cast(pa.binary()).to_pylist()
             files = [pack_payload(pad(r)) for r in raws]
             yield pa.RecordBatch.from_arrays(
@@ -276,8 +365,9 @@ def pack_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in batches:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+             "codec", "duration", "timescale", "keyframes"]
+    for batch in gathered(batches, GATHER, 2):
         rows = []
         for doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             track = tracks(raw)[0]
@@ -290,15 +380,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             rows.append((
                 doc, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]),
-                len(raw), hashlib.sha256(raw).hexdigest(), feature,
+                len(raw), hashlib.sha256(raw).hexdigest(), feature, track["codec"], track["duration"], track["timescale"], keyframes(track),
             ))
         if rows:
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
+            columns[-1] = columns[-1].cast(_KEYFRAMES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[1:]], names)
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as a media file in the shared folder, read the files back and describe them."""
+    """Store each text as a media file in the shared folder, read the files back and describe them, keyframe byte ranges included."""
     spark = docs.sparkSession
     packed = pack_text(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id")
     path = f"{new_folder(spark, 'media')}/t"
@@ -308,6 +399,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stored.mapInArrow(
         tidy(_digest),
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
+        "media_bytes long, media_sha256 string, feature string, codec string, duration long, timescale long, "
+        "keyframes array<struct<offset:bigint,size:bigint>>",
     )
     return found.withColumnRenamed("doc_id", id_col)
