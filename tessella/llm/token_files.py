@@ -177,19 +177,21 @@ def write_token_files(
     """Encode docs into files of out_dir (a folder all executors share); returns their manifest.
 
     Manifest: (file, part, docs, ids, bytes); files in order of part hold documents
-    in ascending id, null ids first, equal ids by text. Each text gets end_id
-    after it; null texts count as empty. A file is written under another name and
-    renamed, so a task that runs again replaces it whole. An empty table makes no
-    file.
+    in ascending id, null ids first, equal ids by the text's hash, which also deals
+    a repeated id to several files. Each text gets end_id after it; null texts count
+    as empty. A file's name tells job and attempt, and nothing is renamed:
+    a task that runs again writes another file, the manifest names the one that
+    counts, and files it doesn't name are removed. An empty table makes no file.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    out_dir = out_dir or new_folder(spark, "tokens")
+    out_dir, job = out_dir or new_folder(spark, "tokens"), uuid.uuid4().hex
     parts = min(MOST_FILES, max(1, -(-docs.count() // file_docs)))
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("text_hash", F.xxhash64("text"))
+        .repartitionByRange(parts, "doc_id", "text_hash")
+        .sortWithinPartitions("doc_id", "text_hash", "text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +199,7 @@ def write_token_files(
 
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(out_dir)
-        name = f"{root}/part-{part:06d}.tokens"
-        draft = f"{root}/.{uuid.uuid4().hex}"
+        name = f"{root}/{job}-{part:06d}-{uuid.uuid4().hex}.tokens"
         encoder, writer, stream = None, None, None
         end = struct.pack("<I", end_id)
         for batch in gathered(batches):
@@ -206,7 +207,7 @@ def write_token_files(
                 continue
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                encoder, stream = worker_encoder(tokenizer_path), fs.open_output_stream(draft)
+                encoder, stream = worker_encoder(tokenizer_path), fs.open_output_stream(name)
                 writer = Writer(stream, planes)
             counts, ids = encoder.encode(text_array(batch.column(1)))
             raw, at = ids.tobytes(), 0
@@ -217,14 +218,28 @@ def write_token_files(
             return
         writer.finish()
         stream.close()
-        fs.move(draft, name)
         yield pa.RecordBatch.from_pylist([{
             "file": name, "part": part, "docs": len(writer.docs),
             "ids": sum(n for _, n in writer.docs), "bytes": fs.get_file_info(name).size,
         }])
 
     manifest = ordered.mapInArrow(tidy(run, keeps=True), "file string, part long, docs long, ids long, bytes long")
-    return kept(manifest.withColumn("folder", F.lit(out_dir)), "manifest")
+    named = kept(manifest.withColumn("folder", F.lit(out_dir)), "manifest")
+    _remove_others(named, out_dir, job)
+    return named
+
+
+def _remove_others(manifest: DataFrame, out_dir: str, job: str) -> None:
+    """Delete this job's files that its manifest doesn't name: what lost attempts left. At most MOST_FILES names."""
+    spark = manifest.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = {row["file"].rsplit("/", 1)[-1] for row in manifest.select("file").collect()}
+    if named:
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith(job) and name not in named:
+                fs.delete(status.getPath(), False)
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
