@@ -13,16 +13,17 @@ table of 65,536 rows, so a filter of width 4 is two look-ups.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.arrowtext import SPACED, gathered, mapped, text_array
-from tessella.llm.folds import held_out, with_texts
+from tessella.llm.folds import hash_sample, held_out, with_texts
 from tessella.llm.shared import bound_batches
 from tessella.llm.workers import tidy
 
@@ -94,8 +95,20 @@ def log_probabilities(x: np.ndarray, net: Network, tables: dict[int, list[np.nda
     return out
 
 
+def sample_windows(text: str) -> np.ndarray:
+    """At most SAMPLE_WINDOWS windows of a text, drawn by a hash of it."""
+    raw = text.encode()
+    every = windows(raw.translate(SPACED))
+    return every[np.random.default_rng(zlib.crc32(raw)).permutation(len(every))[:SAMPLE_WINDOWS]]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Train on windows of sample texts. Without any, the network knows no language."""
+    """Train on windows of sample texts."""
+    return train_windows([sample_windows(t) for t in texts], labels, epochs, seed)
+
+
+def train_windows(samples: list[np.ndarray], labels: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """Train on windows, an array of them for each label. Without any, the network knows no language."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     net = Network(
@@ -106,15 +119,10 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
         rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(languages))),
         np.zeros(len(languages)),
     )
-    xs, ys = [], []
-    for text, label in zip(texts, labels, strict=True):
-        every = windows(text.encode().translate(SPACED))
-        chosen = rng.permutation(len(every))[:SAMPLE_WINDOWS]
-        xs.append(every[chosen])
-        ys.extend([languages.index(label)] * len(chosen))
     if len(languages) < 2:
         return net
-    x, y = np.concatenate(xs), np.array(ys)
+    x = np.concatenate(samples)
+    y = np.repeat([languages.index(label) for label in labels], [len(s) for s in samples])
     theta = {"e": net.embedding, "o": net.out, "c": net.out_bias}
     theta |= {f"f{w}": net.filters[w] for w in WIDTHS} | {f"b{w}": net.bias[w] for w in WIDTHS}
     mean, square = {k: np.zeros_like(v) for k, v in theta.items()}, {k: np.zeros_like(v) for k, v in theta.items()}
@@ -162,20 +170,25 @@ def fit_languages(
 ) -> Network:
     """A network trained on at most `sample` documents of each language outside the held-out fold.
 
-    The sample is taken by hash of the id, so it doesn't depend on row order. Null
-    ids, texts and languages are left out.
+    The sample is taken by hash of the id, so it doesn't depend on row order, and
+    only its windows reach the driver. Null ids, texts and languages are left out;
+    an id of several languages counts as the first of them.
     """
     known = docs.where(
         ~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     ).select(F.col(id_col), F.col(lang_col).alias("label"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
-    chosen = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).drop("rank")
-    ids = [(r[0], r[1]) for r in chosen.collect()]
-    if not ids:
-        return train([], [])
-    rows = with_texts(docs.sparkSession.createDataFrame(ids, chosen.schema).dropDuplicates([id_col]), docs, id_col, text_col).collect()
-    rows = sorted(rows, key=lambda r: (r[id_col], r["label"], r["sample_text"]))
-    return train([r["sample_text"] for r in rows], [r["label"] for r in rows])
+    chosen = hash_sample(known, id_col, sample).groupBy(id_col).agg(F.min("label").alias("label"))
+    bound_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, 4_000_000, 2):
+            parts = [sample_windows(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["id", "label", "windows"])
+
+    texts = with_texts(chosen, docs, id_col, text_col).select(F.col(id_col).cast("string"), F.col("label").cast("string"), "sample_text")
+    rows = sorted(tuple(r) for r in texts.mapInArrow(tidy(cut), "id string, label string, windows binary").collect())
+    samples = [np.frombuffer(bytes(w), np.uint8).reshape(-1, LENGTH) for _, _, w in rows]
+    return train_windows(samples, [label for _, label, _ in rows])
 
 
 def _predict(shared):

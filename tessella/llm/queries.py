@@ -27,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learnt outside the held-out fold."""
     documents = _table(spark, sf_dir, "documents")
     scored = toxicity(documents, fit_toxicity(documents, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), "spans")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,16 +18,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.arrowtext import ALNUM, gathered, starts_of, text_array, words
-from tessella.llm.folds import held_out, with_texts
+from tessella.llm.folds import hash_sample, held_out, with_texts
 from tessella.llm.shared import bound_batches
 from tessella.llm.workers import tidy
 
 #: Labelled documents of each class that training sees at most, lowest hash first.
 SAMPLE = 1500
+#: Bytes of their texts of each class at most: of the sample in hash order, texts are taken as long as they fit.
+SAMPLE_BYTES = 8_000_000
 BUCKETS = 1 << 18
 BLOCK = 128
 #: Training sees segments of so many tokens, and about so many tokens in all.
@@ -342,22 +344,22 @@ def _score(shared):
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Field:
     """A field trained on at most `sample` labelled documents of each class outside the held-out fold.
 
-    The sample is taken by hash of the id, so it doesn't depend on row order. Null
-    labels, ids and texts are left out.
+    The sample is taken by hash of the id, so it doesn't depend on row order; its
+    texts have at most sample_bytes a class. Null labels, ids and texts are left out.
     """
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(
         ~held_out(id_col) & F.col(id_col).isNotNull()
     )
-    chosen = None
-    for value in (0, 1):
-        part = known.where(F.col("label") == value).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-        chosen = part if chosen is None else chosen.union(part)
-    rows = with_texts(chosen, docs, id_col, text_col).collect()
-    rows = sorted(rows, key=lambda r: (r[id_col], r["label"]))
+    chosen = hash_sample(known.where("label in (0, 1)").distinct(), id_col, sample)
+    texts = with_texts(chosen, docs, id_col, text_col).withColumn("size", F.octet_length("sample_text")).where(F.col("size") <= sample_bytes)
+    in_order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col, "sample_text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = texts.withColumn("total", F.sum("size").over(in_order)).where(F.col("total") <= sample_bytes).collect()
+    rows = sorted(rows, key=lambda r: (r[id_col], r["label"], r["sample_text"]))
     return train([r["sample_text"] for r in rows], [r["label"] for r in rows])
 
 
