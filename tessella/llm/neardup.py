@@ -4,14 +4,21 @@ Documents are posted under each (coordinate, minimum) pair of their signature.
 A pair of documents is a candidate if at least MATCHES of the COORDINATES agree,
 and a link if the Jaccard similarity of the full shingle sets reaches the limit.
 
-* Posts that stand alone cannot collide, so they go; a document left with fewer
+* Equal sets are one class, and classes are what is posted.
+* Posts that stand alone cannot collide, so they go; a class left with fewer
   than MATCHES posts is skipped.
-* The other posts are ordered by rarity; two documents with MATCHES common posts
+* The other posts are ordered by rarity; two classes with MATCHES common posts
   meet in the first (posts - MATCHES + 1) of each, so only that prefix is joined.
-* Each post's documents are first merged with the post's best connected document
-  (a star: linear in the post's length), which unites groups of copies.
-* What is still apart within a family of posts is compared block against block in
-  tasks of a bounded size, so no pair is lost and none is written that isn't a link.
+* Each post's classes are first merged with the post's best connected class (a
+  star: linear in the post's length), which unites groups of copies.
+* Pairs that are still apart are met in the posts that hold both. Posts of up to
+  SHORT classes give their pairs. Longer ones are skipped: a pair as similar as
+  the limit also shares one of the rarest quarter of the shingles of each, so
+  their classes are posted under those, and these posts are rare again. A post
+  of shingles that is long all the same is dealt to pairs of blocks.
+* Collisions of a pair's signatures are counted before any set is read, pairs
+  below MATCHES go, and every link is confirmed on full sets: first the best pair
+  of each two components, then the pairs of what is still apart.
 
 Two texts of similarity 0.75 agree in fewer than 28 of 64 coordinates with a
 chance of 2.5e-8, the method's only way to lose a link.
@@ -22,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,8 +43,10 @@ WIDTH = 5
 COORDINATES = 64
 MATCHES = 28
 SIMILAR = (75, 100)
-#: Documents of one side in a block comparison; families above one block are salted over blocks.
-BLOCK = 256
+#: Classes of a post whose pairs are made directly, and of a block of a longer one.
+SHORT = 64
+#: Counters of the shingle frequencies that order a set; a power of two.
+COUNTERS = 1 << 20
 
 #: Bytes of text hashed at a time.
 GATHER = 4_000_000
@@ -104,12 +112,12 @@ def _sign(width: int, coordinates: int):
             signs = signature.view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch.column(0), batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([signs[r] if r >= 0 else None for r in rows], pa.list_(pa.int32())),
                 ],
-                ["node", "n", "class", "sign"],
+                ["id", "row_key", "n", "class", "sign"],
             )
 
     return run
@@ -117,10 +125,11 @@ def _sign(width: int, coordinates: int):
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, GATHER):
-            sets = _set_rows(*shingle_hashes(text_array(batch.column(1)), width))
-            packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["node", "items"])
+        for batch in gathered(batches, GATHER, 0):
+            sets = _set_rows(*shingle_hashes(text_array(batch.column(0)), width))
+            packed = [s.tobytes() for s in sets]
+            digests = [xxhash.xxh3_128_digest(s) for s in packed]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["class", "items"])
 
     return run
 
@@ -143,48 +152,34 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _compare_blocks(matches: int):
-    """Links between the documents of two blocks that aren't one component already: a forest."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left = block[block.side == 0].reset_index(drop=True)
-        alone = bool(block.alone.iloc[0])
-        right = left if alone else block[block.side == 1].reset_index(drop=True)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        parent = {x: x for x in pd.concat([left.label, right.label]).unique()}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        sets = [np.frombuffer(x, np.uint64) for x in right["items"]]
-        sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
-        signs = np.stack(right.sign.to_numpy())
-        found = []
-        for i, (items, sign, label) in enumerate(zip(left["items"], left.sign, left.label, strict=True)):
-            agree = (signs == np.asarray(sign)[None, :]).sum(axis=1) >= matches
-            if alone:
-                agree[: i + 1] = False
-            agree &= right.label.to_numpy() != label
-            if not agree.any():
-                continue
-            own = np.frombuffer(items, np.uint64)
-            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-            reps = high - low
-            at = np.repeat(low, reps) + np.arange(reps.sum()) - np.repeat(starts_of(reps)[:-1], reps)
-            common = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero(agree & _linked(common, len(own), sizes)):
-                a, b = root(label), root(right.label[j])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((left.node[i], right.node[j]))
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of the task hold a shingle of each counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        total += np.bincount((every % COUNTERS).astype(np.int64), minlength=COUNTERS)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["counter", "n"])
+
+
+def _rarest(shared):
+    """The shingles of each set that any set as similar as the limit must share one of: its rarest quarter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: np.ndarray = shared.value
+        for batch in batches:
+            parts = []
+            for items in batch.column(1):
+                own = np.frombuffer(items.as_buffer(), np.uint64)
+                order = np.lexsort((own, often[(own % COUNTERS).astype(np.int64)]))
+                # Similar sets share at least least = ceil(limit * size) items.
+                least = -(-SIMILAR[0] * len(own) // SIMILAR[1])
+                parts.append(own[order[: len(own) - least + 1]].view(np.int64))
+            sizes = np.array([len(x) for x in parts], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(parts)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64())], ["node", "key"]
+            )
 
     return run
 
@@ -214,134 +209,205 @@ def _prefix_posts(classes: DataFrame, matches: int) -> DataFrame:
     return live.select("node", "rank", F.explode(prefix).alias("post")).select("node", "rank", "post.key")
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members (family, node, label) dealt to blocks: one row per block pair they stand in.
+def _apart(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, size, length) of the posts that hold classes of several components."""
+    labelled = posts.select("key", "node").join(labels, "node")
+    live = labelled.groupBy("key").agg(F.count("*").alias("length"), F.min("label").alias("a"), F.max("label").alias("b"))
+    return labelled.join(live.where("a <> b").select("key", "length"), "key")
+
 
-    A component above half a block gets blocks of its own, never compared with
-    each other; smaller ones are packed by a hash of their label.
+def _pairs(posts: DataFrame, short: int) -> DataFrame:
+    """(u, v) of different components that share a post and whose sizes may be similar enough.
+
+    A post is dealt to blocks of about `short` classes, and a class to the pairs of
+    blocks that its own stands in, so no task sees more than two blocks of a post.
     """
-    by_label = members.groupBy("family", "label").agg(F.count("*").alias("size"))
-    placed = by_label.select("family", "label", "size", (F.col("size") > block // 2).alias("large"))
-    packed = placed.where("not large").groupBy("family").agg(F.sum("size").alias("packed"))
-    dealt = (
-        members.join(placed, ["family", "label"])
-        .join(packed, "family", "left")
-        .withColumn("parts", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("packed")) / F.lit(block / 2.0)))
-        .withColumn("part", F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("label"))), "parts"))
-        .withColumn("own", F.when(F.col("large"), F.col("label")))
-        .select("family", "node", "label", "own", "part")
+    blocks = F.ceil(F.col("length") / short)
+    dealt = posts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    sides = dealt.withColumn("other", F.explode(every))
+    left = sides.where("block <= other").select(
+        "key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")
     )
-    dealt = kept(dealt, "dealt")
-    names = dealt.select("family", "own", "part").distinct()
-    one, two = names.toDF("family", "own1", "part1"), names.toDF("family", "own2", "part2")
-    key = lambda n: F.struct(F.coalesce(f"own{n}", F.lit(-(2**63))), f"part{n}")
-    pairs = (
-        one.join(two, "family")
-        .where(key(1) <= key(2))
-        .where(F.col("own1").isNull() | F.col("own2").isNull() | (F.col("own1") != F.col("own2")))
-        .withColumn("alone", key(1) == key(2))
-        .withColumn("task", F.xxhash64("family", "own1", "part1", "own2", "part2"))
+    right = sides.where("block >= other").select(
+        "key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb")
     )
-    sides = pairs.select(
-        "family", "task", "alone", F.explode(F.array(
-            F.struct(F.col("own1").alias("own"), F.col("part1").alias("part"), F.lit(0).alias("side")),
-            F.struct(F.col("own2").alias("own"), F.col("part2").alias("part"), F.lit(1).alias("side")),
-        )).alias("s")
-    ).where("not (alone and s.side = 1)").select("family", "task", "alone", "s.*")
-    return sides.join(
-        dealt.withColumnRenamed("own", "own_"), ["family", "part"]
-    ).where(F.col("own").eqNullSafe(F.col("own_"))).select("task", "alone", "side", "node", "label")
-
+    met = left.join(right, ["key", "i", "j"]).where(
+        ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb"))
+        & (SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
+    )
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = WIDTH,
-    coordinates: int = COORDINATES,
-    matches: int = MATCHES,
-    block: int = BLOCK,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
-    component_id is the smallest id that links reach, itself included; kept marks
-    the row whose id that is. Null or empty texts have no shingles and are linked
-    with nothing. Equal sets are one class and compared once. Rows that repeat an
-    id are one document for the links; a null id is never the smallest, and its
-    component is its class's, or null. Other columns are ignored; an empty table
-    gives none. The id is an integer.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    signed = kept(
-        own.mapInArrow(tidy(_sign(width, coordinates)), "node long, n long, class binary, sign array<int>"), "signed"
+def _confirmed(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are links."""
+    return (
+        pairs.select("u", "v")
+        .join(items.select(F.col("node").alias("u"), F.col("items").alias("u_items")), "u")
+        .join(items.select(F.col("node").alias("v"), F.col("items").alias("v_items")), "v")
+        .select("u", "v", "u_items", "v_items")
+        .mapInArrow(tidy(_confirm), "u long, v long")
     )
-    classes = kept(
-        signed.where("n > 0 and node is not null")
-        .groupBy("class")
-        .agg(F.min("node").alias("node"), F.first("sign").alias("sign")),
-        "classes",
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label, size) after uniting the components that links join."""
+    label = labels.select("node", "label")
+    across = links.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(
+        F.col("lu").alias("u"), F.col("lv").alias("v")
     )
+    merged = components(across).toDF("label", "merged")
+    return labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"), "size")
+
+
+def _united(classes: DataFrame, own: DataFrame, width: int, matches: int, short: int) -> DataFrame:
+    """(node, label) of the classes that have a candidate: label is the smallest class that links reach."""
+    spark = classes.sparkSession
     posts = kept(_prefix_posts(classes, matches), "posts")
     hubs = posts.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("hub"))).alias("h"))
     hubs = hubs.select("key", (-F.col("h.hub")).alias("hub"))
     stars = kept(posts.join(hubs, "key").where("node <> hub").select("node", "hub").distinct(), "stars")
-    active = kept(
-        stars.select("node").union(stars.select("hub")).distinct(), "active"
+    active = kept(stars.select("node").union(stars.select("hub")).distinct(), "active")
+    live = kept(classes.join(small(active), "node", "left_semi"), "live")
+    rows = own.join(small(live.select("row_key")), "row_key", "left_semi").select("text")
+    sets = rows.mapInArrow(tidy(_full_sets(width)), "class binary, items binary")
+    items = kept(sets.join(small(live.select("class", "node")), "class").select("node", "items").dropDuplicates(["node"]), "items")
+    signs = live.select("node", "sign")
+
+    def colliding(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(signs.toDF("u", "u_sign"), "u").join(signs.toDF("v", "v_sign"), "v")
+        return both.select("u", "v", _agreeing("u_sign", "v_sign").alias("agree")).where(F.col("agree") >= matches)
+
+    linked = _confirmed(colliding(stars.toDF("u", "v")), items)
+    first = kept(components(linked).toDF("node", "label"), "first")
+    labels = kept(
+        live.select("node", F.col("n").alias("size")).join(first, "node", "left")
+        .select("node", F.coalesce("label", "node").alias("label"), "size"),
+        "labels",
     )
-    signs = kept(classes.join(small(active), "node", "left_semi").select("node", "sign"), "signs")
-    items = kept(
-        own.join(small(active), "node", "left_semi").dropDuplicates(["node"])
-        .mapInArrow(tidy(_full_sets(width)), "node long, items binary"),
-        "items",
+    apart = kept(_apart(posts, labels), "apart")
+    pairs = _pairs(apart.where(F.col("length") <= short), short)
+    longer = kept(apart.where(F.col("length") > short).select("node").distinct(), "longer")
+    if longer.count():
+        sets = kept(items.join(small(longer), "node", "left_semi"), "sets")
+        often = np.zeros(COUNTERS, np.int64)
+        counted = sets.select("items").mapInArrow(tidy(_counters), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+        for part in counted.toArrow().to_batches():
+            often[part.column(0).to_numpy()] = part.column(1).to_numpy()
+        rarest = sets.mapInArrow(tidy(_rarest(spark.sparkContext.broadcast(often))), "node long, key long")
+        pairs = pairs.union(_pairs(kept(_apart(rarest, labels), "rare"), short)).distinct()
+    candidates = kept(colliding(pairs), "candidates")
+    label = labels.select("node", "label")
+    between = candidates.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").groupBy(
+        F.least("lu", "lv").alias("la"), F.greatest("lu", "lv").alias("lb")
     )
-    passed = (
-        stars.join(signs, "node")
-        .join(signs.select(F.col("node").alias("hub"), F.col("sign").alias("hub_sign")), "hub")
-        .where(_agreeing("sign", "hub_sign") >= matches)
-        .select("node", "hub")
-    )
-    linked = (
-        passed.join(items, "node")
-        .join(items.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
-        .select("node", "hub", "items", "hub_items")
-        .mapInArrow(tidy(_confirm), "u long, v long")
-    )
-    first = kept(components(linked), "first")
-    families = components(stars.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    members = kept(
-        families.withColumnRenamed("component", "family")
-        .join(first, "node", "left")
-        .select("family", "node", F.coalesce("component", "node").alias("label")),
-        "members",
-    )
-    apart = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    rest = _blocks(kept(members.join(apart.select("family"), "family", "left_semi"), "apart"), block)
-    more = kept(
-        rest.join(items, "node").join(signs, "node")
-        .groupBy("task")
-        .applyInPandas(_compare_blocks(matches), "u long, v long"),
-        "more",
+    best = between.agg(F.max(F.struct("agree", "u", "v")).alias("p")).select("p.u", "p.v")
+    labels = kept(_relabelled(labels, _confirmed(best, items)), "labels")
+    label = labels.select("node", "label")
+    rest = candidates.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").where("lu <> lv")
+    return _relabelled(labels, kept(_confirmed(rest, items), "links")).select("node", "label")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, matches: int, short: int) -> DataFrame:
+    """(id, row_key, n, component, least): for each row its component's number (null without shingles) and smallest id."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = own.withColumn("row_key", F.xxhash64("id", "text"))
+    signed = kept(
+        own.select("id", "text", "row_key").mapInArrow(
+            tidy(_sign(width, coordinates)), "id long, row_key long, n long, class binary, sign array<int>"
+        ),
+        "signed",
     )
-    label = members.select("node", "label")
-    across = more.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(
-        F.col("lu").alias("u"), F.col("lv").alias("v")
+    classes = kept(
+        signed.where("n > 0").groupBy("class")
+        .agg(F.min("id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "classes",
     )
-    second = components(across).toDF("label", "merged")
-    final = members.join(second, "label", "left").select("node", F.coalesce("merged", "label").alias("component"))
-    by_class = kept(
-        classes.select("class", "node").join(final, "node", "left")
-        .select("class", F.coalesce("component", "node").alias("component")),
-        "component",
+    labels = _united(classes, own, width, matches, short)
+    # Rows of one id are one document: an id in several classes ties them.
+    spread = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
+    spread = kept(spread.where("a <> b").select("id"), "spread")
+    labelled = kept(
+        classes.select("class", "node", "least").join(labels, "node", "left")
+        .select("class", "node", F.coalesce("label", "node").alias("label"), "least"),
+        "labelled",
     )
-    return (
-        signed.select("node", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-        .join(by_class, "class", "left")
-        .select(
-            F.col("node").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component", "node").alias("component_id"),
+    if spread.count():
+        places = signed.where("n > 0").join(small(spread), "id").select("id", "class").distinct()
+        places = kept(places.join(labelled.select("class", "label"), "class").select("id", "label").distinct(), "places")
+        hub = places.groupBy("id").agg(F.min("label").alias("hub"))
+        tied = components(places.join(hub, "id").select(F.col("label").alias("u"), F.col("hub").alias("v")))
+        labelled = kept(
+            labelled.join(tied.toDF("label", "tied"), "label", "left")
+            .select("class", "node", F.coalesce("tied", "label").alias("label"), "least"),
+            "labelled",
         )
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_class = kept(labelled.join(smallest, "label").select("class", "label", "component_id"), "component")
+    whole = signed.where("n > 0").join(by_class, "class").select(
+        "id", "row_key", "n", F.col("label").alias("component"), F.col("component_id").alias("least")
     )
+    none = signed.where("n = 0").select("id", "row_key", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("least"))
+    return whole.union(none)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    coordinates: int = COORDINATES,
+    matches: int = MATCHES,
+    short: int = SHORT,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
+
+    component_id is the smallest id that links reach, itself included; kept marks
+    the rows whose id that is. Null or empty texts have no shingles and are linked
+    with nothing. Equal sets are one class and compared once. Rows that repeat an
+    id are one document for the links, whatever their texts; a null id is never the
+    smallest: such a row's component is its group's, or null. Other columns are
+    ignored; an empty table gives none. The id is an integer.
+    """
+    bound_batches(docs.sparkSession)
+    return _rows(docs, id_col, text_col, width, coordinates, matches, short).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    coordinates: int = COORDINATES,
+    matches: int = MATCHES,
+    short: int = SHORT,
+) -> DataFrame:
+    """The rows of docs, one of each group of near copies: that of the smallest id, null last, then by the text's hash.
+
+    Rows without shingles all stay. Rows that repeat an id are one document for
+    the links, so one row of them stays; null ids only follow their texts.
+    """
+    bound_batches(docs.sparkSession)
+    found = kept(_rows(docs, id_col, text_col, width, coordinates, matches, short).where("n > 0"), "rows")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row_key")
+    best = found.groupBy("component").agg(F.min(order).alias("best"))
+    judged = found.join(best, "component").withColumn("stays", order == F.col("best"))
+    gone = kept(judged.where("not stays").select("id", "row_key").distinct(), "gone")
+    again = judged.where("stays").groupBy("component").agg(F.count("*").alias("n"), F.first("best").alias("best")).where("n > 1")
+    again = kept(again.select(F.col("best.id").alias("id"), F.col("best.row_key").alias("row_key")), "again")
+    key = "dedup_row_key" + "_" * max(map(len, docs.columns))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+
+    def same(other: DataFrame) -> Column:
+        return (keyed[key] == other["row_key"]) & keyed[id_col].cast("long").eqNullSafe(other["id"])
+
+    gone, again = small(gone), small(again)
+    rest = keyed.join(gone, same(gone), "left_anti")
+    if not again.count():
+        return rest.select(*docs.columns)
+    once = rest.join(again, same(again), "left_anti").select(*docs.columns)
+    more = rest.join(again, same(again), "left_semi").dropDuplicates([id_col, key])
+    return once.unionByName(more.select(*docs.columns))

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 
 from tessella.llm import components as cc
 from tessella.llm.decontam import contamination, contamination_digest
-from tessella.llm.neardup import near_duplicates
+from tessella.llm.neardup import deduplicated, near_duplicates
 from tests.llm.helpers import AWKWARD, SCHEMA, plain_words, shingles, table, words_strategy
 
 
@@ -58,11 +58,38 @@ def family(seed, size):
     return rows
 
 
-@pytest.mark.parametrize("block", [8, 256])
-def test_chains_match_brute_force_in_small_and_large_blocks(spark, block):
+@pytest.mark.parametrize("short", [2, 8, 64])
+def test_chains_match_brute_force_in_short_and_long_posts(spark, short):
     rows = family(1, 60) + [(5000 + i, t) for i, (_, t) in enumerate(family(2, 40))]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    assert got(near_duplicates(df, block=block)) == sorted(brute_components(rows), key=str)
+    assert got(near_duplicates(df, short=short)) == sorted(brute_components(rows), key=str)
+
+
+def test_an_id_with_several_texts_ties_their_groups(spark):
+    first, second = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(7, first), (7, second), (8, first + " x"), (9, second + " y"), (None, second + " z"), (None, "some other text that is alone here"), (7, "short")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    assert got(near_duplicates(df)) == sorted(brute_components(rows), key=str)
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).where("doc_id = 9").collect()} == {9: 7}
+
+
+def test_one_row_of_each_group_stays(spark):
+    first, second = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, first), (4, first + " x"), (4, first + " x"), (6, second), (None, second), (None, "alone " * 9), (None, "alone " * 9), (2, ""), (2, None), (3, "  ")]
+    df = table(spark, [(i, t, None, None, None) for i, t in rows], clash=("row_key", "component", "id"))
+    stay = sorted(((r.doc_id, r.text) for r in deduplicated(df).collect()), key=str)
+    assert stay == sorted([(4, first + " x"), (6, second), (None, "alone " * 9), (2, ""), (2, None), (3, "  ")], key=str)
+    assert deduplicated(df).columns == df.columns
+
+
+def test_a_large_family_that_shares_most_words_stays_in_bounded_tasks(spark):
+    """4,000 texts share three fifths of their words and are no copies; 20 are copied: no pairs of all with all."""
+    rng, common = random.Random(5), [f"c{k}" for k in range(60)]
+    texts = [" ".join([*common, *(f"u{rng.randrange(10**9)}" for _ in range(40))]) for _ in range(4000)]
+    rows = list(enumerate(texts)) + [(5000 + i, texts[i] + " end") for i in range(20)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    found = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert found == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
 
 
 def test_no_documents(spark):

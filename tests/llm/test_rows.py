@@ -190,13 +190,52 @@ def test_media_round_trip(spark):
 
 def test_index_media_reads_nested_tables_and_survives_bad_files(spark):
     big = media.pack_payload(bytes(range(64)) * 700)
-    rows = [(1, big), (2, None), (3, b""), (4, big[:200]), (5, b"\0\0\0\x04free"), (6, media.box(b"moov"))]
+    odd = media.full_box(b"stz2", b"\0\0\0\x07\0\0\0\3", bytes(8))
+    for kind in (b"stbl", b"minf", b"mdia", b"trak", b"moov"):
+        odd = media.box(kind, odd)
+    rows = [(1, big), (2, None), (3, b""), (4, big[:200]), (5, b"\0\0\0\x04free"), (6, media.box(b"moov")), (7, odd)]
     found = {r.doc_id: r for r in media.index_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
     assert (found[1].codec, found[1].samples, found[1].duration, found[1].timescale) == ("raw ", 700, 700, 25)
     assert len(found[1].keyframes) == 44
     first = found[1].keyframes[1]
     assert big[first.offset : first.offset + first.size] == bytes(range(64))
-    assert all(found[k].codec is None and found[k].error for k in (2, 3, 4, 5, 6))
+    assert all(found[k].codec is None and found[k].error for k in (2, 3, 4, 5, 6, 7))
+
+
+def test_tracks_and_fragments_are_indexed(spark):
+    """An audio track first, then a video whose samples lie in two fragments; their bytes are found again."""
+    def trak(number, handler, codec):
+        head = media.full_box(b"tkhd", bytes(8), number.to_bytes(4, "big"), bytes(68))
+        entry = media.full_box(b"stsd", b"\0\0\0\1", media.box(codec, bytes(36)))
+        return media.box(b"trak", head, media.box(
+            b"mdia", media.full_box(b"mdhd", bytes(8), (90).to_bytes(4, "big"), bytes(8)),
+            media.full_box(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", media.box(b"stbl", entry))))
+
+    def fragment(sizes, first_key):
+        words = lambda *n: b"".join(x.to_bytes(4, "big") for x in n)
+        def moof(offset):
+            run = media.full_box(b"trun", words(len(sizes), offset, 0 if first_key else 1 << 16), words(*sizes), flags=0x205)
+            return media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", words(2, 1 << 16), flags=0x20020), run))
+        return moof(len(moof(0)) + 8) + media.box(b"mdat", bytes(range(sum(sizes))))
+
+    trex = media.box(b"mvex", media.full_box(b"trex", (2).to_bytes(4, "big"), (1).to_bytes(4, "big"), (3).to_bytes(4, "big"), bytes(8)))
+    data = media.box(b"moov", trak(1, b"soun", b"mp4a"), trak(2, b"vide", b"avc1"), trex) + fragment([5, 7], True) + fragment([4, 6, 9], False)
+    rows = media.index_media(spark.createDataFrame([(1, data)], "doc_id long, media binary")).orderBy("track").collect()
+    assert [(r.track, r.handler, r.codec, r.samples, r.duration, r.error) for r in rows] == [
+        (1, "soun", "mp4a", 0, 0, None), (2, "vide", "avc1", 5, 15, None)]
+    assert [data[k.offset : k.offset + k.size] for k in rows[1].keyframes] == [bytes(range(5))]
+    track = media.tracks(data)[1]
+    assert media.payload(data, track) == bytes(range(12)) + bytes(range(19))
+    bad = media.index_media(spark.createDataFrame([(1, data[:-3])], "doc_id long, media binary")).first()
+    assert bad.codec is None and bad.error
+
+
+def test_keyframes_of_stored_texts_are_byte_ranges(spark):
+    text = "x" * 64 * 40
+    row = media.media_digest(table(spark, [(1, text, None, None, None)])).first()
+    stored = media.pack_payload(text.encode())
+    assert (row.codec, row.duration, row.timescale, len(row.keyframes)) == ("raw ", 40, 25, 3)
+    assert all(stored[k.offset : k.offset + k.size] == b"x" * 64 for k in row.keyframes)
 
 
 def test_compact_sizes_and_wide_offsets():
