@@ -2,44 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.decontam import contamination
 from tessella.llm.mixing import mixed_documents
-from tessella.llm.neardup import near_duplicates
+from tessella.llm.neardup import deduplicated
 from tessella.llm.shared import kept, small
 from tessella.llm.token_files import token_file_digest
 from tessella.llm.toxicity import fit_toxicity, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rejected rows, of about 40 bytes each, up to which they are broadcast.
+BROADCAST_ROWS = 300_000
+
 
+def _without(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that rejected names by `row`, which stands for id and text.
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose ids are rejected; rows with a null id stay."""
-    ids = kept(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
-    return docs.join(small(ids), "doc_id", "left_anti").select(*docs.columns)
+    So rows are judged one by one, with null and repeated ids too; equal rows go together.
+    """
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
+    named = docs.select(row.alias("row"), "text")
+    rows = kept(rejected(named).select("row").distinct(), "rejected")
+    return docs.join(small(rows, BROADCAST_ROWS), row == F.col("row"), "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field doesn't call toxic. It learns from the labels of these documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity(docs, fit_toxicity(docs, labels)).where("predicted = 1"))
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, lambda named: toxicity(named, model, "row").where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id, and one row of that id."""
-    rest = _without(docs, near_duplicates(docs).where("not kept"))
-    repeated = kept(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    once = rest.join(small(repeated), "doc_id", "left_anti").select(*docs.columns)
-    more = rest.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more.select(*docs.columns))
+    return deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination(docs, benchmark).where("size(spans) > 0"))
+    return _without(docs, lambda named: contamination(named, benchmark, "row").where("size(spans) > 0"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
