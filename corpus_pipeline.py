@@ -28,7 +28,7 @@ def _without(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> Dat
     row = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
     named = docs.select(row.alias("row"), "text")
     rows = kept(rejected(named).select("row").distinct(), "rejected")
-    return docs.join(small(rows, BROADCAST_ROWS), row == F.col("row"), "left_anti").select(*docs.columns)
+    return docs.join(small(rows, BROADCAST_ROWS), row == rows["row"], "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
