@@ -43,7 +43,7 @@ def _has_vowel(stem: str) -> bool:
 
 
 def _doubled(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+    return len(word) > 1 and word[-1] == word[-2] and word[-1] not in _VOWELS
 
 
 def _closed(word: str) -> bool:
@@ -64,9 +64,7 @@ def porter(word: str) -> str:
     """The Porter stem of a lower-case word; words outside a-z, of under 3 or over 64 bytes stay."""
     if not word.isascii() or not 3 <= len(word) <= 64 or not word.isalnum():
         return word
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith("ies"):
+    if (word.endswith("sses") and len(word) > 4) or (word.endswith("ies") and len(word) > 3):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]

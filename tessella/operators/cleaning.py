@@ -168,3 +168,22 @@ def is_sub(path: Column, alternates: Column, cuisine: Column, name: Column, sub:
     said = lambda c: F.coalesce(F.lower(c).contains(word), F.lit(False))
     has = lambda c: F.coalesce(F.array_contains(c, sub), F.lit(False))
     return has(path) | has(alternates) | said(cuisine) | said(name)
+
+
+def capital_words(text: Column) -> Column:
+    """Words that start with a capital: how much of a text are names."""
+    return F.regexp_count(text, F.lit(r"(?:^|\s)\p{Lu}")).cast("long")
+
+
+def path_of_kinds(rows: DataFrame) -> DataFrame:
+    """(cat, hier): for each category one path of categories, the least, whichever of its rows has it."""
+    return rows.groupBy("cat").agg(F.min("hier").alias("hier"))
+
+
+def fork_dates(rows: DataFrame, line: str) -> DataFrame:
+    """(name, day) of a Markdown table's rows that start with a name, linked or not, and end with a day such as `Jul 30, 2015`."""
+    cells = F.filter(F.split(line, r"\|"), lambda x: F.trim(x) != "")
+    name = F.regexp_replace(F.regexp_replace(F.get(cells, F.lit(0)), r"\[([^\]]*)\]\([^)]*\)+", "$1"), r"^[*_ ]+|[*_ ]+$", "")
+    day = F.regexp_extract(F.trim(F.element_at(cells, -1)), r"^[*_]*([A-Z][a-z]{2} \d{1,2}, \d{4})[*_]*$", 1)
+    parsed = F.try_to_date(F.when(day != "", day), "MMM d, yyyy") if hasattr(F, "try_to_date") else F.to_date(F.when(day != "", day), "MMM d, yyyy")
+    return rows.where(F.size(cells) >= 2).select(F.lower(name).alias("name"), parsed.alias("day")).where("day is not null and name <> ''")

@@ -17,13 +17,7 @@ def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def working_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns, each asked how far if something, every third with a number."""
-    asked = F.concat(F.lit("how many "), F.substring("text", 1, 40), F.when(F.col("turn") % 3 == 0, " 12").otherwise(""))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", q.needs_working(asked).alias("works"))
-
-
-def working_detector_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """working_detector over whole turns."""
+    """Whole turns, each asked how far if something, every third with a number."""
     asked = F.concat(F.lit("how many "), "text", F.when(F.col("turn") % 3 == 0, " 12").otherwise(""))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", q.needs_working(asked).alias("works"))
 
@@ -33,14 +27,15 @@ def language_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.when(F.col("item_id") % 2 == 0, " No preamble, no LaTeX, be concise.").otherwise(" No preamble.")
-    return read(spark, sf_dir, "benchmark").select(
-        "item_id", q.recites_instructions(F.concat("text", marks), F.col("text")).alias("leak")
-    )
+    """Each item answered with one to four marks of a recital; questions of some items use marks themselves."""
+    i = F.col("item_id")
+    answer = F.concat("text", F.lit(" No preamble."), F.when(i % 2 == 0, " no LaTeX,").otherwise(""), F.when(i % 3 == 0, " be concise:").otherwise(""), F.when(i % 5 == 0, " avoid guessing").otherwise(""))
+    question = F.concat("text", F.when(i % 4 == 0, " in LaTeX").otherwise(""))
+    return read(spark, sf_dir, "benchmark").select("item_id", q.recites_instructions(answer, question).alias("leak"))
 
 
 def followup_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _user_turns(spark, sf_dir).select("conv_id", "turn", q.looks_like_follow_up("text").alias("follows_up"))
+    return _user_turns(spark, sf_dir).select("conv_id", "turn", q.follows_up(F.col("text")).alias("follows_up"))
 
 
 def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,15 +71,31 @@ def check_terms_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        working_detector, working_detector_whole, language_detector, leak_detector, followup_detector, plan_lines, clean_checks, place_questions,
+        working_detector, language_detector, leak_detector, followup_detector, plan_lines, clean_checks, place_questions,
         context_pack, check_terms_overlap,
     )
 }
+
+
+def _count(pattern: str) -> str:
+    """SQL for the words of `low` that a pattern of whole words matches: the other engine's word boundaries know ASCII letters only."""
+    whole = pattern.replace("\\b", "").replace("'", "''")
+    return rf"len(list_filter(regexp_extract_all(low, '[\pL\pM\pN_]+'), lambda x: regexp_full_match(x, '{whole}')))"
+
+
 _W = q.CALCULATES.replace("'", "''")
 ORACLES = {
-    "working_detector": f"""WITH a AS (SELECT conv_id, turn, 'how many ' || left(text, 40) || CASE WHEN turn % 3 = 0 THEN ' 12' ELSE '' END AS t FROM conversations)
-        SELECT conv_id, turn, regexp_matches(t, '{_W}') OR regexp_matches(t, '{q.SUPPOSES}') OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '{q.MEASURES}')) AS works FROM a""",
-    "working_detector_whole": f"""WITH a AS (SELECT conv_id, turn, 'how many ' || text || CASE WHEN turn % 3 = 0 THEN ' 12' ELSE '' END AS t FROM conversations)
+    "working_detector": f"""WITH a AS (SELECT conv_id, turn, 'how many ' || text || CASE WHEN turn % 3 = 0 THEN ' 12' ELSE '' END AS t FROM conversations)
         SELECT conv_id, turn, regexp_matches(t, '{_W}') OR regexp_matches(t, '{q.SUPPOSES}') OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '{q.MEASURES}')) AS works FROM a""",
-    "leak_detector": "SELECT item_id, item_id % 2 = 0 AS leak FROM benchmark",
+    "leak_detector": f"""WITH a AS (SELECT item_id, lower(text || ' No preamble.' || CASE WHEN item_id % 2 = 0 THEN ' no LaTeX,' ELSE '' END || CASE WHEN item_id % 3 = 0 THEN ' be concise:' ELSE '' END
+            || CASE WHEN item_id % 5 = 0 THEN ' avoid guessing' ELSE '' END) AS a, lower(text || CASE WHEN item_id % 4 = 0 THEN ' in LaTeX' ELSE '' END) AS q FROM benchmark)
+        SELECT item_id, {" + ".join(f"(regexp_matches(a, '{x}') AND NOT regexp_matches(q, '{x}'))::INT" for x in q.RECITES)} >= 3 AS leak FROM a""",
+    "language_detector": f"""WITH d AS (SELECT doc_id, text, lower(text) AS low, len(regexp_extract_all(text, '\\p{{L}}')) AS letters, len(regexp_extract_all(text, '\\p{{Latin}}')) AS latin FROM documents)
+        SELECT doc_id, letters - latin > latin OR ({_count(q.FOREIGN)} >= 2 AND {_count(q.FOREIGN)} > {_count(q.ENGLISH)}) AS translate FROM d""",
+    "followup_detector": f"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '[?.!]+$', '') AS bare FROM conversations WHERE role = 'user'),
+        w AS (SELECT *, len(list_filter(regexp_split_to_array(bare, '\\s+'), lambda x: x <> '')) AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM t),
+        f AS (SELECT *, list_position(list_transform(ws, lambda x, i: i > 1 AND regexp_matches(x, '^\\p{{Lu}}') AND NOT regexp_matches(x, '{q.MYSELF.replace("'", "''")}')), true) AS name,
+            list_position(list_transform(ws, lambda x: lower(trim(x, '?.!,''"')) IN {q.PERSONS}), true) AS person FROM w)
+        SELECT conv_id, turn, n BETWEEN 1 AND 16 AND (regexp_matches(bare, '{q.OPENS}') OR (n <= 4 AND regexp_matches(bare, '{q.SHORT_OPENS}'))
+            OR (coalesce(name, 0) = 0 AND (n <= 5 OR (n <= 12 AND regexp_matches(bare, '{q.POINTS}')))) OR (coalesce(person, 0) > 0 AND (coalesce(name, 0) = 0 OR person < name))) AS follows_up FROM f""",
 }

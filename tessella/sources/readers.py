@@ -106,9 +106,20 @@ def keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines numbered within their file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """(file, line, value): lines numbered within their file from 0, however large it is.
+
+    Lines are numbered within the blocks that the file is read in, and blocks by
+    the lines before them: no file is one row.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("order"), "value",
+    )
+    numbered = lines.withColumn("inside", F.row_number().over(Window.partitionBy("file", "block").orderBy("order")))
+    sizes = numbered.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return numbered.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("inside") - 1).cast("int").alias("line"), "value")
 
 
 def run_log(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -145,7 +156,7 @@ def metrics_csv(spark: SparkSession, path: str, unknown: tuple[str, ...] = ()) -
 def protocol_lines(spark: SparkSession, path: str, prefix: str, schema: str) -> DataFrame:
     """Records of the lines `PREFIX {json}`."""
     lines = spark.read.text(path).where(F.col("value").startswith(prefix + " "))
-    return lines.select(F.from_json(F.substring("value", len(prefix) + 2, 1_000_000), schema).alias("r")).select("r.*")
+    return lines.select(F.from_json(F.substring("value", F.lit(len(prefix) + 2), F.length("value")), schema).alias("r")).select("r.*")
 
 
 def sampler_log(spark: SparkSession, path: str) -> DataFrame:
@@ -214,25 +225,72 @@ def rail_samples(trace: bytes) -> list[tuple[str, int, int]]:
 
 def power_rails(spark: SparkSession, path: str) -> DataFrame:
     """(path, rail, t_ms, energy_uws) of binary traces."""
+    return rails_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def rails_of(traces: DataFrame) -> DataFrame:
+    """(path, rail, t_ms, energy_uws) of traces (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 yield pd.DataFrame([(row.path, *s) for s in rail_samples(row.content)], columns=["path", "rail", "t_ms", "energy_uws"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rail string, t_ms long, energy_uws long")
+    return traces.mapInPandas(run, "path string, rail string, t_ms long, energy_uws long")
 
 
 def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """manifest (name, bytes, sha256) with the file that is it, by name, else by size, and whether size and hash agree."""
-    files = spark.read.format("binaryFile").load(path).select(
-        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash")
+    """manifest (name, bytes, sha256) with the file that is it, by name, else by size, and whether size and hash agree.
+
+    Only files that the manifest names, or whose size it has, are read whole.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    there = files.select(F.col("path").alias("at"), F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"))
+    asked = manifest.select("name", "bytes", "sha256")
+    named = asked.join(there, F.col("file") == F.col("name")).withColumn("by_name", F.lit(True))
+    sized = asked.join(there, F.col("size") == F.col("bytes")).withColumn("by_name", F.lit(False))
+    best = Window.partitionBy("name").orderBy(F.desc("by_name"), "file")
+    first = named.union(sized).withColumn("r", F.row_number().over(best)).where("r = 1")
+    hashes = files.join(first.select(F.col("at").alias("path")).distinct(), "path", "left_semi").select(
+        F.col("path").alias("at"), F.sha2("content", 256).alias("hash")
     )
-    met = manifest.join(files, (F.col("file") == F.col("name")) | (F.col("size") == F.col("bytes")), "left")
-    best = Window.partitionBy("name").orderBy((F.col("file") == F.col("name")).desc_nulls_last(), "file")
-    first = met.withColumn("r", F.row_number().over(best)).where("r = 1")
     good = (F.col("size") == F.col("bytes")) & (F.col("hash") == F.col("sha256"))
-    return first.select("name", "file", F.coalesce(good, F.lit(False)).alias("good"))
+    checked = first.join(hashes, "at").select("name", "file", good.alias("good"))
+    return asked.select("name").join(checked, "name", "left").select("name", "file", F.coalesce("good", F.lit(False)).alias("good"))
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, pieces: int = 8) -> DataFrame:
+    """A table of a SQLite file that all executors can open, read in ranges of its row ids.
+
+    The file is opened read-only by each task, which sees one range; columns are
+    those of the schema, in order.
+    """
+    import sqlite3
+
+    where = path.removeprefix("file://")
+    columns = [f.name for f in T._parse_datatype_string(schema).fields]
+    names = ", ".join(f'"{c}"' for c in columns)
+
+    def connect():
+        return sqlite3.connect(f"file:{where}?mode=ro&immutable=1", uri=True)
+
+    base = connect()
+    low, high = base.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+    base.close()
+    low, high = low or 0, high if high is not None else -1
+    step = max(1, -(-(high - low + 1) // pieces))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = connect()
+        for frame in frames:
+            for start in frame.start:
+                found = opened.execute(f'SELECT {names} FROM "{table}" WHERE rowid >= ? AND rowid < ?', (int(start), int(start) + step))
+                while rows := found.fetchmany(10_000):
+                    yield pd.DataFrame(rows, columns=columns)
+        opened.close()
+
+    ranges = spark.range(low, high + 1, step, max(1, pieces)).withColumnRenamed("id", "start")
+    return ranges.mapInPandas(run, schema)
 
 
 def input_stamp(spark: SparkSession, paths: list[str], settings: str = "") -> str:

@@ -29,6 +29,35 @@ def by_term(postings: DataFrame, table: str, buckets: int = 64) -> None:
     postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
+def corpus(articles: DataFrame, chunks: DataFrame, postings: DataFrame, path: str, prefix: str, buckets: int = 64) -> None:
+    """A corpus: articles and chunks as files by article, postings and document frequencies as tables `prefix`_postings and _df by term."""
+    articles.repartitionByRange("article_id").sortWithinPartitions("article_id").write.mode("overwrite").parquet(f"{path}/articles")
+    chunks.repartitionByRange("article_id").sortWithinPartitions("article_id", "start").write.mode("overwrite").parquet(f"{path}/chunks")
+    by_term(postings, f"{prefix}_postings", buckets)
+    by_term(postings.groupBy("term").agg(F.count("*").alias("doc")), f"{prefix}_df", buckets)
+
+
+def parquet(rows: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """Parquet files whose row groups have about group_bytes, so that a lookup reads little."""
+    rows.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
+def report(rows: DataFrame, order: list[str], digits: int = 2, markdown: bool = True) -> DataFrame:
+    """(line) of a report table, head first: Markdown rows, or tab-separated ones. For the few rows of a report.
+
+    Fractions are rounded to `digits`, nulls are empty.
+    """
+    sep, edge = (" | ", "|") if markdown else ("\t", "")
+    shown = [
+        F.coalesce(F.format_string(f"%.{digits}f", F.col(n)) if t in ("double", "float") else F.col(n).cast("string"), F.lit("")) for n, t in rows.dtypes
+    ]
+    wrap = (lambda c: F.concat(F.lit(edge + " "), c, F.lit(" " + edge))) if markdown else (lambda c: c)
+    body = rows.select(F.row_number().over(Window.orderBy(*order)).alias("at"), wrap(F.concat_ws(sep, *shown)).alias("line"))
+    heads = [sep.join(rows.columns)] + ([" | ".join("---" for _ in rows.columns)] if markdown else [])
+    head = rows.sparkSession.createDataFrame([(k - 2, f"{edge} {h} {edge}" if markdown else h) for k, h in enumerate(heads)], "at int, line string")
+    return head.unionByName(body).orderBy("at").select("line")
+
+
 def tsv(rows: DataFrame, path: str, header: bool = True) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", header).csv(path)
 

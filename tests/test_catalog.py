@@ -58,7 +58,7 @@ def test_entry_point(spark):
 def test_detectors_see_whole_texts(spark, tmp_path):
     turns = [(1, 1, "user", "x " * 40 + "have 12 wheels"), (2, 1, "user", "x " * 40 + "have wheels")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert {r.conv_id: r.works for r in catalog.QUERIES["working_detector_whole"](spark, str(tmp_path)).collect()} == {1: True, 2: False}
+    assert {r.conv_id: r.works for r in catalog.QUERIES["working_detector"](spark, str(tmp_path)).collect()} == {1: True, 2: False}
     items = [(1, "lisbon that is nice and cheap near the old harbour")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert catalog.QUERIES["place_questions"](spark, str(tmp_path)).first().price == "Budget"

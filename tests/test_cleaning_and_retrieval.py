@@ -13,6 +13,7 @@ def test_markdown():
     assert m.plain_markdown(None) == "" and m.plain_markdown("### A", 1) == "## A"
     assert m.without_sections("# T\n\n## See also\nx\n### sub\ny\n## Keep\nz") == "# T\n\n## Keep\nz"
     assert m.document("T", "", "body") == "# T\n\nbody"
+    assert m.without_sections("## Tutorials: first\nx\n### y\nz\n## References and more\nkeep\n### Videos\ngone\n### Z\nq") == "## References and more\nkeep\n### Z\nq"
 
 
 def test_wiki_and_listings():
@@ -28,8 +29,9 @@ def test_wiki_and_listings():
     ("# Paris\n\nParis is the capital city of France.", set()), ("Key facts: a\n\n# BM\n\n51°N\nThe British Museum (BM) is a public museum in London.", {"other"}),
     ("# Site\n\nA World Heritage Site is a landmark.", set()), ("# Ritz\n\nThe Ritz is a hotel and restaurant.", {"food", "lodging"}), ("", set()), (None, set()),
 ])
-def test_lead_kinds(text, kinds):
-    assert m.lead_kinds(text) == kinds
+def test_lead_kinds(spark, text, kinds):
+    row = spark.createDataFrame([(text,)], "t string").select(m.lead_kinds(F.col("t")).alias("k")).first()
+    assert set(row.k) == kinds
 
 
 def test_pdf_prose():
