@@ -3,10 +3,13 @@
 Entities are found by pattern. Each distinct entity gets a surrogate of its own
 type: derived from a keyed hash of its canonical form, so every mention, however
 written, becomes the same stand-in. Letters stand for letters of the same script
-and case, digits for digits, punctuation stays, addresses stay valid, card
-numbers keep a right check digit, and names keep their gender. Surrogates that
+and case, digits for digits, punctuation stays, addresses stay valid, cards and
+accounts keep right check digits, and names keep their gender. Surrogates that
 two entities share, or that are some entity's own form, are drawn again until all
-differ.
+differ; forms so short that few are free grow by a character a draw.
+
+Digits that look like a card or an account but fail its check are left alone, and
+so are hexadecimal strings that nothing calls a secret.
 
 Canonical forms: digits only for phone, card and social security numbers,
 letters and digits for account numbers, lower case for e-mail addresses and
@@ -22,33 +25,53 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import kept
 
 KEY = "surrogates-1"
-#: Draws after which remaining collisions are an error: the type's forms are then exhausted.
-DRAWS = 12
+#: Draws after which remaining collisions are an error, and those after which forms grow.
+DRAWS = 24
+SAME_LENGTH = 5
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}'’]+"
+_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
 #: Titles before names, by gender (fixed words).
 TITLES = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"),
     "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"),
 }
 _TITLE = {g: r"(?:" + "|".join(words) + r")" for g, words in TITLES.items()}
+#: Frequent given names that make a name of the capitalised words after them, by gender (fixed words).
+GIVEN = {
+    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Paul",
+          "Steven", "Andrew", "Peter", "Hans", "Klaus", "Jürgen", "Wolfgang", "Pierre", "Jean", "Jacques", "François", "José", "Juan", "Carlos", "Antonio",
+          "Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Михаил", "Владимир"),
+    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Sandra",
+          "Emily", "Anna", "Laura", "Ursula", "Monika", "Petra", "Sabine", "Marie", "Nathalie", "Isabelle", "Sophie", "María", "Carmen", "Ana", "Lucía", "Elena",
+          "Мария", "Анна", "Ольга", "Елена", "Наталья", "Татьяна", "Ирина", "Светлана"),
+}
+_GIVEN = {g: r"(?:" + "|".join(words) + r")" for g, words in GIVEN.items()}
+#: Words that a secret is assigned to (fixed).
+_CALLED = r"""(?<=(?i:token|secret|api[_-]?key|password|passwd|pwd)["']?\s{0,2}[:=]\s{0,2}["']?)"""
+_MAIL = r"[\p{L}\p{M}\p{N}_.%+-]"
 #: Patterns by type, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "credential": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64})(?![A-Za-z0-9])"
-    r"|(?<=password=)[A-Za-z0-9]{6,64}",
+    "email": rf"(?<!{_MAIL}){_MAIL}{{1,64}}+@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}_-])",
+    "credential": rf"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9_-]{{20,64}}|xox[abprs]-[A-Za-z0-9-]{{10,64}})(?![A-Za-z0-9])"
+    rf"|(?<=password=)[A-Za-z0-9]{{6,64}}|{_CALLED}(?=[A-Za-z_]*[0-9])[A-Za-z0-9_+/-]{{8,128}}",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "card": r"(?<![0-9])(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
-    r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])",
+    r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
+    r"|(?<![0-9.,] ?)[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?! ?[0-9])|(?<![0-9])8[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{2}[ -][0-9]{2}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE['m']}|{_TITLE['f']})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}-])(?:(?:{_TITLE['m']}|{_TITLE['f']})\.?|{_GIVEN['m']}|{_GIVEN['f']})(?: {_NAME}){{1,4}}",
 }
 #: Texts without any of these hold no entity: each pattern needs one of them, secrets of letters alone their marks.
-_HINT = rf"[@0-9]|password=|AKIA|(?<!\p{{L}})(?:{_TITLE['m']}|{_TITLE['f']})\.? \p{{Lu}}"
+_HINT = (
+    rf"[@0-9]|password=|AKIA|sk-|gh[pousr]_|xox[abprs]-"
+    rf"|(?<![\p{{L}}-])(?:(?:{_TITLE['m']}|{_TITLE['f']})\.?|{_GIVEN['m']}|{_GIVEN['f']}) \p{{Lu}}"
+)
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What matched a pattern, but isn't what the pattern looks for.
+PLAIN = "plain"
 _LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: Endings that read as a gender, by script (fixed).
 _ENDS = {"latin": {"m": ("o", "on", "er", "us"), "f": ("a", "ina", "ela", "ie")}, "cyrillic": {"m": ("ин", "ов"), "f": ("ина", "ова")}}
@@ -58,18 +81,32 @@ _SYLLABLES = {
 }
 
 
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c, "[^0-9]", "")
+
+
+def _mod97(form: Column) -> Column:
+    """The remainder of an account number that is 1 where its check digits are right."""
+    turned = F.concat(F.substring(form, F.lit(5), F.length(form)), F.substring(form, 1, 4))
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    step = lambda n, c: F.pmod(n * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97))
+    return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step)
+
+
 def _kind(raw: Column) -> Column:
     out = None
     for name, pattern in PATTERNS.items():
-        # Look-around needs surroundings, so the edges are blanks; what matches nothing then stood after `password=`.
+        # Look-around needs surroundings, so the edges are blanks; what matches nothing then stood after `password=` and the like.
         hit = F.length(F.regexp_extract(F.concat(F.lit(" "), raw, F.lit(" ")), pattern, 0)) == F.length(raw)
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("credential")
+    kind = out.otherwise("credential")
+    wrong = ((kind == "card") & (_luhn(_digits(raw)) % 10 != 0)) | ((kind == "account") & (_mod97(F.regexp_replace(raw, "[^A-Z0-9]", "")) != 1))
+    return F.when(wrong, PLAIN).otherwise(kind)
 
 
 def _canonical(kind: Column, raw: Column) -> Column:
     return (
-        F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(raw, "[^0-9]", ""))
+        F.when(kind.isin("card", "phone", "ssn"), _digits(raw))
         .when(kind == "account", F.regexp_replace(raw, "[^A-Z0-9]", ""))
         .when(kind.isin("credential", "address"), raw)
         .otherwise(F.lower(raw))
@@ -140,19 +177,26 @@ def _surrogate(key: str, kind: Column, form: Column, draw: Column) -> Column:
     email = F.concat(F.substring(mapped, F.lit(1), F.length(form) - at), F.substring(form, F.length(form) - at + 1, at))
     octets = F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     # Card: the last digit is set so that the sum has the remainder it had.
-    base = F.concat(F.substring(mapped, F.lit(1), F.length(form) - 1), F.lit("0"))
+    base = F.concat(F.substring(form, 1, 1), F.substring(mapped, F.lit(2), F.length(form) - 2), F.lit("0"))
     last = F.pmod(_luhn(form) - _luhn(base), F.lit(10))
-    card = F.concat(F.substring(mapped, F.lit(1), F.length(form) - 1), last.cast("string"))
-    credential = F.when(form.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(mapped, 5, 60))).otherwise(
-        F.when(form.rlike("^[0-9a-f]{32,}$"), F.substring(stream, F.lit(1), F.length(form)))
-        .when(form.rlike("^[0-9A-F]{32,}$"), F.upper(F.substring(stream, F.lit(1), F.length(form))))
+    card = F.concat(F.substring(base, F.lit(1), F.length(form) - 1), last.cast("string"))
+    mark = F.regexp_extract(form, "^(AKIA|gh[pousr]_|sk-|xox[abprs]-)", 1)
+    credential = F.when(mark != "", F.concat(mark, F.substring(mapped, F.length(mark) + 1, F.length(form)))).otherwise(
+        F.when(form.rlike("^[0-9a-f]{32,256}$"), F.substring(stream, F.lit(1), F.length(form)))
+        .when(form.rlike("^[0-9A-F]{32,256}$"), F.upper(F.substring(stream, F.lit(1), F.length(form))))
         .otherwise(mapped)
     )
-    account = F.concat(F.substring(form, 1, 2), F.substring(mapped, 3, 60))
+    # Account: country and kind of each character stay, check digits are made right.
+    rest = F.substring(mapped, F.lit(5), F.length(form))
+    right = F.lit(98) - _mod97(F.concat(F.substring(form, 1, 2), F.lit("00"), rest))
+    account = F.concat(F.substring(form, 1, 2), F.lpad(right.cast("string"), 2, "0"), rest)
+    more = F.greatest(draw - SAME_LENGTH, F.lit(0))
+    letters = F.substring(F.translate(F.substring(stream, 193, 32), "0123456789abcdef", "bcdfghjklmnpqrst"), F.lit(1), more)
+    figures = F.substring(F.translate(F.substring(stream, 193, 32), "abcdef", "012345"), F.lit(1), more)
     return (
-        F.when(kind == "email", email).when(kind == "address", octets).when(kind == "card", card)
-        .when(kind == "credential", credential).when(kind == "account", account)
-        .when(kind.startswith("given") | (kind == "family"), _named(stream, kind, form)).otherwise(mapped)
+        F.when(kind == "email", F.concat(letters, email)).when(kind == "address", octets).when(kind == "card", card)
+        .when(kind == "credential", F.concat(credential, letters)).when(kind == "account", account).when(kind == "phone", F.concat(mapped, figures))
+        .when(kind.startswith("given") | (kind == "family"), F.concat(_named(stream, kind, form), letters)).otherwise(mapped)
     )
 
 
@@ -194,19 +238,25 @@ def _rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     walked = F.aggregate(F.split(raw, "(?<=.)(?=.)"), F.struct(F.lit("").alias("o"), F.lit(0).alias("k")), step)["o"]
     name = kind.startswith("given") | (kind == "family")
     titled = F.when(raw.rlike(r"^\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind.isin("address", "credential"), surrogate).when(name, titled).otherwise(walked)
+    # A form that grew: an address is written whole, digits go on at the end.
+    own = F.length(F.regexp_replace(raw, "[^0-9A-Z]", ""))
+    longer = F.concat(walked, F.substring(surrogate, own + 1, F.length(surrogate)))
+    return (
+        F.when(kind == PLAIN, raw).when(kind.isin("address", "credential"), surrogate).when(name, titled)
+        .when((kind == "email") & (F.length(raw) != F.length(surrogate)), surrogate).when(kind == "phone", longer).otherwise(walked)
+    )
 
 
 def _parts(raw: Column) -> Column:
-    """A mention's parts: (kind, form, raw, place); a name is its given and family parts after the title, kept as it is."""
-    kind = _kind(raw)
-    gender = F.when(raw.rlike(rf"^{_TITLE['f']}\b"), "f").otherwise("m")
-    words = F.split(raw, " ")
+    """A mention's parts (kind, form, raw): a name is its title, kept as it is, its given parts and its family name."""
+    kind, words = _kind(raw), F.split(raw, " ")
+    first = F.get(words, F.lit(0))
+    gender = F.when(first.rlike(rf"^(?:{_TITLE['f']}\.?|{_GIVEN['f']})$"), "f").otherwise("m")
     part = lambda k, f, r: F.struct(k.alias("kind"), f.alias("form"), r.alias("raw"))
-    family = part(F.lit("family"), F.lower(F.element_at(words, -1)), F.element_at(words, -1))
-    given = part(F.concat(F.lit("given_"), gender), F.lower(F.get(words, F.lit(1))), F.get(words, F.lit(1)))
-    title = part(F.lit("title"), F.get(words, F.lit(0)), F.get(words, F.lit(0)))
-    named = F.when(F.size(words) == 3, F.array(title, given, family)).otherwise(F.array(title, family))
+    title = F.when(first.rlike(rf"^(?:{_TITLE['m']}|{_TITLE['f']})\.?$"), F.array(part(F.lit("title"), first, first))).otherwise(F.array())
+    given = F.transform(F.slice(words, F.size(title) + 1, F.size(words) - F.size(title) - 1), lambda w: part(F.concat(F.lit("given_"), gender), F.lower(w), w))
+    last = F.element_at(words, -1)
+    named = F.concat(title, given, F.array(part(F.lit("family"), F.lower(last), last)))
     return F.when(kind == "name", named).otherwise(F.array(part(kind, _canonical(kind, raw), raw)))
 
 
@@ -233,7 +283,7 @@ def surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col
         mentions.select("text_key", "at", F.posexplode(_parts(F.col("raw"))).alias("part", "p")).select("text_key", "at", "part", "p.*"),
         "parts",
     )
-    entities = kept(parts.where("kind <> 'title'").select("kind", "form").distinct(), "entities")
+    entities = kept(parts.where(~F.col("kind").isin("title", PLAIN)).select("kind", "form").distinct(), "entities")
     given = _distinct_surrogates(entities, key)
     written = (
         parts.join(given, ["kind", "form"], "left")
@@ -245,17 +295,19 @@ def surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col
     per_text = per_text.select(
         "text_key",
         F.transform(F.sequence(F.lit(0), F.element_at("parts", -1)["at"]), pieces).alias("news"),
-        F.transform(F.filter("parts", lambda p: p["part"] == 0), lambda p: p["type"]).alias("kinds"),
+        F.transform(F.filter("parts", lambda p: (p["part"] == 0) & (p["type"] != PLAIN)), lambda p: p["type"]).alias("kinds"),
     )
     gaps = F.split("text", _ALL, -1)
     joined = F.array_join(
         F.flatten(F.zip_with(gaps, F.col("news"), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), ""
     )
     rewritten = kept(touched.join(per_text, "text_key").select("text_key", joined.alias("new_text"), "kinds"), "rewritten")
-    keyed = own.withColumn("text_key", F.when(text.rlike(_HINT), F.md5("text")))
-    return keyed.join(rewritten, "text_key", "left").select(
-        F.col("doc_id").alias(id_col),
-        F.coalesce("new_text", "text").alias("text"),
-        F.coalesce(F.size("kinds"), F.lit(0)).cast("int").alias("n_entities"),
-        F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
+    # Texts without a hint pass by the join: they would all share the null key.
+    hinted = F.coalesce(text.rlike(_HINT), F.lit(False))
+    keyed = own.where(hinted).withColumn("text_key", F.md5("text")).join(rewritten, "text_key", "left")
+    none = F.array().cast("array<string>")
+    shown = lambda new, kinds: (
+        F.col("doc_id").alias(id_col), F.coalesce(new, "text").alias("text"), F.coalesce(F.size(kinds), F.lit(0)).cast("int").alias("n_entities"),
+        F.coalesce(kinds, none).alias("kinds"),
     )
+    return keyed.select(*shown(F.col("new_text"), F.col("kinds"))).union(own.where(~hinted).select(*shown(F.lit(None).cast("string"), none)))

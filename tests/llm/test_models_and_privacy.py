@@ -146,6 +146,37 @@ def test_secrets_of_letters_alone_are_replaced(spark, secret):
     assert rows[0].text + " 7" == rows[1].text and rows[0].text.startswith(text[: text.index(secret)])
 
 
+def iban_ok(text):
+    turned = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in turned[4:] + turned[:4])) % 97 == 1
+
+
+def test_surrogates_of_more_forms_and_what_is_left_alone(spark):
+    plain = ["order 1234567890123 of 4041894974608796", "md5 d41d8cd98f00b204e9800998ecf8427e is empty", "code DE11 3704 0044 0532 0130 00 fails", "100 200 3000 and 1 2 3", "the secret: patience", "Marks And Spencer", "a John said"]
+    found = ["josé@example.com wrote", "jöhn.smith@müller.example.org wrote", "call 8 912 345-67-89 now", "call +14155550123 now", "call +49 30 1234567 now", "call 415 555 0123 now", "John Smith was here", "then Иван Петров came",
+             "Mrs Mary Jane Watson and Frau Anne-Marie Schmidt-Klein", "iban DE89 3704 0044 0532 0130 00", "api_key: 'a1b2c3d4e5f6'", "ghp_abcdefghijklmnopqrstuvwxyz0123456789"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(plain + found)]
+    got = {r.doc_id: r for r in surrogates(table(spark, rows)).collect()}
+    for i, text in enumerate(plain):
+        assert (got[i].text, got[i].n_entities, got[i].kinds) == (text, 0, [])
+    new = [got[len(plain) + i] for i in range(len(found))]
+    assert [r.n_entities for r in new] == [1, 1, 1, 1, 1, 1, 1, 1, 2, 1, 1, 1]
+    for r, old in zip(new, found, strict=True):
+        for secret in ("jos", "smith", "müller", "912", "4155550123", "1234567", "555", "Smith", "John", "Иван", "Петров", "Mary", "Jane", "Watson", "Anne", "Marie", "Klein", "3704", "a1b2", "abcdef"):
+            assert secret not in old or secret not in r.text
+    assert iban_ok(new[9].text[5:]) and new[9].text.startswith("iban DE") and new[7].text.split()[1][0].isupper()
+    again = {r.doc_id: r.text for r in surrogates(table(spark, [(1, "Mrs Watson met John Smith", None, None, None), (2, found[8] + " and " + found[6], None, None, None)])).collect()}
+    assert again[1].split()[1] == again[2].split(" and ")[0].split()[3] and again[1].split()[4] == again[2].split(" and ")[2].split()[1]
+
+
+def test_short_forms_that_run_out_grow(spark):
+    """600 of the 676 addresses of this form: fewer are free than are wanted."""
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"][:600]
+    rows = [(i, f"to {x} now", None, None, None) for i, x in enumerate(mails)]
+    texts = [r.text for r in surrogates(table(spark, rows)).collect()]
+    assert len(set(texts)) == 600 and not {t.split()[1] for t in texts} & set(mails) and all(t.endswith(".co now") for t in texts)
+
+
 def test_surrogates_stay_distinct_where_forms_are_few(spark):
     numbers = [f"{a}.{b}.1.1" for a in range(1, 21) for b in range(1, 21)]
     rows = [(i, f"ip {n} end", None, None, None) for i, n in enumerate(numbers)]
