@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geo
-from tessella.functions.names import jaro_winkler, similarity
+from tessella.functions.names import jaro_winkler, most_alike, similarity
 
 #: Diet bits and source bits of a place.
 VEGAN = {"only": 1, "yes": 2, "limited": 4, "no": 8}
@@ -22,6 +22,10 @@ FROM_FIRST, FROM_SECOND, FROM_GUIDE = 1, 2, 4
 MATCH_M, MATCH_GRID, MATCH_SIMILARITY = 120, 0.002, 0.9
 FOLD_PER_DEGREE, GUIDE_GRID = 300, 0.05
 CANDIDATES, WIDENING_KM, ENOUGH = 400, (2.0, 5.0, 10.0), 5
+CITY_WIDEN, CITY_MOST_KM = (1.0, 2.0, 4.0), 50.0
+CRYPTO = r"(?i)\b(bitcoin|crypto|btc)"
+#: Asks and their cells up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 VEGAN_WORDS = r"(?i)\b(vegan[oa]?s?|v[eé]gane?s?|plant[- ]based)\b"
 
 
@@ -60,7 +64,7 @@ def mutual_best(pairs: DataFrame, least: float = MATCH_SIMILARITY) -> DataFrame:
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b): mutual best matches of named places within the matching distance."""
     pairs = near_pairs(left, right).where((F.col("name_a") != "") & (F.col("name_b") != ""))
-    return mutual_best(pairs.withColumn("sim", similarity(F.col("name_a"), F.col("name_b")))).select("a", "b")
+    return mutual_best(pairs.withColumn("sim", similarity(F.col("name_a"), F.col("name_b"), MATCH_SIMILARITY))).select("a", "b")
 
 
 def merge_sources(first: DataFrame, second: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -185,7 +189,9 @@ def guide_match(listings: DataFrame, places: DataFrame, grid: float = GUIDE_GRID
         F.pow((F.col("plat") - F.col("lat")) * 110.54, F.lit(2)) + F.pow((F.col("plon") - F.col("lon")) * 111.32 * F.cos(F.radians("lat")), F.lit(2))
     )
     met = asked.join(there, ["gy", "gx", "p3"]).where(fits).withColumn("km", km).where(F.col("km") <= F.col("radius_km"))
-    met = met.withColumn("jw", jaro_winkler(b, a)).withColumn("same", fa == fb)
+    # What neither holds the other's words nor can be alike enough goes before similarity is measured, in Python, on the rest.
+    met = met.withColumn("same", fa == fb).where(F.col("same") | (a == b) | within | (most_alike(b, a) >= 0.88))
+    met = met.withColumn("jw", jaro_winkler(b, a))
     number = F.arrays_overlap(words(F.col("digits")), F.regexp_extract_all("street", F.lit(r"(\d+)"), F.lit(1)))
     met = met.withColumn("num", F.coalesce((F.col("digits") != "") & number, F.lit(False)))
     met = met.withColumn("subset", (F.size(words(fa)) >= 2) & (F.size(words(fb)) >= 2) & within)
@@ -243,7 +249,9 @@ def within(asks: DataFrame, places: DataFrame) -> DataFrame:
         F.explode(geo.cells_around(F.col("lat"), F.col("lon"), F.col("radius_km"))).alias("cell"),
     )
     km = geo.lookup_distance_km(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon"))
-    return places.join(F.broadcast(spread), "cell").withColumn("km", km).where(F.col("km") <= F.col("radius_km")).drop("alat", "alon", "cell")
+    # Asks are few beside places: their cells are counted, and sent to all tasks where they fit the bound.
+    spread = F.broadcast(spread) if spread.count() <= BROADCAST_ROWS else spread
+    return places.join(spread, "cell").withColumn("km", km).where(F.col("km") <= F.col("radius_km")).drop("alat", "alon", "cell")
 
 
 def candidates(found: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -267,6 +275,47 @@ def widening(asks: DataFrame, places: DataFrame, radii: tuple[float, ...] = WIDE
     return full.select("ask", (last if pick is None else pick.otherwise(last)).alias("p")).select("ask", "p.*")
 
 
+def city_radii(radius_km: Column) -> Column:
+    """The radii to try around a city, widest last: its own, twice and four times that, 50 km at most."""
+    return F.array(*[F.least(radius_km * m, F.lit(CITY_MOST_KM)) for m in CITY_WIDEN])
+
+
+def widening_each(asks: DataFrame, places: DataFrame, steps: int = len(CITY_WIDEN), enough: int = 1) -> DataFrame:
+    """(ask, radius_km, total): widening() with each ask's own `radii` (at most `steps`, growing) instead of one list for all."""
+    widest = within(asks.withColumn("radius_km", F.array_max("radii")), places).select("ask", "km").join(asks.select("ask", "radii"), "ask")
+    counts = widest.groupBy("ask").agg(F.array(*[F.count_if(F.col("km") <= F.get("radii", F.lit(i))) for i in range(steps)]).alias("counts"))
+    full = asks.select("ask", "radii").join(counts, "ask", "left")
+    count = lambda i: F.coalesce(F.get("counts", i), F.lit(0))
+    tried = F.transform("radii", lambda r, i: F.struct(r.alias("radius_km"), count(i).alias("total")))
+    first = F.get(F.filter(tried, lambda t: t["total"] >= enough), F.lit(0))
+    return full.select("ask", F.coalesce(first, F.element_at(tried, -1)).alias("p")).select("ask", "p.*")
+
+
+def without_crypto(found: DataFrame) -> DataFrame:
+    """found (kind, question, name, ...) without cryptocurrency machines where cash is asked for and the question doesn't name them."""
+    return found.where(~((F.col("kind") == "money") & ~F.col("question").rlike(CRYPTO) & F.col("name").rlike(CRYPTO)))
+
+
+def hinted(candidates_: DataFrame, rest: DataFrame, region_names: DataFrame) -> DataFrame:
+    """(ask, city): of each ask's candidate cities those in the country or region that words after the city's name say; all if none does.
+
+    candidates_ (ask, city, country, region), rest (ask, words): the words after the
+    name, region_names (key, country, region; region '' for a country). Runs of
+    words are tried from the first word on, longer ones first; the first that names
+    the place of some candidate decides.
+    """
+    n = F.size("words")
+    run = lambda i, j: F.struct(i.alias("start"), (-j).alias("less"), F.array_join(F.slice("words", i + 1, j - i), " ").alias("key"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: run(i, j))))
+    said = rest.where(n > 0).select("ask", F.explode(runs).alias("run")).select("ask", "run.start", "run.less", "run.key")
+    named = said.join(region_names.select("key", F.col("country").alias("in_country"), F.col("region").alias("in_region")), "key")
+    met = candidates_.join(named, "ask").where((F.col("country") == F.col("in_country")) & ((F.col("in_region") == "") | (F.col("in_region") == F.col("region"))))
+    place = F.struct("start", "less")
+    first = met.groupBy("ask").agg(F.min(place).alias("first"))
+    chosen = met.join(first, "ask").where(place == F.col("first")).select("ask", "city").distinct()
+    return chosen.union(candidates_.join(first, "ask", "left_anti").select("ask", "city"))
+
+
 def diversify(ranked, limit: int = 12, per_name: int = 2):
     """Greedy choice from an ask's candidates (a pandas frame in rank order): at most per_name of a name, one of a chain,
     and none within 1 km of a chosen one whose words its name has or shares."""

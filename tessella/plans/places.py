@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.names import similarity
+from tessella.operators import answers as a
 from tessella.operators import places as p
 from tessella.plans.tables import ARTICLES, PLACES, articles, places, read
 
@@ -18,7 +19,7 @@ def _side(spark: SparkSession, sf_dir: str, src: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = p.near_pairs(_side(spark, sf_dir, "a"), _side(spark, sf_dir, "b"))
-    return near.withColumn("sim", similarity(F.col("name_a"), F.col("name_b")))
+    return near.withColumn("sim", similarity(F.col("name_a"), F.col("name_b"), p.MATCH_SIMILARITY))
 
 
 def spatial_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,12 +157,64 @@ def diversify_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.diversified(scored.select("ask", "pid", "name", "chain", "lat", "lon", "score"))
 
 
+def city_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ask with radii of its own, until there is a place."""
+    radii = p.city_radii(0.0005 + (F.col("ask") % 4) * 0.002)
+    return p.widening_each(_asks(spark, sf_dir).withColumn("radii", radii), _ranked(spark, sf_dir)).withColumn("radius_km", F.round("radius_km", 6))
+
+
+def cash_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as places asked for cash or food; every fifth name is a bitcoin machine's, every seventh question wants one."""
+    k = F.col("pid")
+    found = places(spark, sf_dir).select(
+        "pid", F.when(k % 2 == 0, "money").otherwise("eat").alias("kind"), F.when(k % 7 == 0, "where is a Bitcoin ATM").otherwise("where is an atm").alias("question"),
+        F.when(k % 5 == 0, F.concat(F.lit("BTC "), "name")).otherwise(F.col("name")).alias("name"),
+    )
+    return p.without_crypto(found).select("pid", "name")
+
+
+def hinted_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cities of one name, asked for with a nation's name after them, a region's, or nothing that is known."""
+    nations = read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    after = F.when(key % 3 == 0, F.lower("n_name")).when(key % 3 == 1, "part 1 please").otherwise("nothing known")
+    rest = nations.select(key.alias("ask"), F.split(F.concat(F.lit("in the "), after), " ").alias("words"))
+    cities = _cities(spark, sf_dir).where("name = 'city 1'").select("city", "country", (F.col("city") % 2).cast("string").alias("region"))
+    names = nations.select(F.lower("n_name").alias("key"), key.alias("country"), F.lit("").alias("region")).unionByName(
+        nations.select(F.concat(F.lit("part "), (key % 2).cast("string")).alias("key"), key.alias("country"), F.lit("1").alias("region")))
+    return p.hinted(nations.select(key.alias("ask")).join(cities, F.col("ask") % 5 == F.col("country") % 5), rest, names)
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("pid")
+    diet = F.element_at(F.array(F.lit("vegan"), F.lit("vegetarian"), F.lit("gluten_free"), F.lit(None)), (k % 4 + 1).cast("int"))
+    article = F.when(k % 3 == 0, "Town")
+    why = a.reasons(diet, (k % 3).cast("int"), F.when(k % 2 == 0, 0).otherwise(1), article, F.when(k % 6 == 0, "Budget"))
+    return places(spark, sf_dir).select(
+        "pid", "name", why.alias("why"), F.when(k % 5 == 0, "vegan_restaurant").otherwise("coffee_shop").alias("kind"), F.when(k % 2 == 0, "1 Main St").alias("street"),
+        ((k % 50) / 10.0).alias("km"), article.isNotNull().alias("in_guide"),
+    )
+
+
+def place_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir).select("pid", F.array_join("why", "|").alias("why"))
+
+
+def place_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each place as a list and a prompt show it."""
+    c, none, you = F.col, F.lit(None).cast("string"), F.lit("you")
+    listed = a.list_line(c("pid"), c("name"), c("kind"), c("why"), c("street"), c("km"), you, c("in_guide"))
+    hours = F.when(c("pid") % 2 == 1, "Mo-Su 08:00-24:00")
+    prompt = a.prompt_line(c("pid"), c("name"), c("kind"), c("why"), F.lit("thai; hot_pot;"), c("street"), c("km"), you, hours, F.when(c("in_guide"), "Good."), none)
+    return _listed(spark, sf_dir).select("pid", listed.alias("listed"), prompt.alias("prompt"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         spatial_grid_join, mutual_best_match, anti_union_merge, fold_duplicates, branch_correction, name_spread, qualified_title_join,
         fame_join, blocking_join_guide, cell_lookup, radius_topk_capped, widening_lookup, diet_tiers_bits, region_city, country_city,
-        locate_candidates, diversify_top12,
+        locate_candidates, diversify_top12, city_widening, cash_places, hinted_cities, place_reasons, place_lines,
     )
 }
 
@@ -180,7 +233,28 @@ _RANKED = """ranked AS (SELECT *, conf + CASE WHEN pid % 8 & 4 != 0 THEN 150 ELS
 _CITIES = """cities AS (SELECT c_nationkey * 10 + c_custkey % 7 AS city, c_nationkey AS country, 'city ' || (c_custkey % 7 * 3 % 5) AS name,
     trunc(sum(abs(c_acctbal)))::BIGINT AS population, c_custkey % 7 = 2 AS capital FROM customer GROUP BY 1, 2, 3, 5)"""
 
+_LISTED = """listed AS (SELECT pid, name, pid % 3 AS tier, pid % 2 = 0 AS vegan, pid % 3 = 0 AS guide, CASE WHEN pid % 5 = 0 THEN 'vegan_restaurant' ELSE 'coffee_shop' END AS kind,
+        ['vegan', 'vegetarian', 'gluten_free', NULL][pid % 4 + 1] AS diet, CASE WHEN pid % 2 = 0 THEN '1 Main St' END AS street, (pid % 50) / 10.0 AS km, pid % 6 = 0 AS budget FROM places),
+    why AS (SELECT *, CASE WHEN diet = 'vegan' THEN ['vegan', 'vegetarian', 'vegan options'][tier + 1]
+            WHEN diet = 'vegetarian' THEN CASE WHEN tier = 0 AND vegan THEN 'vegan' WHEN tier = 0 THEN 'vegetarian' ELSE 'vegetarian options' END
+            WHEN diet IS NOT NULL THEN CASE WHEN tier = 0 THEN 'gluten-free' ELSE 'gluten-free options' END END AS w,
+        CASE WHEN guide THEN 'in the Wikivoyage guide (Town' || CASE WHEN budget THEN ', Budget' ELSE '' END || ')' END AS g FROM listed),
+    said AS (SELECT *, CASE WHEN w IN ('vegan', 'vegetarian') AND kind = 'vegan_restaurant' THEN [w || ' restaurant'] ELSE list_filter([replace(kind, '_', ' '), w], lambda x: x IS NOT NULL) END AS words,
+        printf('%.1f km from you', km::DOUBLE) AS away FROM why)"""
+
 ORACLES = {
+    "city_widening": f"""WITH {PLACES}, {_ASKS}, f AS (SELECT ask, 0.0005::DOUBLE + ask % 4 * 0.002::DOUBLE AS r, {_KM} AS km FROM asks k, places p),
+        c AS (SELECT ask, r, count(*) FILTER (km <= r) AS n1, count(*) FILTER (km <= 2 * r) AS n2, count(*) FILTER (km <= 4 * r) AS n4 FROM f GROUP BY ask, r)
+        SELECT ask, round(CASE WHEN n1 > 0 THEN r WHEN n2 > 0 THEN 2 * r ELSE 4 * r END, 6) AS radius_km, CASE WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 ELSE n4 END AS total FROM c""",
+    "cash_places": f"""WITH {PLACES} SELECT pid, CASE WHEN pid % 5 = 0 THEN 'BTC ' || name ELSE name END AS name FROM places WHERE pid % 2 <> 0 OR pid % 7 = 0 OR pid % 5 <> 0""",
+    "hinted_cities": f"""WITH {_CITIES}, k AS (SELECT city, country, (city % 2)::VARCHAR AS region FROM cities WHERE name = 'city 1'),
+        c AS (SELECT n_nationkey AS ask, k.* FROM nation JOIN k ON n_nationkey % 5 = country % 5),
+        m AS (SELECT ask, city FROM c WHERE (ask % 3 = 0 AND country = ask) OR (ask % 3 = 1 AND country % 2 = 1 AND region = '1'))
+        SELECT * FROM m UNION ALL SELECT ask, city FROM c WHERE ask NOT IN (SELECT ask FROM m)""",
+    "place_reasons": f"WITH {PLACES}, {_LISTED} SELECT pid, array_to_string(list_filter([w, g], lambda x: x IS NOT NULL), '|') AS why FROM said",
+    "place_lines": f"""WITH {PLACES}, {_LISTED} SELECT pid, '[' || pid || '] ' || name || ' — ' || array_to_string(list_filter(words || [street, away, CASE WHEN guide THEN 'in the travel guide' END], lambda x: x IS NOT NULL), ' · ') AS listed,
+        '[' || pid || '] ' || name || ': ' || array_to_string(list_filter(words || ['cuisine: thai, hot pot', 'address: ' || street, away, CASE WHEN pid % 2 = 1 THEN 'hours: Mo-Su 08:00-24:00' END], lambda x: x IS NOT NULL), '; ')
+        || '.' || CASE WHEN guide THEN ' The travel guide says: Good.' ELSE '' END AS prompt FROM said""",
     "spatial_grid_join": f"WITH {PLACES}, {_NEAR} SELECT a, b, round(d, 6) AS d FROM near",
     "mutual_best_match": f"WITH {PLACES}, {_MUTUAL} SELECT a, b, round(sim, 6) AS sim FROM pairs",
     "anti_union_merge": f"""WITH {PLACES}, {_MUTUAL}
