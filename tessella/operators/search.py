@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the ranking formula.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Rows of questions' terms that are taken as a local table, and terms that are pushed into a scan.
+FEW, PUSHED = 20_000, 200
 
 
 def plain_tokens(text: str | Column) -> Column:
@@ -49,14 +51,33 @@ def collection(posts: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def collection_of(docs: DataFrame, fields: dict[str, tuple[Column, float]]) -> DataFrame:
+    """collection() from the documents: lengths are counted where they are read, and only sums are shuffled."""
+    dl = F.size(F.concat(*[column for column, _ in fields.values()])).cast("long")
+    return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame | None:
+    """rows as a local table if they are at most `most`, else None: a question's terms, say, which Spark then knows to be small."""
+    found = rows.limit(most + 1).collect()
+    return rows.sparkSession.createDataFrame(found, rows.schema) if len(found) <= most else None
+
+
 def bm25(posts: DataFrame, terms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(question, id, score) of every document that holds a term of a question (question, term).
 
     The idf is ln((n - df + 0.5) / (df + 0.5)), floored; postings meet the
-    question's terms before anything is counted, so only their lists are read.
+    question's terms before anything is counted, so only their lists are read: up to
+    PUSHED terms reach the scan as a filter.
     """
     wanted = terms.select("question", "term").distinct()
-    mine = posts.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    small = few(wanted)
+    if small is None:
+        mine = posts.join(wanted.select("term").distinct(), "term", "left_semi")
+    else:
+        wanted = small
+        names = sorted({r.term for r in wanted.collect()})
+        mine = posts.where(F.col("term").isin(names)) if len(names) <= PUSHED else posts.join(wanted.select("term").distinct(), "term", "left_semi")
     stats = collection(posts) if stats is None else stats
     df = document_frequency(mine)
     idf = F.log((F.col("n") - F.col("doc") + 0.5) / (F.col("doc") + 0.5))
@@ -113,10 +134,12 @@ def coverage(pairs: DataFrame, stems: DataFrame, text_col: str = "text") -> Data
     low = F.lower(text_col)
     prefix = F.regexp_replace("term", "^(...+)i$", "$1")
     bag = stems.groupBy("question").agg(F.collect_list(F.struct(prefix.alias("prefix"), "idf")).alias("bag"))
+    local = few(bag)
+    bag = bag if local is None else local
     held = F.filter("bag", lambda s: F.regexp_like(low, F.concat(F.lit(r"\b"), s["prefix"])))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda n, s: n + s["idf"])
     whole = total(F.col("bag"))
-    return pairs.join(F.broadcast(bag), "question").select(
+    return pairs.join(bag, "question").select(
         *pairs.columns, F.when(whole == 0, total(held)).otherwise(total(held) / whole).alias("coverage")
     )
 

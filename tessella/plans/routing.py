@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import questions as q
 from tessella.operators import context as c
 from tessella.operators import search as s
+from tessella.plans.search import _hits as _bm25_hits
 from tessella.plans.search import _item_stems, _posts
 from tessella.plans.tables import articles, read
 
@@ -53,7 +54,7 @@ def place_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, sf_dir)
-    best = s.top(s.bm25(posts, s.query_terms(_item_stems(spark, sf_dir, posts))), 6)
+    best = s.top(_bm25_hits(spark, sf_dir, s.query_terms(_item_stems(spark, sf_dir, posts))), 6)
     return best.join(articles(spark, sf_dir), best.id == F.col("article_id")).select(
         "question", "rank", "id", "title", F.lit("").alias("section"), "text", (F.col("rank") == 1).alias("lead")
     )
