@@ -191,25 +191,32 @@ def overlaps(spans: DataFrame) -> DataFrame:
     return spans.withColumn("before", before).where(F.col("start") < F.col("before"))
 
 
+#: Views below which each number of them is a range of its own, and ids of a part of it.
+OWN_VIEWS, RANGE_IDS = 64, 100_000
+
+
 def budget_marks(articles: DataFrame, marks: list[int]) -> DataFrame:
     """At each mark: articles by views read in full up to it, the share of views, and characters in full and as leads.
 
-    Rows are ranked within ranges of views and the ranges accumulated, so no task
-    holds all articles; the marks are then sums up to a rank.
+    Rows are ranked within ranges of views and the ranges accumulated; up to
+    OWN_VIEWS views a range has one number of views and is cut again by id, as most
+    articles are read little. So no task holds all articles of a range that grows
+    with the corpus; the marks are then sums up to a rank.
     """
     cost = articles.select(
         "article_id", "views", F.length("text").cast("long").alias("full"),
         F.length(hard_lead_of("text")).cast("long").alias("lead"), table_chars("text").alias("tables"),
     )
-    bucket = F.floor(F.log2(F.col("views") + 1) * 64)
+    few = F.col("views") < OWN_VIEWS
+    bucket = F.when(few, F.col("views")).otherwise(OWN_VIEWS + F.floor(F.log2(F.col("views") + 1) * 64))
     order = [F.desc("views"), F.col("article_id")]
-    within = Window.partitionBy("bucket").orderBy(*order)
-    per = cost.withColumn("bucket", bucket)
-    sums = per.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("views", "full", "lead", "tables")])
-    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = sums.select("bucket", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_before") for c in ("n", "views", "full", "lead", "tables")])
+    within = Window.partitionBy("bucket", "ids").orderBy(*order)
+    per = cost.withColumn("bucket", bucket).withColumn("ids", F.when(few, F.floor(F.col("article_id") / RANGE_IDS)).otherwise(0))
+    sums = per.groupBy("bucket", "ids").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("views", "full", "lead", "tables")])
+    above = Window.orderBy(F.desc("bucket"), "ids").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select("bucket", "ids", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_before") for c in ("n", "views", "full", "lead", "tables")])
     running = within.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.join(F.broadcast(earlier), "bucket").select(
+    ranked = per.join(earlier, ["bucket", "ids"]).select(
         (F.row_number().over(within) + F.col("n_before")).alias("mark"),
         *[(F.sum(c).over(running) + F.col(f"{c}_before")).alias(c) for c in ("views", "full", "lead", "tables")],
     )

@@ -53,8 +53,17 @@ def window_power(windows: DataFrame, samples: DataFrame, key: str = "rail") -> D
 
 
 def in_windows(samples: DataFrame, windows: DataFrame, time: str) -> DataFrame:
-    """samples within [t0, t1] of each window; windows are few and go to every task."""
-    return samples.join(F.broadcast(windows), F.col(time).between(F.col("t0"), F.col("t1")))
+    """samples within [t0, t1] of each window, by slots as long as the mean window.
+
+    A window stands in each slot that it touches: together not many more than there
+    are windows. So the join has a key, however many windows there are.
+    """
+    seconds = lambda c: F.col(c).cast("double")
+    width = windows.agg(F.avg(seconds("t1") - seconds("t0"))).first()[0] or 1.0
+    slot = lambda c: F.floor(seconds(c) / width)
+    spread = windows.where("t0 <= t1").withColumn("window_slot", F.explode(F.sequence(slot("t0"), slot("t1"))))
+    placed = samples.withColumn("window_slot", slot(time))
+    return placed.join(spread, "window_slot").where(F.col(time).between(F.col("t0"), F.col("t1"))).drop("window_slot")
 
 
 def gaps(windows: DataFrame, key: str, least: float, end: Column | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.sources.scratch import new_path
+
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files appearing at a path, as a stream."""
@@ -46,25 +48,33 @@ def deduplicated(events: DataFrame, time: str, keys: list[str], late: str) -> Da
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def accumulated(deltas: DataFrame) -> DataFrame:
-    """(run, step, text): text of each run after each step of (run, step, delta, reset).
+def accumulated(deltas: DataFrame, time: str, late: str, idle: str = "1 hour") -> DataFrame:
+    """(run, step, text): text of each run after each step of (run, step, delta, reset) and a time.
 
     A delta is appended; with reset it replaces what was there. Steps of a batch are
-    taken in order; a run's state is its text.
+    taken in order. A run's state is its text, forgotten once the watermark (`late`
+    behind the latest time) is `idle` past the run's last delta.
     """
     schema = "run long, step long, text string"
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def grow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text = state.get[0] if state.exists else ""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        text, last = state.get if state.exists else ("", 0)
         rows = pd.concat(list(frames)).sort_values("step")
         out = []
         for row in rows.itertuples():
             text = row.delta if row.reset else text + row.delta
             out.append((int(key[0]), int(row.step), text))
-        state.update((text,))
+        last = max(last, int(pd.Timestamp(rows[time].max()).timestamp() * 1000))
+        state.update((text, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["run", "step", "text"])
 
-    return deltas.groupBy("run").applyInPandasWithState(grow, schema, "text string", "append", GroupStateTimeout.NoTimeout)
+    grouped = deltas.withWatermark(time, late).groupBy("run")
+    return grouped.applyInPandasWithState(grow, schema, "text string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -74,11 +84,13 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 
 def complete_table(stream: DataFrame, name: str) -> DataFrame:
-    """The stream's whole result so far as an in-memory table: for results of a bounded number of groups."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}")
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """The stream's whole result so far, as Parquet files: each batch writes it anew, the last one's is read."""
+    path, batches = new_path(stream.sparkSession, name), []
+
+    def put(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{path}/{batch}")
+        batches.append(batch)
+
+    writer = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{batches[-1]}")

@@ -1,4 +1,5 @@
 import bz2
+import datetime
 import gzip
 import hashlib
 import json
@@ -69,6 +70,9 @@ def test_logs(spark, tmp_path):
     assert [r.row for r in rows.orderBy("line").collect()] == [{"a": "1", "b": None, "new": "q"}, {"a": "2", "b": None, "new": ""}]
     wire = put(tmp_path, "p.txt", 'DONE {"id": 1, "tok_s": 2.5}\nother\n')
     assert readers.protocol_lines(spark, wire, "DONE", "id long, tok_s double").first().tok_s == 2.5
+    long = "x" * 1_100_000
+    wire = put(tmp_path, "long.txt", f'DONE {{"id": 2, "text": "{long}"}}\n')
+    assert [(r.id, len(r.text)) for r in readers.protocol_lines(spark, wire, "DONE", "id long, text string").collect()] == [(2, len(long))]
     sampler = put(tmp_path, "s.log", "X early\nT 100 1.5\ncpu0 5 6\nS 31\nT 101 2.5\nS 32\n")
     assert sorted((r.uptime, r.tag, r.value) for r in readers.sampler_log(spark, sampler).collect()) == [(1.5, "S", "31"), (1.5, "cpu0", "5 6"), (2.5, "S", "32")]
 
@@ -128,16 +132,23 @@ def test_interpolation_edges(spark):
 
 
 def test_streams_match_batch_and_resume(spark, tmp_path):
-    schema = "run long, step long, delta string, reset boolean"
+    schema = "run long, step long, delta string, reset boolean, at timestamp"
+    at = lambda m: datetime.datetime(2026, 1, 1, 0, m)
     src = str(tmp_path / "in")
     out, mark = str(tmp_path / "out"), str(tmp_path / "ck")
-    spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (2, 1, "x", False)], schema).coalesce(1).write.parquet(src)
-    stream = lambda: live.accumulated(live.source(spark, src, spark.read.parquet(src).schema))
+    spark.createDataFrame([(1, 1, "a", False, at(1)), (1, 2, "b", False, at(2)), (2, 1, "x", False, at(2))], schema).coalesce(1).write.parquet(src)
+    stream = lambda: live.accumulated(live.source(spark, src, spark.read.parquet(src).schema), "at", "1 minute")
     live.run_once(stream(), out, mark)
-    spark.createDataFrame([(1, 3, "new", True), (1, 4, "!", False)], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(1, 3, "new", True, at(3)), (1, 4, "!", False, at(4))], schema).coalesce(1).write.mode("append").parquet(src)
     live.run_once(stream(), out, mark)
     found = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert found == [(1, 1, "a"), (1, 2, "ab"), (1, 3, "new"), (1, 4, "new!"), (2, 1, "x")]
+    # Runs that the watermark has left behind by an hour start anew.
+    for rows in ([(3, 1, "z", False, at(1) + datetime.timedelta(hours=5))], [(4, 1, "z", False, at(2) + datetime.timedelta(hours=5))],
+                 [(1, 5, "late", False, at(3) + datetime.timedelta(hours=5))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        live.run_once(stream(), out, mark)
+    assert (1, 5, "late") in {tuple(r) for r in spark.read.parquet(out).collect()}
 
 
 def test_windowed_streams(spark, sf_dir, tmp_path):
