@@ -12,13 +12,11 @@ and a link if the Jaccard similarity of the full shingle sets reaches the limit.
 * Each post's classes are first merged with the post's best connected class (a
   star: linear in the post's length), which unites groups of copies.
 * Pairs that are still apart are met in the posts that hold both. Posts of up to
-  SHORT classes give their pairs. Longer ones are skipped: a pair as similar as
-  the limit also shares one of the rarest quarter of the shingles of each, so
-  their classes are posted under those, and these posts are rare again. A post
-  of shingles that is long all the same is dealt to pairs of blocks.
-* Collisions of a pair's signatures are counted before any set is read, pairs
-  below MATCHES go, and every link is confirmed on full sets: first the best pair
-  of each two components, then the pairs of what is still apart.
+  SHORT classes give their pairs. The classes of longer ones are dealt to blocks,
+  and two blocks that share a post are compared in one task of a bounded size, so
+  no pair of a long post is ever written unless it is a link.
+* Collisions of a pair's signatures are counted before its sets are compared,
+  pairs below MATCHES go, and every link is confirmed on full sets.
 
 Two texts of similarity 0.75 agree in fewer than 28 of 64 coordinates with a
 chance of 2.5e-8, the method's only way to lose a link.
@@ -29,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -43,10 +42,10 @@ WIDTH = 5
 COORDINATES = 64
 MATCHES = 28
 SIMILAR = (75, 100)
-#: Classes of a post whose pairs are made directly, and of a block of a longer one.
-SHORT = 64
-#: Counters of the shingle frequencies that order a set; a power of two.
-COUNTERS = 1 << 20
+#: Classes of a post whose pairs are made directly: no more than one and a half for each class.
+SHORT = 4
+#: Classes of one side of a comparison of what longer posts hold.
+BLOCK = 512
 
 #: Bytes of text hashed at a time.
 GATHER = 4_000_000
@@ -152,34 +151,48 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many sets of the task hold a shingle of each counter."""
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-        total += np.bincount((every % COUNTERS).astype(np.int64), minlength=COUNTERS)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["counter", "n"])
-
-
-def _rarest(shared):
-    """The shingles of each set that any set as similar as the limit must share one of: its rarest quarter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often: np.ndarray = shared.value
-        for batch in batches:
-            parts = []
-            for items in batch.column(1):
-                own = np.frombuffer(items.as_buffer(), np.uint64)
-                order = np.lexsort((own, often[(own % COUNTERS).astype(np.int64)]))
-                # Similar sets share at least least = ceil(limit * size) items.
-                least = -(-SIMILAR[0] * len(own) // SIMILAR[1])
-                parts.append(own[order[: len(own) - least + 1]].view(np.int64))
-            sizes = np.array([len(x) for x in parts], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(parts)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64())], ["node", "key"]
-            )
+def _compare_blocks(matches: int):
+    """Links between the classes of two blocks that aren't one component already: a forest."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        left = block[block.side == 0].reset_index(drop=True)
+        alone = bool(block.alone.iloc[0])
+        right = left if alone else block[block.side == 1].reset_index(drop=True)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        parent = {x: x for x in pd.concat([left.label, right.label]).unique()}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets = [np.frombuffer(x, np.uint64) for x in right["items"]]
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        signs = np.stack(right.sign.to_numpy())
+        found = []
+        for i, (items, sign, label) in enumerate(zip(left["items"], left.sign, left.label, strict=True)):
+            agree = (signs == np.asarray(sign)[None, :]).sum(axis=1) >= matches
+            if alone:
+                agree[: i + 1] = False
+            agree &= right.label.to_numpy() != label
+            if not agree.any():
+                continue
+            own = np.frombuffer(items, np.uint64)
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            reps = high - low
+            at = np.repeat(low, reps) + np.arange(reps.sum()) - np.repeat(starts_of(reps)[:-1], reps)
+            common = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero(agree & _linked(common, len(own), sizes)):
+                a, b = root(label), root(right.label[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((left.node[i], right.node[j]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -216,27 +229,45 @@ def _apart(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(live.where("a <> b").select("key", "length"), "key")
 
 
-def _pairs(posts: DataFrame, short: int) -> DataFrame:
-    """(u, v) of different components that share a post and whose sizes may be similar enough.
+def _pairs(posts: DataFrame) -> DataFrame:
+    """(u, v) of different components that share a short post and whose sizes may be similar enough."""
+    one = posts.select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("size").alias("nu"))
+    two = posts.select("key", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("size").alias("nv"))
+    near = SIMILAR[1] * F.least("nu", "nv") >= SIMILAR[0] * F.greatest("nu", "nv")
+    return one.join(two, "key").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & near).select("u", "v").distinct()
 
-    A post is dealt to blocks of about `short` classes, and a class to the pairs of
-    blocks that its own stands in, so no task sees more than two blocks of a post.
+
+def _tasks(posts: DataFrame, block: int) -> DataFrame:
+    """The classes of long posts (key, node, label) dealt to tasks: (task, alone, side, node, label), two blocks a task.
+
+    A component above half a block gets blocks of its own, never compared with
+    each other; smaller ones are packed by a hash of their label within what long
+    posts connect. Two blocks meet only if some post holds classes of both.
     """
-    blocks = F.ceil(F.col("length") / short)
-    dealt = posts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
-    sides = dealt.withColumn("other", F.explode(every))
-    left = sides.where("block <= other").select(
-        "key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")
-    )
-    right = sides.where("block >= other").select(
-        "key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb")
+    edges = posts.join(posts.groupBy("key").agg(F.min("node").alias("hub")), "key").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    family = components(edges).toDF("node", "family")
+    members = kept(posts.select("node", "label").distinct().join(family, "node"), "members")
+    by_label = members.groupBy("family", "label").agg(F.count("*").alias("size")).withColumn("large", F.col("size") > block // 2)
+    packed = by_label.where("not large").groupBy("family").agg(F.sum("size").alias("packed"))
+    half = F.lit(block / 2.0)
+    dealt = kept(
+        members.join(by_label, ["family", "label"]).join(packed, "family", "left")
+        .withColumn("parts", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("packed")) / half))
+        .withColumn("part", F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("label"))), "parts"))
+        .withColumn("own", F.when(F.col("large"), F.col("label")))
+        .select("node", "label", "own", F.xxhash64("family", "own", "part").alias("block")),
+        "dealt",
     )
-    met = left.join(right, ["key", "i", "j"]).where(
-        ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("la") != F.col("lb"))
-        & (SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
-    )
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    held = kept(posts.select("key", "node").join(dealt, "node").select("key", "block", "own").distinct(), "held")
+    met = held.toDF("key", "b1", "own1").join(held.toDF("key", "b2", "own2"), "key").where("b1 <= b2")
+    apart = F.col("own1").isNull() | F.col("own2").isNull() | (F.col("own1") != F.col("own2"))
+    # A block is compared with itself unless one component fills it.
+    pairs = met.where(apart).select("b1", "b2").distinct()
+    sides = pairs.select(
+        F.xxhash64("b1", "b2").alias("task"), (F.col("b1") == F.col("b2")).alias("alone"),
+        F.explode(F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side")))).alias("s"),
+    ).where("not (alone and s.side = 1)").select("task", "alone", "s.*")
+    return sides.join(dealt.select("block", "node", "label"), "block").select("task", "alone", "side", "node", "label")
 
 
 def _confirmed(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -260,9 +291,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"), "size")
 
 
-def _united(classes: DataFrame, own: DataFrame, width: int, matches: int, short: int) -> DataFrame:
+def _united(classes: DataFrame, own: DataFrame, width: int, matches: int, short: int, block: int) -> DataFrame:
     """(node, label) of the classes that have a candidate: label is the smallest class that links reach."""
-    spark = classes.sparkSession
     posts = kept(_prefix_posts(classes, matches), "posts")
     hubs = posts.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("hub"))).alias("h"))
     hubs = hubs.select("key", (-F.col("h.hub")).alias("hub"))
@@ -286,29 +316,15 @@ def _united(classes: DataFrame, own: DataFrame, width: int, matches: int, short:
         "labels",
     )
     apart = kept(_apart(posts, labels), "apart")
-    pairs = _pairs(apart.where(F.col("length") <= short), short)
-    longer = kept(apart.where(F.col("length") > short).select("node").distinct(), "longer")
-    if longer.count():
-        sets = kept(items.join(small(longer), "node", "left_semi"), "sets")
-        often = np.zeros(COUNTERS, np.int64)
-        counted = sets.select("items").mapInArrow(tidy(_counters), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-        for part in counted.toArrow().to_batches():
-            often[part.column(0).to_numpy()] = part.column(1).to_numpy()
-        rarest = sets.mapInArrow(tidy(_rarest(spark.sparkContext.broadcast(often))), "node long, key long")
-        pairs = pairs.union(_pairs(kept(_apart(rarest, labels), "rare"), short)).distinct()
-    candidates = kept(colliding(pairs), "candidates")
-    label = labels.select("node", "label")
-    between = candidates.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").groupBy(
-        F.least("lu", "lv").alias("la"), F.greatest("lu", "lv").alias("lb")
+    short_links = _confirmed(colliding(_pairs(apart.where(F.col("length") <= short))), items)
+    long_links = (
+        _tasks(apart.where(F.col("length") > short), block).join(items, "node").join(signs, "node")
+        .groupBy("task").applyInPandas(_compare_blocks(matches), "u long, v long")
     )
-    best = between.agg(F.max(F.struct("agree", "u", "v")).alias("p")).select("p.u", "p.v")
-    labels = kept(_relabelled(labels, _confirmed(best, items)), "labels")
-    label = labels.select("node", "label")
-    rest = candidates.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").where("lu <> lv")
-    return _relabelled(labels, kept(_confirmed(rest, items), "links")).select("node", "label")
+    return _relabelled(labels, kept(short_links.union(long_links), "links")).select("node", "label")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, matches: int, short: int) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, matches: int, short: int, block: int) -> DataFrame:
     """(id, row_key, n, component, least): for each row its component's number (null without shingles) and smallest id."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = own.withColumn("row_key", F.xxhash64("id", "text"))
@@ -324,7 +340,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    labels = _united(classes, own, width, matches, short)
+    labels = _united(classes, own, width, matches, short, block)
     # Rows of one id are one document: an id in several classes ties them.
     spread = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
     spread = kept(spread.where("a <> b").select("id"), "spread")
@@ -360,6 +376,7 @@ def near_duplicates(
     coordinates: int = COORDINATES,
     matches: int = MATCHES,
     short: int = SHORT,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -371,7 +388,7 @@ def near_duplicates(
     ignored; an empty table gives none. The id is an integer.
     """
     bound_batches(docs.sparkSession)
-    return _rows(docs, id_col, text_col, width, coordinates, matches, short).select(
+    return _rows(docs, id_col, text_col, width, coordinates, matches, short, block).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
@@ -384,6 +401,7 @@ def deduplicated(
     coordinates: int = COORDINATES,
     matches: int = MATCHES,
     short: int = SHORT,
+    block: int = BLOCK,
 ) -> DataFrame:
     """The rows of docs, one of each group of near copies: that of the smallest id, null last, then by the text's hash.
 
@@ -391,7 +409,7 @@ def deduplicated(
     the links, so one row of them stays; null ids only follow their texts.
     """
     bound_batches(docs.sparkSession)
-    found = kept(_rows(docs, id_col, text_col, width, coordinates, matches, short).where("n > 0"), "rows")
+    found = kept(_rows(docs, id_col, text_col, width, coordinates, matches, short, block).where("n > 0"), "rows")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row_key")
     best = found.groupBy("component").agg(F.min(order).alias("best"))
     judged = found.join(best, "component").withColumn("stays", order == F.col("best"))

@@ -58,11 +58,11 @@ def family(seed, size):
     return rows
 
 
-@pytest.mark.parametrize("short", [2, 8, 64])
-def test_chains_match_brute_force_in_short_and_long_posts(spark, short):
+@pytest.mark.parametrize(("short", "block"), [(1, 8), (2, 256), (4, 16), (1000, 8)])
+def test_chains_match_brute_force_in_short_and_long_posts(spark, short, block):
     rows = family(1, 60) + [(5000 + i, t) for i, (_, t) in enumerate(family(2, 40))]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    assert got(near_duplicates(df, short=short)) == sorted(brute_components(rows), key=str)
+    assert got(near_duplicates(df, short=short, block=block)) == sorted(brute_components(rows), key=str)
 
 
 def test_an_id_with_several_texts_ties_their_groups(spark):
