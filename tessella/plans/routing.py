@@ -93,6 +93,17 @@ ORACLES = {
         SELECT item_id, {" + ".join(f"(regexp_matches(a, '{x}') AND NOT regexp_matches(q, '{x}'))::INT" for x in q.RECITES)} >= 3 AS leak FROM a""",
     "language_detector": f"""WITH d AS (SELECT doc_id, text, lower(text) AS low, len(regexp_extract_all(text, '\\p{{L}}')) AS letters, len(regexp_extract_all(text, '\\p{{Latin}}')) AS latin FROM documents)
         SELECT doc_id, letters - latin > latin OR ({_count(q.FOREIGN)} >= 2 AND {_count(q.FOREIGN)} > {_count(q.ENGLISH)}) AS translate FROM d""",
+    "plan_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        t AS (SELECT doc_id, i, trim(trim(regexp_replace(line, '^\\s*(?:[-*•]\\s+|\\d{1,2}[.)]\\s+)?', ''), chr(32) || chr(9) || chr(13)), '"') AS title FROM l),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM t WHERE length(title) BETWEEN 2 AND 79
+            AND NOT (len(list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> '')) >= 5 AND ends_with(title, '.')))
+        SELECT doc_id, place::INTEGER AS place, title FROM k WHERE place < 4""",
+    "clean_checks": """WITH l AS (SELECT doc_id, string_split(trim(text || chr(10) || 'Hmm, wait', chr(32) || chr(9) || chr(10) || chr(13)), chr(10)) AS ls FROM documents),
+        k AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, '^\\s*(?:[-*]\\s*)?(?:But wait|Wait[,. ]|Hmm|Let me|Let''s|Actually,|On second thought)')), true) AS cut FROM l)
+        SELECT doc_id, length(trim(array_to_string(ls[1:cut - 1], chr(10)), chr(32) || chr(9) || chr(10) || chr(13)))::INTEGER AS chars FROM k""",
+    "place_questions": f"""WITH t AS (SELECT item_id, 'best vegan food in ' || lower(text) AS low FROM benchmark)
+        SELECT item_id, 'eat' AS kind, 'vegan' AS diet, CASE WHEN regexp_matches(low, '{q.CHEAP.pattern}') THEN 'Budget' WHEN regexp_matches(low, '{q.FANCY.pattern}') THEN 'Splurge' END AS price,
+            regexp_matches(low, '{q.NEAR_ME.pattern}') AS here, regexp_matches(low, '{q.AT_NIGHT.pattern}') AS late FROM t""",
     "followup_detector": f"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '[?.!]+$', '') AS bare FROM conversations WHERE role = 'user'),
         w AS (SELECT *, len(list_filter(regexp_split_to_array(bare, '\\s+'), lambda x: x <> '')) AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM t),
         f AS (SELECT *, list_position(list_transform(ws, lambda x, i: i > 1 AND regexp_matches(x, '^\\p{{Lu}}') AND NOT regexp_matches(x, '{q.MYSELF.replace("'", "''")}')), true) AS name,
