@@ -233,8 +233,8 @@ def rails_of(traces: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples():
-                yield pd.DataFrame([(row.path, *s) for s in rail_samples(row.content)], columns=["path", "rail", "t_ms", "energy_uws"])
+            rows = [(path, *sample) for path, content in zip(frame.path, frame.content, strict=True) for sample in rail_samples(content)]
+            yield pd.DataFrame(rows, columns=["path", "rail", "t_ms", "energy_uws"])
 
     return traces.mapInPandas(run, "path string, rail string, t_ms long, energy_uws long")
 
