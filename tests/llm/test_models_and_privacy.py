@@ -100,6 +100,16 @@ def test_pair_tables_equal_single_byte_filters():
         assert np.allclose(langid._pooled(x, w, tables[w]), pooled, atol=1e-4)
 
 
+def test_pooled_filters_equal_a_plain_convolution():
+    net = langid.train(["der die das und"] * 3 + ["the and of to"] * 3, ["de"] * 3 + ["en"] * 3, epochs=1)
+    row, tables = np.frombuffer(b"the quick brown fox".ljust(langid.LENGTH), np.uint8), net.tables()
+    for w in langid.WIDTHS:
+        plain = [
+            max(sum(float(net.embedding[row[i + o]] @ net.filters[w][o][:, f]) for o in range(w)) for i in range(len(row) - w + 1)) for f in range(langid.FILTERS)
+        ]
+        assert np.allclose(langid._pooled(row[None], w, tables[w])[0], plain, atol=1e-4)
+
+
 def test_untrained_network_knows_no_language(spark):
     net = langid.fit_languages(table(spark, []))
     assert {r.lang_pred for r in langid.languages(table(spark), net).collect()} == {"und"}
@@ -197,6 +207,31 @@ def test_distinct_draws_resolve_forced_collisions(spark, monkeypatch):
     assert len(rows) == 14 and len(set(given)) == 14 and not {"x1", "x2"} & set(given)
 
 
+def test_pipeline_stages_keep_null_and_repeated_ids(spark, tmp_path):
+    """Rows of one id, and of none, are judged by their texts; columns named as the operators' own stay."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    toxic = [f"idiot scum trash moron {' '.join(f'other{i}x{k}' for k in range(20))}" for i in range(30)]
+    clean = [" ".join(f"clean{i}x{k * k}" for k in range(40)) for i in range(40)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean + toxic)]
+    rows += [(None, clean[0], "en", "b", 0), (None, "only here " + clean[1][::-1], "en", "b", 0), (None, toxic[0] + " again", "en", "b", 0), (3, "another " + clean[2][::-1], "en", "b", 0), (None, item, "en", None, 0)]
+    docs = table(spark, rows, clash=("row", "spans", "row_key", "mix_row"))
+    labels = [(i, int(i >= 40)) for i in range(70)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+        texts[name] = sorted(r.text for r in docs.collect())
+    extra = ["only here " + clean[1][::-1], "another " + clean[2][::-1]]
+    assert texts["toxicity"] == sorted([*clean, clean[0], *extra, item])
+    # Rows of id 3 are one document for the links: its first row stays.
+    assert len(texts["near_dedup"]) == len(clean) + 2 and set(texts["near_dedup"]) >= {*clean[:3], *clean[4:], extra[0], item}
+    assert item not in texts["decontamination"] and len(texts["decontamination"]) == len(clean) + 1
+    assert set(texts["mixing"]) & {extra[0]} or any(t and extra[0].startswith(t) for t in texts["mixing"])
+
+
 def test_pipeline_stages_on_small_tables(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     clean = [" ".join(f"clean{i}x{k * k}" for k in range(40)) for i in range(60)]

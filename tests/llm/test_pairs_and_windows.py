@@ -134,6 +134,9 @@ def test_contamination_of_awkward_rows(spark):
              (9, " ".join(f"w{i} tail{i}." for i in range(40))), (10, "ça")]
     assert digest(spark, docs, items) == brute_contamination(docs, items)
     assert digest(spark, docs, items, block_bytes=40) == brute_contamination(docs, items)
+    clashing = table(spark, clash=("item", "items", "spans", "n_words", "words", "state"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS item", "2 AS words")
+    assert sorted((tuple(r) for r in contamination_digest(contamination(clashing, benchmark)).collect()), key=str) == brute_contamination(docs, items)
     assert digest(spark, docs, []) == brute_contamination(docs, [])
     assert digest(spark, [], items) == []
 

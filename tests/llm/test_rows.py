@@ -99,6 +99,36 @@ def test_shards_are_even_gapless_and_reproducible(spark):
     assert sharding.shard(table(spark, [])).collect() == []
 
 
+def plain_place(row, total, key=sharding.KEY, rounds=sharding.ROUNDS):
+    """The permutation in plain integers."""
+    half = 1
+    while 4**half < total:
+        half += 1
+    low, keys = (1 << half) - 1, [int(k) for k in np.random.default_rng(key).integers(0, 2**32, rounds, dtype=np.uint64)]
+    while True:
+        left, right = row >> half, row & low
+        for k in keys:
+            h = ((right ^ k) * 0x9E3779B1) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x85EBCA77) & 0xFFFFFFFF
+            left, right = right, left ^ ((h ^ (h >> 13)) & low)
+        row = (left << half) | right
+        if row < total:
+            return row
+
+
+def test_shard_and_slot_follow_from_the_row_number(spark):
+    rows = [(i, f"text {i}", None, None, None) for i in range(137)] + [(None, "same", None, None, None)] * 6
+    for r in sharding.shard(table(spark, rows), shards=5).collect():
+        place = plain_place(r.row_number, len(rows))
+        assert (r.shard, r.slot) == (place % 5, place // 5)
+
+
+def test_counts_with_clashing_columns(spark):
+    df = table(spark, clash=("n_bytes", "n_tokens", "over_limit", "doc"))
+    found = tokenization.count_tokens(df, BYTE)
+    assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and found.count() == len(AWKWARD)
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 8, 1000, 4097])
 def test_permutation_is_a_bijection_with_an_inverse(total):
     rows = np.arange(total)
