@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,3 +120,19 @@ def index_tokens(text: str | None) -> list[str]:
 def porter_tokens(text: pd.Series) -> pd.Series:
     """index_tokens() of each text; null has none."""
     return text.map(index_tokens, na_action=None)
+
+
+def question_words(text: str | None, stop: frozenset[str]) -> list[str]:
+    """Distinct stems of a question's content words: no stop words and no single letters, sorted."""
+    words = [w for w in re.findall(r"[^\W_]+", (text or "").lower()) if len(w) > 1 and w not in stop]
+    return sorted({porter(w) for w in map(fold_diacritics, words)})
+
+
+def question_stems(text: str, stop: frozenset[str]) -> Column:
+    """question_words() of a column."""
+    return F.pandas_udf(lambda t: t.map(lambda x: question_words(x, stop), na_action=None), T.ArrayType(T.StringType()))(text)
+
+
+def stemmed_again(term: str) -> Column:
+    """A stem as a query sends it: the index's tokenizer stems the terms of a query once more."""
+    return F.pandas_udf(lambda t: t.map(porter), T.StringType())(term)

@@ -108,6 +108,11 @@ def capped(hits: DataFrame, group: str, cap: int = 2, by: str = "question") -> D
     return hits.withColumn("of_group", F.row_number().over(best)).where(F.col("of_group") <= cap).drop("of_group")
 
 
+def gated(hits: DataFrame, coverage_least: float, views_least: int, cap: int = 2, group: str = "article") -> DataFrame:
+    """hits (question, id, score, coverage, views, and a group) that cover enough of the question and are read enough, then capped by group."""
+    return capped(hits.where((F.col("coverage") >= coverage_least) & (F.col("views") >= views_least)), group, cap)
+
+
 def idf_terms(posts: DataFrame, n_indexed: int | Column) -> DataFrame:
     """(term, doc, idf): idf is ln(n_indexed / documents)."""
     n = F.lit(n_indexed) if isinstance(n_indexed, int) else n_indexed

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.stemming import porter_tokens
+from tessella.functions.questions import STOP
+from tessella.functions.stemming import porter_tokens, question_stems, stemmed_again
 from tessella.operators import search as s
+from tessella.operators.retrieval import travels
 from tessella.plans.tables import ARTICLES, articles, read
 from tessella.sources.readers import input_stamp
 from tessella.sources.scratch import new_path
@@ -177,11 +179,28 @@ def porter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(s.top(_hits(spark, sf_dir, terms, True), 10))
 
 
+def question_stem_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of each item's content words that the stemmed index knows, and whether they ask about travelling."""
+    asked = read(spark, sf_dir, "benchmark").select("item_id", question_stems("text", STOP).alias("stems"))
+    known = s.document_frequency(_index(spark, sf_dir, True)[0])
+    spread = asked.select("item_id", travels(F.col("stems")).alias("travels"), F.explode("stems").alias("stem"))
+    return spread.join(known, spread.stem == known.term).select("item_id", "travels", "stem", stemmed_again("stem").alias("term"), "doc")
+
+
+def gated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits of each item that cover half of it and are read enough, two of a source."""
+    stems = _item_stems(spark, sf_dir, _posts(spark, sf_dir))
+    hits = s.top(_hits(spark, sf_dir, s.query_terms(stems)), 20).select("question", "id", "score")
+    pairs = hits.join(articles(spark, sf_dir).select(F.col("article_id").alias("id"), "text", "views", "source"), "id")
+    kept = s.gated(s.coverage(pairs.select("question", "id", "score", "views", "source", "text"), stems), 0.5, 3000, 2, "source")
+    return kept.select(F.col("question").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_index, bm25_top10, bm25_prior_top10, bm25_per_article_cap, bm25_batch_benchmark, doc_freq, idf_terms, check_terms_smallest,
-        query_terms_prune, coverage_score, passage_score, library_affinity, views_router, stem_index_stats, porter_bm25,
+        question_stem_idf, gated_hits, query_terms_prune, coverage_score, passage_score, library_affinity, views_router, stem_index_stats, porter_bm25,
     )
 }
 
@@ -229,6 +248,13 @@ ORACLES = {
         SELECT article_id AS doc_id, question AS item_id, round(coalesce(sum(idf) FILTER (
             regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || regexp_replace(term, '^(...+)i$', '\\1'))), 0) / sum(idf), 6) AS coverage
         FROM best JOIN articles ON article_id = id JOIN stems USING (question) GROUP BY 1, 2""",
+    "gated_hits": f"""{_ranked(_STEMS + ", " + _PRUNED)},
+        best AS (SELECT question, id, score FROM hits QUALIFY row_number() OVER (PARTITION BY question ORDER BY hits.score DESC, id) <= 20),
+        c AS (SELECT question, best.id, any_value(score) AS score, any_value(source) AS source, coalesce(sum(idf) FILTER (
+            regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || regexp_replace(term, '^(...+)i$', '\\1'))), 0) / sum(idf) AS coverage
+            FROM best JOIN articles ON article_id = id JOIN stems USING (question) WHERE views >= 3000 GROUP BY question, best.id)
+        SELECT question AS item_id, id AS doc_id, round(score, 6) AS score, source FROM c WHERE coverage >= 0.5
+        QUALIFY row_number() OVER (PARTITION BY question, source ORDER BY c.score DESC, id DESC) <= 2""",
     "passage_score": f"""WITH {ARTICLES}, {_TOKENS}, bag AS (SELECT term, ln((SELECT count(*) FROM documents) / doc) AS idf
             FROM df WHERE term IN ('aning', 'nicht', 'inble')),
         counted AS (SELECT article_id, idf, len(regexp_extract_all(lower(text), '\\b' || term))

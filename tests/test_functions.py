@@ -49,6 +49,15 @@ def test_rare_stems():
     assert [stemming.porter(w) for w in ("ies", "yyed", "ties", "sses", "caresses")] == ["ie", "y", "ti", "sse", "caress"]
 
 
+def test_question_stems(spark, index):
+    text = "What are the best Hostels to visit in Bogotá, a relational plan?"
+    row = spark.createDataFrame([(text,), (None,)], "q string").select(stemming.question_stems("q", questions.STOP).alias("s")).collect()
+    content = "best hostels visit bogotá relational plan"
+    assert row[0].s == sorted(set(sqlite_tokens(index, content))) and row[1].s == []
+    again = spark.createDataFrame([(x,) for x in row[0].s], "t string").select(stemming.stemmed_again("t").alias("t")).collect()
+    assert [r.t for r in again] == [sqlite_tokens(index, x)[0] for x in row[0].s]
+
+
 def test_names_and_similarity():
     assert names.key_of("Łódź, Ærø & Straße!") == "lodz aero strasse"
     assert names.key_of(None) == "" and names.key_of("東京") == ""
