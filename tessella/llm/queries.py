@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.alignment import align
+from tessella.llm.archives import archive_digest
 from tessella.llm.decontam import contamination, contamination_digest
 from tessella.llm.folds import held_out
 from tessella.llm.langid import fit_languages, languages
@@ -17,6 +19,7 @@ from tessella.llm.surrogates import surrogates
 from tessella.llm.token_files import token_file_digest
 from tessella.llm.tokenization import count_tokens
 from tessella.llm.toxicity import fit_toxicity, toxicity
+from tessella.llm.whitening import whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +81,21 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, for each document."""
+    return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding on the first whitened components."""
+    return whitening(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's archive record, as packages give it back."""
+    return archive_digest(_table(spark, sf_dir, "pages")).drop("error")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -89,6 +107,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_archives": op13_archives,
 }
 
 OP3_SQL = r"""
@@ -146,8 +167,23 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.low, w.doc_i
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.node = w.doc_id
 """
 
+OP13_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda k: [
+        '0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'
+      ][position(h[k] IN '0123456789abcdef')]), '') AS bits FROM p),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda k:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[16 * bits[5 * k + 1]::INT + 8 * bits[5 * k + 2]::INT + 4 * bits[5 * k + 3]::INT
+                                           + 2 * bits[5 * k + 4]::INT + bits[5 * k + 5]::INT + 1]), '') AS payload_digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, n) AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+"""
+
 ORACLES = {
     "op3_mixing": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op10_minhash_neardup": OP10_SQL,
+    "op13_archives": OP13_SQL,
 }
