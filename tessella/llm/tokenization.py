@@ -19,8 +19,9 @@ from tessella.llm.workers import KEPT, tidy
 
 #: Bytes of text given to the library at a time.
 BATCH_BYTES = 1_000_000
-#: Distinct pieces that a worker remembers.
+#: Distinct pieces that a worker remembers, of at most PIECE_CHARS characters each: some 150 MB at most, whatever the texts.
 CACHE_PIECES = 500_000
+PIECE_CHARS = 48
 
 #: New words encoded at a time.
 _LINE = 2000
@@ -79,7 +80,7 @@ def segments(text: str) -> list[str]:
 
 
 class Counter:
-    """Numbers of tokens of texts; remembers those of distinct segments where texts may be cut."""
+    """Numbers of tokens of texts; remembers those of short distinct segments where texts may be cut."""
 
     def __init__(self, path: str, batch_bytes: int = BATCH_BYTES, most: int = CACHE_PIECES):
         self.tokenizer, self.cuts = load(path), breaks_before_spaces(path)
@@ -103,6 +104,8 @@ class Counter:
             return list(self._counted(texts))
         cut = [segments(t) for t in texts]
         pieces = set(chain.from_iterable(cut))
+        long = [p for p in pieces if len(p) > PIECE_CHARS]
+        pieces.difference_update(long)
         new = list(pieces.difference(self.known))
         if len(self.known) + len(new) > self.most:
             # What came first is what texts hold most.
@@ -110,6 +113,9 @@ class Counter:
             new = list(pieces.difference(self.known))
         self.known.update(zip(new, self._counted(new), strict=True))
         find = self.known.__getitem__
+        if long:
+            here = dict(zip(long, self._counted(long), strict=True))
+            find = lambda p: here[p] if len(p) > PIECE_CHARS else self.known[p]
         return [sum(map(find, parts)) for parts in cut]
 
 
@@ -170,7 +176,8 @@ class CachedEncoder:
     """Ids of texts for a tokenizer that drops white space: each distinct piece is encoded once.
 
     Texts are cut at ASCII white space, which such a tokenizer drops and never
-    joins over, so the pieces' ids in order are the text's. Where it folds case,
+    joins over, so the pieces' ids in order are the text's. Pieces of more than
+    PIECE_CHARS characters are forgotten after each batch. Where it folds case,
     A-Z are folded first. A new piece is put together from its word and the mark
     at its end where both are plain, and new plain words are encoded as one line,
     which end-of-word ids divide again.
@@ -197,8 +204,22 @@ class CachedEncoder:
 
     def _append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, ids.astype("<u4")])
+        used = int(self.edges[-1])
+        self.edges = np.concatenate([self.edges, used + np.cumsum(lengths)])
+        if used + len(ids) > len(self.flat):
+            # Twice the size, so that ids are copied a few times at most.
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used + 2 * len(ids), "<u4")])
+        self.flat[used : used + len(ids)] = ids
+
+    def _forget(self, most: int) -> None:
+        """Keep the first `most` pieces."""
+        if most < len(self.place) // 2:
+            self.place = dict(islice(self.place.items(), most))
+        while len(self.place) > most:
+            self.place.popitem()
+        self.edges = self.edges[: most + 1].copy()
+        if len(self.flat) > 4 * int(self.edges[-1]):
+            self.flat = self.flat[: self.edges[-1]].copy()
 
     def _runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self.edges[places]
@@ -250,17 +271,20 @@ class CachedEncoder:
         if len(unknown):
             if len(self.place) + 2 * len(unknown) > self.most:
                 # What came first is what texts hold most.
-                half = min(len(self.place), self.most * 3 // 4)
-                self.place = dict(islice(self.place.items(), half))
-                self.edges, self.flat = self.edges[: half + 1], self.flat[: self.edges[half]]
+                self._forget(min(len(self.place), self.most * 3 // 4))
                 places = self._places(names)
                 unknown = np.flatnonzero(places < 0)
             new = [names[i] for i in unknown.tolist()]
-            self._learn(new)
+            self._learn([w for w in new if len(w) <= PIECE_CHARS])
+            remembered = len(self.place)
+            self._learn([w for w in new if len(w) > PIECE_CHARS])
             places[unknown] = self._places(new)
         starts, lengths = self._runs(places[codes])
         edges = starts_of(lengths)[starts_of(counts)]
-        return np.diff(edges), _gather(self.flat, starts, lengths)
+        ids = _gather(self.flat, starts, lengths)
+        if len(unknown):
+            self._forget(min(remembered, self.most))
+        return np.diff(edges), ids
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}

@@ -297,3 +297,36 @@ def test_gathered_batches_keep_rows_and_words(most):
         found += [distinct[int(c)].as_py() for c in codes]
         assert len(counts) == b.num_rows
     assert found == ["foo", "bar", "É", "x", "12", *["long"] * 9, "z"]
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    names = ("mix_take", "mix_row", "mix_whole", "mix_part", "mix_sum", "key", "range", "taken")
+    rows = [(i, f"a b c d e {i}", "en", f"s{i % 2}", 1) for i in range(20)]
+    found = mixed_documents(table(spark, rows, clash=names))
+    assert found.columns[-len(names):] == list(names)
+    assert {tuple(r) for r in found.select(*names).collect()} == {("clash",) * len(names)}
+
+
+def test_a_hot_null_id_is_dealt_to_many_ranges(spark):
+    rows = [(None, f"text {i}", "en", "a", 1) for i in range(400)]
+    few, many = (sorted(map(tuple, mix(table(spark, rows), range_rows=n).collect()), key=str) for n in (10, 10**6))
+    assert few == many and sum(r[4] for r in few) == 1200
+    keys = table(spark, rows).select(F.md5(F.concat(F.lit("mix::"), F.md5("text"))).alias("key")).distinct().count()
+    assert keys == 400
+
+
+def test_texts_without_spaces_are_not_remembered(spark):
+    """Long pieces leave the caches after their batch: memory doesn't grow with such texts."""
+    library, byte_library = Tokenizer.from_file(WORD), tokenization.load(BYTE)
+    encoder, counter = tokenization.CachedEncoder(WORD, 1000), tokenization.Counter(BYTE, most=1000)
+    sizes = []
+    for k in range(6):
+        texts = ["".join(chr(0x4E00 + (i * 7 + k * 131 + j) % 5000) for i in range(900)) + f" short{k} end." for j in range(4)] + ["x" * 49, "y" * 48]
+        for _ in range(2):
+            counts, ids = encoder.encode(pa.array(texts))
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+            assert counter.count(texts) == [len(byte_library.encode(t, add_special_tokens=False).ids) for t in texts]
+        sizes.append((len(encoder.flat), sum(map(len, encoder.place)), sum(map(len, counter.known))))
+    assert all(len(p) <= tokenization.PIECE_CHARS for p in [*encoder.place, *counter.known])
+    assert sizes[-1][0] < 5000 and sizes[-1][1] < 300 and sizes[-1][2] < 300
