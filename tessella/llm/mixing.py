@@ -1,6 +1,6 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts.
 
-Every document gets a hash-random key. Within a source, documents are dealt to
+Every document gets a hash-random key, of its id and text. Within a source, documents are dealt to
 ranges of that key, so that a source with a third of all rows is many ranges;
 word counts are summed per range, ranges are accumulated per source, and rows
 only within their range. A source's words are taken in key order up to its
@@ -79,8 +79,8 @@ def mix(
     taken is the words that the mix takes of the document, repeats counted; only
     the document at a source's cut is taken in part. Null sources are one source;
     null or empty texts have size 0 and nothing is taken of them. Rows with equal
-    id and size may swap their counts; otherwise reruns agree. Null ids share a
-    key. Other columns are ignored; an empty table gives none.
+    id and text may swap their counts; otherwise reruns agree. Other columns are
+    ignored; an empty table gives none.
     """
     return _counted(docs, id_col, text_col, source_col, weights, share, repeats, seed, range_rows)
 
@@ -100,7 +100,8 @@ def _counted(
 ) -> DataFrame:
     """mix(), with docs' column `tie` deciding between equal ids and sizes, and its column `row` passed on."""
     own = [c for c in (tie, row) if c]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # The text's checksum deals rows without an id, and rows of a repeated one, to many ranges.
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text_col, F.lit("")))))
     sized = kept(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -148,24 +149,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are numbered, written with their number and joined by it. Of equal ids and
     sizes, the checksum of the text decides which is cut.
     """
-    numbered = docs.withColumn("mix_row", F.monotonically_increasing_id()).withColumn("mix_sum", F.xxhash64(text_col))
+    row, sum_, whole, part, take = (f"mix_{name}" + "_" * max(map(len, docs.columns)) for name in ("row", "sum", "whole", "part", "take"))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(sum_, F.xxhash64(text_col))
     numbered = kept(numbered, "numbered")
-    counts = _counted(numbered, id_col, text_col, tie="mix_sum", row="mix_row", **settings).where("taken > 0")
-    counts = counts.select(
-        "mix_row", F.expr("taken div size").alias("mix_whole"),
-        F.expr("taken % size").cast("int").alias("mix_part"),
-    )
+    counts = _counted(numbered, id_col, text_col, tie=sum_, row=row, **settings).where("taken > 0")
+    counts = counts.select(row, F.expr("taken div size").alias(whole), F.expr("taken % size").cast("int").alias(part))
     parts = F.concat(
-        F.array_repeat(F.lit(-1), F.col("mix_whole").cast("int")),
-        F.when(F.col("mix_part") > 0, F.array("mix_part")).otherwise(F.array().cast("array<int>")),
+        F.array_repeat(F.lit(-1), F.col(whole).cast("int")),
+        F.when(F.col(part) > 0, F.array(part)).otherwise(F.array().cast("array<int>")),
     )
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("mix_take") < 0, F.col(text_col)).otherwise(
-        F.array_join(F.slice(words, F.lit(1), F.greatest("mix_take", F.lit(1))), " ")
-    )
-    return (
-        numbered.join(counts, "mix_row")
-        .withColumn("mix_take", F.explode(parts))
-        .withColumn(text_col, cut)
-        .select(*docs.columns)
+    cut = F.when(F.col(take) < 0, F.col(text_col)).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.greatest(take, F.lit(1))), " ")
     )
+    return numbered.join(counts, row).withColumn(take, F.explode(parts)).withColumn(text_col, cut).select(*docs.columns)

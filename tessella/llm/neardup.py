@@ -324,8 +324,25 @@ def _united(classes: DataFrame, own: DataFrame, width: int, matches: int, short:
     return _relabelled(labels, kept(short_links.union(long_links), "links")).select("node", "label")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, matches: int, short: int, block: int) -> DataFrame:
-    """(id, row_key, n, component, least): for each row its component's number (null without shingles) and smallest id."""
+def _tied(signed: DataFrame, labelled: DataFrame) -> DataFrame:
+    """labelled after uniting the components that rows of one id lie in."""
+    spread = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
+    spread = kept(spread.where("a <> b").select("id"), "spread")
+    if not spread.count():
+        return labelled
+    places = signed.where("n > 0").join(small(spread), "id").select("id", "class").distinct()
+    places = kept(places.join(labelled.select("class", "label"), "class").select("id", "label").distinct(), "places")
+    hub = places.groupBy("id").agg(F.min("label").alias("hub"))
+    tied = components(places.join(hub, "id").select(F.col("label").alias("u"), F.col("hub").alias("v")))
+    joined = labelled.join(tied.toDF("label", "tied"), "label", "left")
+    return kept(joined.select("class", "node", F.coalesce("tied", "label").alias("label"), "least"), "labelled")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, matches: int, short: int, block: int, ties: bool = True) -> DataFrame:
+    """(id, row_key, n, component, least): for each row its component's number (null without shingles) and smallest id.
+
+    ties: rows of one id are one document, so that an id in several classes joins them.
+    """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     own = own.withColumn("row_key", F.xxhash64("id", "text"))
     signed = kept(
@@ -341,24 +358,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
         "classes",
     )
     labels = _united(classes, own, width, matches, short, block)
-    # Rows of one id are one document: an id in several classes ties them.
-    spread = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-    spread = kept(spread.where("a <> b").select("id"), "spread")
     labelled = kept(
         classes.select("class", "node", "least").join(labels, "node", "left")
         .select("class", "node", F.coalesce("label", "node").alias("label"), "least"),
         "labelled",
     )
-    if spread.count():
-        places = signed.where("n > 0").join(small(spread), "id").select("id", "class").distinct()
-        places = kept(places.join(labelled.select("class", "label"), "class").select("id", "label").distinct(), "places")
-        hub = places.groupBy("id").agg(F.min("label").alias("hub"))
-        tied = components(places.join(hub, "id").select(F.col("label").alias("u"), F.col("hub").alias("v")))
-        labelled = kept(
-            labelled.join(tied.toDF("label", "tied"), "label", "left")
-            .select("class", "node", F.coalesce("tied", "label").alias("label"), "least"),
-            "labelled",
-        )
+    if ties:
+        labelled = _tied(signed, labelled)
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = kept(labelled.join(smallest, "label").select("class", "label", "component_id"), "component")
     whole = signed.where("n > 0").join(by_class, "class").select(
@@ -405,11 +411,11 @@ def deduplicated(
 ) -> DataFrame:
     """The rows of docs, one of each group of near copies: that of the smallest id, null last, then by the text's hash.
 
-    Rows without shingles all stay. Rows that repeat an id are one document for
-    the links, so one row of them stays; null ids only follow their texts.
+    Rows without shingles all stay. Rows are grouped by their texts alone: unlike
+    texts under one id, or under none, all stay.
     """
     bound_batches(docs.sparkSession)
-    found = kept(_rows(docs, id_col, text_col, width, coordinates, matches, short, block).where("n > 0"), "rows")
+    found = kept(_rows(docs, id_col, text_col, width, coordinates, matches, short, block, ties=False).where("n > 0"), "rows")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row_key")
     best = found.groupBy("component").agg(F.min(order).alias("best"))
     judged = found.join(best, "component").withColumn("stays", order == F.col("best"))
