@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 #: Elements whose content is dropped, and elements that end a block (fixed values).
 SKIPPED = frozenset("script style nav footer header noscript svg form button aside".split())
 BLOCKS = frozenset("p div section article main ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre br dt dd figure figcaption hr".split())
+#: Elements without an end (fixed values).
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _LEVELS = {f"h{n}": n for n in range(1, 7)}
 
 
@@ -21,7 +23,8 @@ class _Collector(HTMLParser):
         self.blocks: list[tuple[str, bool]] = []
         self.line: list[str] = []
         self.skip: list[str] = []
-        self.main: list[str] = []
+        #: Of each open main part its element, and how many of that element are open in it.
+        self.main: list[list] = []
         self.title = ""
         self.in_title = False
         self.mark = ""
@@ -44,7 +47,10 @@ class _Collector(HTMLParser):
             elif tag == "li":
                 self.mark = "- "
         if tag == "main" or dict(attrs).get("role") == "main":
-            self.main.append(tag)
+            if tag not in VOID:
+                self.main.append([tag, 1])
+        elif self.main and tag == self.main[-1][0]:
+            self.main[-1][1] += 1
 
     def handle_endtag(self, tag):
         if tag == "title":
@@ -53,9 +59,11 @@ class _Collector(HTMLParser):
             self._end_block()
         if self.skip and tag == self.skip[-1]:
             self.skip.pop()
-        if self.main and tag == self.main[-1]:
-            self._end_block()
-            self.main.pop()
+        if self.main and tag == self.main[-1][0]:
+            self.main[-1][1] -= 1
+            if not self.main[-1][1]:
+                self._end_block()
+                self.main.pop()
 
     def handle_data(self, data):
         if self.in_title:

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 def blind(answers: DataFrame, seed: int, letters: str = "ABCDEFGH") -> DataFrame:
-    """answers (id, system, answer) with a letter each, in an order that only the seed fixes; the key is (id, letter, system)."""
+    """answers (id, system, answer) with a letter each, in an order that only the seed fixes; the key is (id, letter, system).
+
+    Beyond the letters given, two are joined: AA, AB, and so on.
+    """
     w = Window.partitionBy("id").orderBy(F.xxhash64("id", "system", F.lit(seed)), "system")
-    return answers.withColumn("letter", F.substring(F.lit(letters), F.row_number().over(w), F.lit(1)))
+    place, n = F.row_number().over(w) - 1, len(letters)
+    letter = lambda k: F.substring(F.lit(letters), k + 1, F.lit(1))
+    two = F.concat(letter((F.floor(place / n) - 1).cast("int")), letter(place % n))
+    return answers.withColumn("letter", F.when(place < n, letter(place)).otherwise(two))
 
 
 def common_ids(sets: list[DataFrame]) -> DataFrame:

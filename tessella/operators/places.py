@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geo
-from tessella.functions.names import jaro_winkler, most_alike, similarity
+from tessella.functions.names import jaro_winkler, letter_mask, most_alike, similarity
 
 #: Diet bits and source bits of a place.
 VEGAN = {"only": 1, "yes": 2, "limited": 4, "no": 8}
@@ -30,21 +30,26 @@ VEGAN_WORDS = r"(?i)\b(vegan[oa]?s?|v[eé]gane?s?|plant[- ]based)\b"
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float = MATCH_M, grid: float = MATCH_GRID) -> DataFrame:
-    """(a, b, name_a, name_b, d): places of left and right (id, lat, lon, name) within metres.
+    """(a, b, name_a, name_b, mask_a, mask_b, d): places of left and right (id, lat, lon, name) within metres; masks are those of their names' letters.
 
     left, the smaller side, stands in its 3 x 3 squares; a square is at least as
     wide as the distance, so no pair is missed.
     """
     a = left.select(
-        F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("name").alias("name_a"),
+        F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("name").alias("name_a"), letter_mask(F.col("name")).alias("mask_a"),
         F.explode(geo.neighbours(F.col("lat"), F.col("lon"), grid)).alias("square"),
     ).select("*", "square.gy", "square.gx").drop("square")
     b = right.select(
-        F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("name").alias("name_b"),
+        F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("name").alias("name_b"), letter_mask(F.col("name")).alias("mask_b"),
         F.floor(F.col("lat") / grid).alias("gy"), F.floor(F.col("lon") / grid).alias("gx"),
     )
     d = geo.build_distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, ["gy", "gx"]).withColumn("d", d).where(F.col("d") <= metres).select("a", "b", "name_a", "name_b", "d")
+    return a.join(b, ["gy", "gx"]).withColumn("d", d).where(F.col("d") <= metres).select("a", "b", "name_a", "name_b", "mask_a", "mask_b", "d")
+
+
+def alike(pairs: DataFrame, least: float = MATCH_SIMILARITY) -> DataFrame:
+    """near_pairs() with `sim`, 0 where names can't reach `least`."""
+    return pairs.withColumn("sim", similarity(F.col("name_a"), F.col("name_b"), least, F.col("mask_a"), F.col("mask_b")))
 
 
 def best_per(pairs: DataFrame, key: str, other: str) -> DataFrame:
@@ -64,7 +69,7 @@ def mutual_best(pairs: DataFrame, least: float = MATCH_SIMILARITY) -> DataFrame:
 def match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b): mutual best matches of named places within the matching distance."""
     pairs = near_pairs(left, right).where((F.col("name_a") != "") & (F.col("name_b") != ""))
-    return mutual_best(pairs.withColumn("sim", similarity(F.col("name_a"), F.col("name_b"), MATCH_SIMILARITY))).select("a", "b")
+    return mutual_best(alike(pairs)).select("a", "b")
 
 
 def merge_sources(first: DataFrame, second: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -169,17 +174,23 @@ def guide_match(listings: DataFrame, places: DataFrame, grid: float = GUIDE_GRID
     """
     span = F.ceil(F.col("radius_km") / 5.5)
     gy, gx = F.floor(F.col("lat") / grid), F.floor(F.col("lon") / grid)
+    split = lambda x: F.split(x, " ")
     asked = listings.where("name <> ''").select(
-        "*", F.substring("name", 1, 3).alias("p3"), F.explode(F.sequence(gy - span, gy + span)).alias("gy"), gx.alias("gx0"), span.alias("span")
+        "*", F.substring("name", 1, 3).alias("p3"), letter_mask(F.col("name")).alias("mask"), split("full").alias("words"), letter_mask(F.col("full")).alias("full_mask"),
+        split("digits").alias("numbers"), F.explode(F.sequence(gy - span, gy + span)).alias("gy"), gx.alias("gx0"), span.alias("span")
     ).withColumn("gx", F.explode(F.sequence(F.col("gx0") - 2 * F.col("span"), F.col("gx0") + 2 * F.col("span")))).drop("gx0", "span")
     there = places.where("name <> ''").select(
-        "pid", F.col("name").alias("b"), F.col("full").alias("fb"), "street", "top", F.col("lat").alias("plat"), F.col("lon").alias("plon"),
+        "pid", F.col("name").alias("b"), F.col("full").alias("fb"), letter_mask(F.col("name")).alias("b_mask"), split("full").alias("b_words"),
+        letter_mask(F.col("full")).alias("fb_mask"), F.regexp_extract_all("street", F.lit(r"(\d+)"), F.lit(1)).alias("street_numbers"), "top", F.col("lat").alias("plat"), F.col("lon").alias("plon"),
         F.substring("name", 1, 3).alias("p3"), gy.alias("gy"), gx.alias("gx"),
     )
     a, fa, b, fb = (F.col(x) for x in ("name", "full", "b", "fb"))
-    words = lambda x: F.split(x, " ")
-    holds = lambda x, y: F.size(F.array_except(words(y), words(x))) == 0
-    within = holds(fa, fb) | holds(fb, fa)
+    subset = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))) == 0
+    holds = lambda x, y: F.size(F.array_except(y, x)) == 0
+    # Words within words need letters within letters, which costs two instructions.
+    within = (subset(F.col("fb_mask"), F.col("full_mask")) & holds(F.col("words"), F.col("b_words"))) | (
+        subset(F.col("full_mask"), F.col("fb_mask")) & holds(F.col("b_words"), F.col("words"))
+    )
     fits = (
         F.when(F.col("section") == "Sleep", F.col("top") == "lodging")
         .when(F.col("section").isin("Eat", "Drink"), F.col("top") == "food_and_drink")
@@ -190,11 +201,12 @@ def guide_match(listings: DataFrame, places: DataFrame, grid: float = GUIDE_GRID
     )
     met = asked.join(there, ["gy", "gx", "p3"]).where(fits).withColumn("km", km).where(F.col("km") <= F.col("radius_km"))
     # What neither holds the other's words nor can be alike enough goes before similarity is measured, in Python, on the rest.
-    met = met.withColumn("same", fa == fb).where(F.col("same") | (a == b) | within | (most_alike(b, a) >= 0.88))
+    near = most_alike(b, a, F.col("b_mask"), F.col("mask")) >= 0.88
+    met = met.withColumn("same", fa == fb).where(F.col("same") | (a == b) | near | within).withColumn("within", within)
     met = met.withColumn("jw", jaro_winkler(b, a))
-    number = F.arrays_overlap(words(F.col("digits")), F.regexp_extract_all("street", F.lit(r"(\d+)"), F.lit(1)))
+    number = F.arrays_overlap("numbers", "street_numbers")
     met = met.withColumn("num", F.coalesce((F.col("digits") != "") & number, F.lit(False)))
-    met = met.withColumn("subset", (F.size(words(fa)) >= 2) & (F.size(words(fb)) >= 2) & within)
+    met = met.withColumn("subset", (F.size("words") >= 2) & (F.size("b_words") >= 2) & F.col("within"))
     ok = F.col("same") | ((a == b) & (F.length(a) >= 4)) | ((F.col("jw") >= 0.95) & (F.length(a) >= 6)) | (F.col("num") & (F.col("jw") >= 0.88)) | F.col("subset")
     met = met.where(ok)
     w = Window.partitionBy("lid")

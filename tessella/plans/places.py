@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.names import similarity
 from tessella.operators import answers as a
 from tessella.operators import places as p
 from tessella.plans.tables import ARTICLES, PLACES, articles, places, read
@@ -19,7 +18,7 @@ def _side(spark: SparkSession, sf_dir: str, src: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = p.near_pairs(_side(spark, sf_dir, "a"), _side(spark, sf_dir, "b"))
-    return near.withColumn("sim", similarity(F.col("name_a"), F.col("name_b"), p.MATCH_SIMILARITY))
+    return p.alike(near)
 
 
 def spatial_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def test_place_questions():
     assert ask == {"kind": "eat", "diet": "vegan", "price": "Budget", "here": False, "late": True}
     assert questions.place_ask("a pharmacy near my hotel near me")["kind"] == "pharmacy"
     assert questions.place_ask("how much is a coffee in Rome") is None and questions.place_ask("best museums in Paris") is None
-    kinds = {"wine shop in Rome": "liquor", "best pet food in Rome": "pets", "find a second-hand store in Rome": "clothes", "where to fix my bike in Rome": "outdoor",
+    kinds = {"wine shop in Rome": "liquor", "best pet food in Rome": "pets", "find a second-hand shop in Rome": "clothes", "where to fix my bike in Rome": "outdoor",
              "best karting in Rome": "karting", "find a subway station in Rome": "transport", "best games stores in Rome": "games"}
     assert {q: (questions.place_ask("find a " + q) or {}).get("kind") for q in kinds} == kinds
     assert questions.place_ask("who wrote Hamlet") is None and questions.place_ask(None) is None
@@ -175,3 +175,27 @@ def test_diversity():
     frame = pd.DataFrame([("Bar A", False, 1.0, 1.0), ("bar a", False, 1.1, 1.1), ("Bar A", False, 2.0, 2.0), ("Chain", True, 3.0, 3.0), ("Chain", True, 4.0, 4.0), ("Bar A Annex", False, 1.0, 1.0)],
                          columns=["name", "chain", "lat", "lon"])
     assert list(diversify(frame)) == [0, 1, 3]
+
+
+def test_main_part_with_nested_elements_of_its_own_kind():
+    from tessella.functions.html import main_text
+
+    assert main_text("<div role=main><div>a</div><p>b</p></div><p>c</p>")[1] == "a\n\nb"
+    assert main_text("<p>x</p><main><main><p>a</p></main><div>b</div></main><p>c</p>")[1] == "a\n\nb"
+    assert main_text("<div role=main><div><div>a</div></div>b<div>c</div></div><div>d</div>")[1] == "a\n\nb\n\nc"
+
+
+def test_letters_bound_the_measure(spark):
+    """No pair is alike beyond what masks, lengths and first letters allow."""
+    import itertools
+
+    from tessella.functions import names as n
+
+    words = ["", "a", "martha", "marhta", "dixon", "dicksonx", "cafe roma", "caffè roma", "ROMA cafe", "zürich haus", "zurich haus", "aaaa", "aaab", "🙂 bar", "bar"]
+    pairs = spark.createDataFrame(list(itertools.product(words, words)), "a string, b string")
+    for r in pairs.select("a", "b", n.most_alike(F.col("a"), F.col("b")).alias("most"), n.similarity(F.col("a"), F.col("b"), 0.8).alias("sim")).collect():
+        if r.a and r.b:
+            assert n.jaro_winkler_of(r.a, r.b) <= r.most + 1e-12
+            measured = n.jaro_winkler_of(r.a, r.b)
+            held = len(r.a) >= 4 and len(r.b) >= 4 and (r.a in r.b or r.b in r.a)
+            assert r.sim == 1.0 if r.a == r.b else r.sim == 0.95 if held else (abs(r.sim - measured) < 1e-12 if measured >= 0.8 else r.sim in (0.0, measured))
