@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.names import norm_key
 
@@ -125,12 +129,40 @@ def joined_entries(lines: DataFrame, group: str, order: str, text: str) -> DataF
     return numbered.groupBy(group, "entry").agg(F.array_join(F.transform(listed, lambda p: p["piece"]), " | ").alias("text"))
 
 
+def _shared(left: list, right: list) -> int:
+    """How long the longest end of left is that right starts with: right's failure function, then one pass over left's end."""
+    if not left or not right:
+        return 0
+    border, k = [0] * len(right), 0
+    for i in range(1, len(right)):
+        while k and right[i] != right[k]:
+            k = border[k - 1]
+        k += right[i] == right[k]
+        border[i] = k
+    k = 0
+    for item in left[-len(right) :]:
+        while k and (k == len(right) or item != right[k]):
+            k = border[k - 1]
+        k += item == right[k]
+    return k
+
+
 def merged_lists(left: list, right: list) -> list:
-    """Two overlapping windows of one list as one: the longest end of the first that starts the second is shared."""
-    for n in range(min(len(left), len(right)), 0, -1):
-        if left[-n:] == right[:n]:
-            return left + right[n:]
-    return left + right
+    """Two overlapping windows of one list as one: the longest end of the first that starts the second is shared. Linear in both."""
+    return left + right[_shared(left, right) :]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def merged_windows(windows: pd.Series) -> pd.Series:
+    """Ordered windows (an array of arrays of strings) as the one list they are windows of; nulls are passed over."""
+    return windows.map(lambda ws: reduce(merged_lists, [list(w) for w in (ws if ws is not None else []) if w is not None], []), na_action=None)
+
+
+def lists_of_windows(rows: DataFrame, key: str, order: str, window: str) -> DataFrame:
+    """(key, items): of each key the list that its windows, in order, overlap to. A key's windows are one array: a screen's, or a page's."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(window).alias("w"))))
+    ordered = rows.groupBy(key).agg(F.transform(listed, lambda x: x["w"]).alias("windows"))
+    return ordered.select(key, merged_windows("windows").alias("items"))
 
 
 def run_title(model: Column, rates: Column) -> Column:

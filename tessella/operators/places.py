@@ -368,12 +368,16 @@ def largest_city(cities: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def country_city(cities: DataFrame, factor: float = 2.0) -> DataFrame:
-    """The city a country's name stands for: its capital, unless the largest is over `factor` times as populous."""
+def country_city(cities: DataFrame, factor: float = 2.0, need_capital: bool = False) -> DataFrame:
+    """The city a country's name stands for: its capital, unless the largest is over `factor` times as populous.
+
+    A country without a capital has its largest city, or with need_capital none.
+    """
     top = largest_city(cities, ["country"]).select("country", F.col("city").alias("big"), F.col("population").alias("big_pop"))
     capital = cities.where("capital").groupBy("country").agg(F.min(F.struct("city", "population")).alias("c"))
     joined = top.join(capital, "country", "left")
     use_big = F.col("c").isNull() | (F.col("big_pop") > factor * F.col("c.population"))
+    joined = joined.where(F.col("c").isNotNull()) if need_capital else joined
     return joined.select("country", F.when(use_big, F.col("big")).otherwise(F.col("c.city")).alias("city"))
 
 

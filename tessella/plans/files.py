@@ -64,14 +64,23 @@ def source_nested_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "name", "cat", "conf", "lat", "lon", "street", "website", "brand", "more")
 
 
+def _document(spark: SparkSession, rows: DataFrame, name: str, head: str, tail: str) -> str:
+    """A file of one document: head, the rows (key, value) in order with commas between, tail; no row is the whole."""
+    edge = spark.createDataFrame([(-1, -1, head), (1, -1, tail)], "part int, key long, value string")
+    body = rows.select(F.lit(0).alias("part"), F.col("key").cast("long").alias("key"), F.concat(F.when(F.col("key") == F.lit(rows.agg(F.min("key")).first()[0]), "").otherwise(", "), "value").alias("value"))
+    path = new_path(spark, name)
+    edge.unionByName(body).repartition(1).sortWithinPartitions("part", "key").select("value").write.text(path)
+    return path
+
+
 def source_sparql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as the bindings of a query's JSON result; every third doesn't bind a name."""
-    value = lambda c: F.struct(c.cast("string").alias("value"))
-    row = F.struct(value(F.col("s_suppkey")).alias("s"), F.when(F.col("s_suppkey") % 3 != 0, value(F.col("s_name"))).alias("name"))
-    whole = read(spark, sf_dir, "supplier").agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("bindings")).alias("results"))).alias("j"))
-    path = _lines(spark, whole, "sparql", F.col("j"), 1)
-    found = r.sparql_bindings(spark, path, ["s", "name"])
-    return found.select(F.col("s").cast("long").alias("s_suppkey"), "name")
+    """Suppliers as the bindings of one JSON result; every third doesn't bind a name, names hold quotes and braces."""
+    value = lambda c: F.struct(F.lit("literal").alias("type"), c.cast("string").alias("value"))
+    name = F.concat("s_name", F.lit(' "}, {\\'))
+    row = F.struct(value(F.col("s_suppkey")).alias("s"), F.when(F.col("s_suppkey") % 3 != 0, value(name)).alias("name"))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.to_json(row).alias("value"))
+    path = _document(spark, rows, "sparql", '{"head": {"vars": ["s", "name"]}, "results": {"bindings": [', "]}}")
+    return r.sparql_bindings(spark, path, ["s", "name"]).select(F.col("s").cast("long").alias("s_suppkey"), "name")
 
 
 def source_tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,11 +176,11 @@ def source_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_keyed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as one JSON object by key."""
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.struct("n_name", "n_regionkey"))))
-    whole = read(spark, sf_dir, "nation").agg(F.to_json(pairs).alias("j"))
-    found = r.keyed_json(spark, _lines(spark, whole, "keyed", F.col("j"), 1), "n_name string, n_regionkey long")
-    return found.select(F.col("id").cast("long").alias("n_nationkey"), "n_name", "n_regionkey")
+    """Customers as one JSON object by key, with nested braces in their names."""
+    record = F.to_json(F.struct(F.concat("c_name", F.lit(" {}")).alias("c_name"), "c_nationkey"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('": '), record).alias("value"))
+    found = r.keyed_json(spark, _document(spark, rows, "keyed", "{", "}"), "c_name string, c_nationkey long")
+    return found.select(F.col("id").cast("long").alias("c_custkey"), "c_name", "c_nationkey")
 
 
 def source_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +373,7 @@ ORACLES = {
             CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN 'hotel' ELSE 'books' END AS cat, p_brand FROM part WHERE p_partkey % 7 <> 0)
         SELECT id, name, cat, conf, k % 89 + 0.5::DOUBLE AS lat, k % 97 + 0.5::DOUBLE AS lon, p_brand AS street, 'x' || id AS website, p_brand AS brand, k % 4 > 1 AS more
         FROM p WHERE CASE k % 4 WHEN 0 THEN conf >= 0.3 ELSE conf >= 0.5 END""",
-    "source_sparql": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS name FROM supplier",
+    "source_sparql": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_name || ' \"}, {\\' END AS name FROM supplier",
     "source_tag_pivot": "SELECT p_partkey AS s, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS type FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0",
     "source_tsv": "SELECT p_partkey, p_name, p_brand FROM part",
     "source_pageviews": "SELECT l_partkey AS page_id, sum(l_quantity::BIGINT)::BIGINT AS views FROM lineitem WHERE l_linenumber % 5 <> 0 AND l_partkey % 11 <> 0 GROUP BY 1",
@@ -376,7 +385,7 @@ ORACLES = {
     "source_pdf": f"""SELECT p_partkey, '## Section of ' || array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || chr(10) || chr(10) || '{_PROSE}'
         || chr(10) || chr(10) || '## Last Words' || chr(10) || chr(10) || '{_PROSE}' AS text FROM part""",
     "source_json_lines": "SELECT c_custkey AS id, c_name, c_nationkey FROM customer WHERE c_nationkey <> 3",
-    "source_keyed_json": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "source_keyed_json": "SELECT c_custkey, c_name || ' {}' AS c_name, c_nationkey FROM customer",
     "source_run_log": "SELECT o_orderkey % 40 AS run, o_orderkey AS t_ms, 'text[0]=' || o_orderstatus || '|more ' || o_orderpriority AS message FROM orders",
     "source_metrics": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_size::BIGINT END AS size, 'm' || p_partkey % 5 AS model FROM part",
     "source_protocol": "SELECT doc_id, md5(text) AS text_md5 FROM documents",

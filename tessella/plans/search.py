@@ -27,11 +27,24 @@ def _fields(stemmed: bool) -> dict:
     return {"title": (porter_tokens("title"), 8.0), "body": (porter_tokens("text"), 1.0)} if stemmed else {"body": (s.plain_tokens("text"), 1.0)}
 
 
+def _stands(spark: SparkSession, table: str) -> bool:
+    """Whether a table and its files are there. A lasting catalog may name tables whose scratch files are gone: those are dropped."""
+    if not spark.catalog.tableExists(table):
+        return False
+    files = spark.table(table).inputFiles()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]) if files else None
+    if where is not None and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return True
+    for name in (table, table.replace("_stats", "_posts")):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return False
+
+
 def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics) of the documents, as tables by term that a session builds once for the same files."""
     path = f"{sf_dir}/documents.parquet"
     name = f"index_{'stem' if stemmed else 'plain'}_{input_stamp(spark, [path])[:24]}"
-    if not spark.catalog.tableExists(f"{name}_stats"):
+    if not _stands(spark, f"{name}_stats"):
         folder, docs = new_path(spark, "index"), articles(spark, sf_dir)
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
@@ -87,9 +100,9 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _item_stems(spark: SparkSession, sf_dir: str, posts: DataFrame) -> DataFrame:
-    """Each benchmark item's distinct terms with their idf; n_indexed is the number of documents."""
-    n = posts.select("id").distinct().agg(F.count("*").alias("n"))
+def _item_stems(spark: SparkSession, sf_dir: str, posts: DataFrame, n: DataFrame | None = None) -> DataFrame:
+    """Each benchmark item's distinct terms with their idf; n: one row, the number of indexed documents, that of the whole index unless given."""
+    n = _index(spark, sf_dir)[1].select("n") if n is None else n
     idf = s.document_frequency(posts).crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / F.col("doc")).alias("idf"))
     return _items(spark, sf_dir).drop("text").join(idf, "term")
 
@@ -144,14 +157,19 @@ def passage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _part_stems(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
+    """_item_stems() of a part of the documents, from their postings in the whole index."""
+    posts = _posts(spark, sf_dir).join(part.select(F.col("article_id").alias("id")), "id", "left_semi")
+    return _item_stems(spark, sf_dir, posts, posts.agg(F.count_distinct("id").alias("n")))
+
+
 def library_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items between a library (documents of src0 to src4) and the rest."""
     docs = articles(spark, sf_dir)
     inside = F.col("source").isin("src0", "src1", "src2", "src3", "src4")
 
     def stems(part: DataFrame) -> DataFrame:
-        posts = s.postings(part, "article_id", {"body": (s.plain_tokens("text"), 1.0)})
-        return _item_stems(spark, sf_dir, posts)
+        return _part_stems(spark, sf_dir, part)
 
     unseen = math.log(max(1, docs.where(~inside).count()))
     scores = s.library_route(s.affinity(stems(docs.where(inside)), stems(docs.where(~inside)), unseen))

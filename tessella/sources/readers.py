@@ -7,11 +7,15 @@ never inferred.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,12 +69,13 @@ def xml_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sparql_bindings(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """One column for each name of a SPARQL JSON result's bindings; null where a row doesn't bind it."""
-    var = T.StructType([T.StructField("value", T.StringType())])
-    row = T.StructType([T.StructField(n, var) for n in names])
-    schema = T.StructType([T.StructField("results", T.StructType([T.StructField("bindings", T.ArrayType(row))]))])
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("results.bindings").alias("b"))
-    return rows.select(*[F.col(f"b.{n}.value").alias(n) for n in names])
+    """One column for each name of a SPARQL JSON result's bindings; null where a row doesn't bind it.
+
+    Each row is read by itself, see json_records(): a result of any size is many tasks.
+    """
+    row = ", ".join(f"`{n}`: struct<value: string>" for n in names)
+    rows = json_records(spark, path, 3, r'"bindings"\s*:\s*\[').select(F.from_json("text", f"struct<{row}>").alias("b"))
+    return rows.select(*[F.col(f"b.`{n}`.value").alias(n) for n in names])
 
 
 def pivoted_tags(triples: DataFrame, keys: list[str], wanted: list[str]) -> DataFrame:
@@ -100,18 +105,19 @@ def json_lines(spark: SparkSession, path: str, schema: str, done: DataFrame | No
 
 
 def keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """(id, fields...) of a JSON file that maps ids to records."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias("id", "r")).select("id", "r.*")
+    """(id, fields...) of a JSON file that maps ids to records: read record by record, see json_records()."""
+    records = json_records(spark, path, 1, r"\{").select(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,struct<{value_schema}>>").alias("m"))
+    return records.select(F.explode("m").alias("id", "r")).select("id", "r.*")
 
 
-def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines numbered within their file from 0, however large it is.
+def ordered_lines(spark: SparkSession, path: str, separator: str | None = None, blocks: bool = False) -> DataFrame:
+    """(file, line, value): lines numbered within their file from 0, however large it is; with `blocks` also the block of each.
 
     Lines are numbered within the blocks that the file is read in, and blocks by
-    the lines before them: no file is one row.
+    the lines before them: no file is one row, one task or one window.
     """
-    lines = spark.read.text(path).select(
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("order"), "value",
     )
@@ -119,18 +125,37 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = numbered.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return numbered.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("inside") - 1).cast("int").alias("line"), "value")
+    line = (F.col("start") + F.col("inside") - 1).cast("long").alias("line")
+    return numbered.join(starts, ["file", "block"]).select("file", *(["block"] if blocks else []), line, "value")
+
+
+def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """lines (file, block, line, ...) with the last known `value` at or before each line of its file; null before the first.
+
+    A segmented scan: the last value of each block is carried over the blocks after
+    it, a few dozen rows a file, and then filled within blocks. So one large file is
+    as many tasks as it has blocks.
+    """
+    marked = lines.withColumn(name, value)
+    last = marked.groupBy("file", "block").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carry"))
+    within = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(name, ignorenulls=True).over(within), F.col("carry"))
+    return marked.join(carry, ["file", "block"]).withColumn(name, filled).drop("carry")
 
 
 def run_log(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """(file, run, t_ms, message) of tagged log lines; lines between that carry no `run=` continue the message before."""
+    """(file, run, t_ms, message) of tagged log lines; lines between that carry no `run=` continue the message before.
+
+    A message is known by the line of its head, which is carried over its lines and over blocks of the file.
+    """
     prefix = rf"^\d\d-\d\d \d\d:\d\d:\d\d\.\d+\s+\d+\s+\d+ I {tag}\s*: ?"
-    mine = ordered_lines(spark, path).where(F.col("value").rlike(prefix)).withColumn("m", F.regexp_replace("value", prefix, ""))
+    mine = ordered_lines(spark, path, blocks=True).where(F.col("value").rlike(prefix)).withColumn("m", F.regexp_replace("value", prefix, ""))
     head = r"^run=(\d+) t=(\d+)ms ?(.*)$"
-    w = Window.partitionBy("file").orderBy("line")
-    grouped = mine.withColumn("group", F.sum(F.col("m").rlike(head).cast("int")).over(w)).where("group > 0")
+    grouped = carried(mine, F.when(F.col("m").rlike(head), F.col("line")), "head").where("head is not null")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "m"))), lambda x: x["m"]), "\n")
-    joined = grouped.groupBy("file", "group").agg(text.alias("m"))
+    joined = grouped.groupBy("file", "head").agg(text.alias("m"))
     part = lambda i: F.regexp_extract("m", r"(?s)^run=(\d+) t=(\d+)ms ?(.*)$", i)
     return joined.select("file", part(1).cast("long").alias("run"), part(2).cast("long").alias("t_ms"), part(3).alias("message"))
 
@@ -160,15 +185,58 @@ def protocol_lines(spark: SparkSession, path: str, prefix: str, schema: str) ->
 
 
 def sampler_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, epoch, uptime, tag, value) of a sampler's lines: each belongs to the last `T epoch uptime` before it."""
-    lines = ordered_lines(spark, path).where(F.trim("value") != "")
+    """(file, epoch, uptime, tag, value) of a sampler's lines: each belongs to the last `T epoch uptime` before it, in whichever block that is."""
+    lines = ordered_lines(spark, path, blocks=True).where(F.trim("value") != "")
     f = F.split("value", " ")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(f[0] == "T", F.struct(f[1].cast("double").alias("epoch"), f[2].cast("double").alias("uptime")))
-    tagged = lines.withColumn("head", F.last(head, ignorenulls=True).over(w)).where((f[0] != "T") & F.col("head").isNotNull())
+    tagged = carried(lines, head, "head").where((f[0] != "T") & F.col("head").isNotNull())
     return tagged.select("file", "head.epoch", "head.uptime", f[0].alias("tag"), F.regexp_replace("value", r"^\S+ ?", "").alias("value"))
 
 
+def json_records(spark: SparkSession, path: str, depth: int, opening: str) -> DataFrame:
+    """(file, record, text): the objects at a depth of JSON files of any size, in order, each as its own text with what names it.
+
+    depth counts the brackets that are open around an object; opening is a pattern,
+    without a closing brace in it, of what stands before the first one: what comes
+    earlier doesn't count. A file is read in blocks, cut at closing
+    braces. Where a piece lies is known from prefix sums, per block and then over
+    blocks: quotes before it tell whether it starts inside a string, brackets
+    outside of strings how deep it ends, ends at `depth` which record it is of. So
+    one document is many tasks, and only a record is put together in one row.
+    Commas between records go; `"key": {...}` keeps its key. Files of no object give none.
+    """
+    pieces = ordered_lines(spark, path, "}", blocks=True).withColumn("value", F.coalesce("value", F.lit("")))
+    # Escapes stand in strings alone; without them each quote opens or ends one.
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    quoted = _prefix(pieces.withColumn("bare", bare).withColumn("quotes", F.length("bare") - F.length(F.replace("bare", F.lit('"')))), "quotes", "before")
+    inside = F.col("before") % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), "bare"), r'(?s)"[^"]*("|$)', "")
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    ends_inside = (F.col("before") + F.col("quotes")) % 2 == 1
+    # Each piece but a file's last has lost its closing brace.
+    ends = pieces.groupBy("file").agg(F.max("line").alias("last"), F.min(F.when(F.col("value").rlike(opening), F.col("line"))).alias("first"))
+    told = quoted.join(ends, "file").withColumn("outside", outside).withColumn("closed", ~ends_inside & (F.col("line") < F.col("last")))
+    change = count("outside", "{") + count("outside", "[") - count("outside", "}") - count("outside", "]") - F.col("closed").cast("int")
+    deep = _prefix(told.withColumn("change", change), "change", "start")
+    closing = F.coalesce(F.col("closed") & (F.col("start") + F.col("change") == depth) & (F.col("line") >= F.col("first")), F.lit(False))
+    placed = _prefix(deep.withColumn("end", closing.cast("int")), "end", "record")
+    whole = F.concat("value", F.when(F.col("line") < F.col("last"), "}").otherwise(""))
+    parts = placed.where("line >= first").select("file", "record", "line", whole.alias("whole"), "end")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "whole"))), lambda x: x["whole"]), "")
+    found = parts.groupBy("file", "record").agg(text.alias("text"), F.max("end").alias("ended")).where("ended = 1")
+    first = F.regexp_replace("text", rf"(?s)\A.*?{opening}", "")
+    return found.select("file", "record", F.regexp_replace(F.when(F.col("record") == 0, first).otherwise(F.col("text")), r"\A[\s,]+", "").alias("text"))
+
+
+def _prefix(lines: DataFrame, value: str, name: str) -> DataFrame:
+    """lines (file, block, line, ...) with the sum of `value` over the lines before each in its file: per block, over blocks, within blocks."""
+    sums = lines.groupBy("file", "block").agg(F.sum(value).alias("sum"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("file", "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("carry"))
+    within = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.join(starts, ["file", "block"]).withColumn(name, F.col("carry") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("carry")
+
+
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -239,10 +307,38 @@ def rails_of(traces: DataFrame) -> DataFrame:
     return traces.mapInPandas(run, "path string, rail string, t_ms long, energy_uws long")
 
 
-def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+#: Files of more bytes than this are hashed in ranges, smaller ones as one value; bytes of a range.
+HASH_WHOLE, HASH_RANGE = 64 << 20, 8 << 20
+
+
+def file_hashes(files: DataFrame, wanted: DataFrame, whole: int = HASH_WHOLE, range_bytes: int = HASH_RANGE) -> DataFrame:
+    """(path, hash): SHA-256 of the wanted (path) of files (Spark's binaryFile rows), a file a task, its memory the same for any file.
+
+    Files of at most `whole` bytes are read by Spark, from any store it knows;
+    larger ones a range at a time, through Arrow's file systems (local, HDFS and object stores).
+    """
+    mine = files.join(wanted.select("path").distinct(), "path", "left_semi")
+    # The bound on length reaches the scan, so contents of larger files aren't read there.
+    direct = mine.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("hash"))
+    large = mine.select("path", "length").where(F.col("length") > whole).select("path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame.path:
+                store, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(path, safe="/:@")))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while data := stream.read(range_bytes):
+                        digest.update(data)
+                yield pd.DataFrame({"path": [path], "hash": [digest.hexdigest()]})
+
+    return direct.unionByName(large.repartition(max(1, large.count()), "path").mapInPandas(run, "path string, hash string"))
+
+
+def verified_files(spark: SparkSession, path: str, manifest: DataFrame, whole: int = HASH_WHOLE) -> DataFrame:
     """manifest (name, bytes, sha256) with the file that is it, by name, else by size, and whether size and hash agree.
 
-    Only files that the manifest names, or whose size it has, are read whole.
+    Files are listed without being read, empty ones aren't listed by Spark and count as missing; only those that the manifest names, or whose size it has, are hashed, see file_hashes().
     """
     files = spark.read.format("binaryFile").load(path)
     there = files.select(F.col("path").alias("at"), F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"))
@@ -251,9 +347,7 @@ def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     sized = asked.join(there, F.col("size") == F.col("bytes")).withColumn("by_name", F.lit(False))
     best = Window.partitionBy("name").orderBy(F.desc("by_name"), "file")
     first = named.union(sized).withColumn("r", F.row_number().over(best)).where("r = 1")
-    hashes = files.join(first.select(F.col("at").alias("path")).distinct(), "path", "left_semi").select(
-        F.col("path").alias("at"), F.sha2("content", 256).alias("hash")
-    )
+    hashes = file_hashes(files, first.select(F.col("at").alias("path")), whole).withColumnRenamed("path", "at")
     good = (F.col("size") == F.col("bytes")) & (F.col("hash") == F.col("sha256"))
     checked = first.join(hashes, "at").select("name", "file", good.alias("good"))
     return asked.select("name").join(checked, "name", "left").select("name", "file", F.coalesce("good", F.lit(False)).alias("good"))
