@@ -14,7 +14,7 @@ so are hexadecimal strings that nothing calls a secret.
 Canonical forms: digits only for phone, card and social security numbers,
 letters and digits for account numbers, lower case for e-mail addresses and
 names; credentials and network addresses as written. A name's parts are entities of
-their own, so `Mrs Ann Lee` and `Mrs Lee` stay one person.
+their own, so `Mrs Ann Lee`, `Mrs Lee` and a bare `Lee` later on stay one person.
 """
 
 from __future__ import annotations
@@ -30,7 +30,13 @@ DRAWS = 24
 SAME_LENGTH = 5
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
+#: An apostrophe belongs to a name where two letters follow: O'Brien, but not the s of Lee's.
+_NAME = r"\p{Lu}(?:\p{L}|['’]\p{L}{2})+(?:-\p{Lu}(?:\p{L}|['’]\p{L}{2})+)*"
+#: What a name of a place or thing ends in (fixed words): no person.
+_THINGS = (
+    "Airport|Terminal|Square|Street|Road|Avenue|Boulevard|Station|Bridge|Park|Church|Cathedral|Chapel|Museum|Library|School|College|University|Hospital|Tower|"
+    "Stadium|Theatre|Theater|Hotel|Foundation|Institute|Prize|Award|Kirche|Straße|Platz|Allee|Brücke|Schule|Universität|Flughafen|Bahnhof|Strafe|Buße"
+)
 #: Titles before names, by gender (fixed words).
 TITLES = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"),
@@ -58,7 +64,7 @@ PATTERNS = {
     "credential": rf"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9_-]{{20,64}}|xox[abprs]-[A-Za-z0-9-]{{10,64}})(?![A-Za-z0-9])"
     rf"|(?<=password=)[A-Za-z0-9]{{6,64}}|{_CALLED}[A-Za-z0-9_+/-]{{8,128}}",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "address": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
+    "address": rf"(?<![0-9.])(?<!(?i:version|release) )(?<![vV]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "card": r"(?<![0-9])(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
     r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
@@ -108,7 +114,8 @@ def _kind(raw: Column) -> Column:
         hit = F.length(F.regexp_extract(F.concat(F.lit(" "), raw, F.lit(" ")), pattern, 0)) == F.length(raw)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     kind = out.otherwise("credential")
-    wrong = ((kind == "card") & (_luhn(_digits(raw)) % 10 != 0)) | ((kind == "account") & (_mod97(F.regexp_replace(raw, "[^A-Z0-9]", "")) != 1))
+    thing = (kind == "name") & raw.rlike(rf" (?:{_THINGS})$")
+    wrong = thing | ((kind == "card") & (_luhn(_digits(raw)) % 10 != 0)) | ((kind == "account") & (_mod97(F.regexp_replace(raw, "[^A-Z0-9]", "")) != 1))
     return F.when(wrong, PLAIN).otherwise(kind)
 
 
@@ -268,10 +275,23 @@ def _parts(raw: Column) -> Column:
     return F.when(kind == "name", named).otherwise(F.array(part(kind, _canonical(kind, raw), raw)))
 
 
+def _bare(gap: Column, names: Column) -> Column:
+    """A stretch between mentions with names' parts (raw, new), standing alone, replaced: as they were written, and in capitals."""
+    edge = lambda raw: F.concat(F.lit(r"(?<![\p{L}\p{N}_-])"), raw, F.lit(r"(?![\p{L}\p{N}_-])"))
+
+    def replaced(text: Column, n: Column) -> Column:
+        once = F.when(text.contains(n["raw"]), F.regexp_replace(text, edge(n["raw"]), n["new"])).otherwise(text)
+        loud = F.upper(n["raw"])
+        return F.when(once.contains(loud) & (loud != n["raw"]), F.regexp_replace(once, edge(loud), F.upper(n["new"]))).otherwise(once)
+
+    return F.aggregate(names, gap, replaced)
+
+
 def surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_entities, kinds), a row for each row of docs.
 
-    text has every entity replaced; n_entities counts mentions, kinds are their
+    text has every entity replaced, and parts of its names wherever else they stand
+    alone in it; n_entities counts the mentions that patterns find, kinds are their
     types in order. Equal texts get equal results. Null texts stay null with no
     entity; empty ones and texts without entities are unchanged. Other columns are
     ignored; an empty table gives none. A key gives the same surrogates every time
@@ -298,14 +318,18 @@ def surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col
         .withColumn("new", F.when(F.col("surrogate").isNull(), F.col("raw")).otherwise(_rendered(F.col("kind"), F.col("raw"), F.col("surrogate"))))
         .withColumn("type", F.when(F.col("kind").isin("title", "family", "given_m", "given_f"), "name").otherwise(F.col("kind")))
     )
-    per_text = written.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new", "type"))).alias("parts"))
+    # Of a text's names, parts of two letters or more also stand alone; longer ones are put back first.
+    named = F.when(F.col("kind").isin("family", "given_m", "given_f") & (F.length("raw") > 1), F.struct((-F.length("raw")).alias("less"), "raw", "new"))
+    per_text = written.groupBy("text_key").agg(
+        F.sort_array(F.collect_list(F.struct("at", "part", "new", "type"))).alias("parts"), F.array_sort(F.collect_set(named)).alias("names")
+    )
     pieces = lambda i: F.array_join(F.transform(F.filter("parts", lambda p: p["at"] == i), lambda p: p["new"]), " ")
     per_text = per_text.select(
         "text_key",
         F.transform(F.sequence(F.lit(0), F.element_at("parts", -1)["at"]), pieces).alias("news"),
-        F.transform(F.filter("parts", lambda p: (p["part"] == 0) & (p["type"] != PLAIN)), lambda p: p["type"]).alias("kinds"),
+        F.transform(F.filter("parts", lambda p: (p["part"] == 0) & (p["type"] != PLAIN)), lambda p: p["type"]).alias("kinds"), "names",
     )
-    gaps = F.split("text", _ALL, -1)
+    gaps = F.transform(F.split("text", _ALL, -1), lambda g: _bare(g, F.col("names")))
     joined = F.array_join(
         F.flatten(F.zip_with(gaps, F.col("news"), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), ""
     )

@@ -179,6 +179,20 @@ def test_surrogates_of_more_forms_and_what_is_left_alone(spark):
     assert again[1].split()[1] == again[2].split(" and ")[0].split()[3] and again[1].split()[4] == again[2].split(" and ")[2].split()[1]
 
 
+def test_bare_mentions_follow_their_names(spark):
+    texts = ["John Smith came home. Later Smith left, and John slept; SMITH said: Smithson, Johns.", "Mr. Lee and Mr. Lee's dog, Lee's car", "Miss O'Brien saw O’Brien and O'Brien.",
+             "hundert Mark Strafe", "Charles De Gaulle Airport Terminal", "Jean Monnet Square", "version 1.2.3.4 and v1.2.3.4", "Mr $1 and Mr. A$1 b", "Smith and John alone"]
+    got = {r.doc_id: r for r in surrogates(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    given, family = got[0].text.split(" came")[0].split()
+    assert got[0].text == f"{given} {family} came home. Later {family} left, and {given} slept; {family.upper()} said: Smithson, Johns."
+    assert got[0].n_entities == 1
+    lee = got[1].text.split()[1]
+    assert got[1].text == f"Mr. {lee} and Mr. {lee}'s dog, {lee}'s car" and lee != "Lee"
+    assert got[2].text.count(got[2].text.split()[1]) >= 2 and got[2].text.split()[-1] == got[2].text.split()[1] + "."
+    for i in range(3, 9):
+        assert (got[i].text, got[i].n_entities) == (texts[i], 0)
+
+
 def test_short_forms_that_run_out_grow(spark):
     """600 of the 676 addresses of this form: fewer are free than are wanted."""
     mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"][:600]
