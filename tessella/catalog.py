@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import corpus, files, measures, passages, places, retrieval, routing, search, streams
+from tessella.plans import corpus, files, measures, parts, passages, places, retrieval, routing, search, streams
 
-_PLANS = (search, corpus, places, measures, routing, streams, retrieval, passages, files)
+_PLANS = (search, corpus, places, measures, routing, streams, retrieval, passages, parts, files)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for plan in _PLANS for k, f in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for plan in _PLANS for k, sql in plan.ORACLES.items()}

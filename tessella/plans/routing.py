@@ -44,7 +44,7 @@ def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(q.clean_check(F.concat("text", F.lit("\nHmm, wait")))).alias("chars"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(q.clean_check(F.concat("text", F.lit("\nHmm, wait")))).alias("text_md5"))
 
 
 def place_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.packed(_hits(spark, sf_dir)).select("question", F.length("context").alias("chars"), F.size("used").alias("used"))
+    return c.packed(_hits(spark, sf_dir)).select("question", "context", "used")
 
 
 def check_terms_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ ORACLES = {
         SELECT doc_id, place::INTEGER AS place, title FROM k WHERE place < 4""",
     "clean_checks": """WITH l AS (SELECT doc_id, string_split(trim(text || chr(10) || 'Hmm, wait', chr(32) || chr(9) || chr(10) || chr(13)), chr(10)) AS ls FROM documents),
         k AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, '^\\s*(?:[-*]\\s*)?(?:But wait|Wait[,. ]|Hmm|Let me|Let''s|Actually,|On second thought)')), true) AS cut FROM l)
-        SELECT doc_id, length(trim(array_to_string(ls[1:cut - 1], chr(10)), chr(32) || chr(9) || chr(10) || chr(13)))::INTEGER AS chars FROM k""",
+        SELECT doc_id, md5(trim(array_to_string(ls[1:cut - 1], chr(10)), chr(32) || chr(9) || chr(10) || chr(13))) AS text_md5 FROM k""",
     "place_questions": f"""WITH t AS (SELECT item_id, 'best vegan food in ' || lower(text) AS low FROM benchmark)
         SELECT item_id, 'eat' AS kind, 'vegan' AS diet, CASE WHEN regexp_matches(low, '{q.CHEAP.pattern}') THEN 'Budget' WHEN regexp_matches(low, '{q.FANCY.pattern}') THEN 'Splurge' END AS price,
             regexp_matches(low, '{q.NEAR_ME.pattern}') AS here, regexp_matches(low, '{q.AT_NIGHT.pattern}') AS late FROM t""",
