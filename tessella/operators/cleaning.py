@@ -219,3 +219,58 @@ def fork_dates(rows: DataFrame, line: str) -> DataFrame:
     day = F.regexp_extract(F.trim(F.element_at(cells, -1)), r"^[*_]*([A-Z][a-z]{2} \d{1,2}, \d{4})[*_]*$", 1)
     parsed = F.try_to_date(F.when(day != "", day), "MMM d, yyyy") if hasattr(F, "try_to_date") else F.to_date(F.when(day != "", day), "MMM d, yyyy")
     return rows.where(F.size(cells) >= 2).select(F.lower(name).alias("name"), parsed.alias("day")).where("day is not null and name <> ''")
+
+
+#: A name in a heading or a description (fixed).
+_NAMED = r"([A-Z][a-zé]+)"
+
+
+def _first_day(rows: DataFrame, key: list[str], words: Column, dates: DataFrame) -> DataFrame:
+    """(key..., day): the day of the first of the words that names one."""
+    said = rows.select(*key, F.posexplode(words).alias("at", "word")).withColumn("name", F.lower("word"))
+    return said.join(dates, "name").groupBy(*key).agg(F.min_by("day", "at").alias("day"))
+
+
+def fork_stages(history: DataFrame, documents: DataFrame, dates: DataFrame) -> DataFrame:
+    """(number, upgrade, stage, day): which upgrade each numbered document belongs to; the first source that says so wins.
+
+    history (place, section: its heading line and text): a linked number is live
+    with that upgrade, by place. Then documents (number, title, description, status,
+    requires, body) titled `Hardfork Meta: name`, by number: those linked before
+    their rationale, in the stage of the heading above (declined and activation
+    don't count), and where the document is final those it requires. What a final
+    one includes is live, what another includes is scheduled. dates (name in lower case, day).
+    """
+    line = F.regexp_replace(F.substring_index("section", "\n", 1), r"\s*\{#[^}]*\}", "")
+    quoted = F.regexp_extract("section", r'\A[^\n]*\("([^"\n]+)"\)', 1)
+    told = history.select("place", "section", F.trim(line).alias("head"), F.when(quoted != "", quoted).otherwise(F.trim(line)).alias("upgrade"))
+    days = _first_day(told, ["place"], F.regexp_extract_all("head", F.lit(_NAMED), F.lit(1)), dates)
+    links = F.regexp_extract_all("section", F.lit(r"eips\.ethereum\.org/EIPS/eip-(\d+)"), F.lit(1))
+    live = told.join(days, "place", "left").select(F.explode(links).alias("n"), "upgrade", F.lit("live").alias("stage"), "day", F.lit(0).alias("source"), F.col("place").cast("long").alias("rank"))
+
+    name = F.trim(F.regexp_extract("title", r"(?i)^hardfork meta\s*[-:]\s*(.+)$", 1))
+    metas = documents.where((name != "") & ~F.lower("title").contains("backfill")).select(
+        "number", name.alias("upgrade"), (F.lower(F.coalesce("status", F.lit(""))) == "final").alias("final"), F.coalesce("requires", F.lit("")).alias("requires"),
+        F.split(F.substring_index(F.coalesce("body", F.lit("")), "## Rationale", 1), "\n").alias("lines"),
+        F.concat(F.array("title"), F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(_NAMED), F.lit(1))).alias("words"),
+    )
+    # The upgrade's own name comes before the words of the description.
+    words = F.concat(F.array("upgrade"), F.slice("words", 2, F.size("words")))
+    meta_days = _first_day(metas, ["number"], words, dates)
+    low = F.lower(F.regexp_extract("line", r"^###\s+(.*)", 1))
+    stage = F.when(low == "", None)
+    for word in ("declined", "considered", "proposed", "activation"):
+        stage = stage.when(low.contains(word), word)
+    lines = metas.select("number", F.posexplode("lines").alias("at", "line")).withColumn("head", stage.otherwise("included"))
+    above = F.last("head", ignorenulls=True).over(Window.partitionBy("number").orderBy("at"))
+    linked = lines.withColumn("stage", F.coalesce(above, F.lit("included"))).where(F.col("head").isNull() & ~F.col("stage").isin("declined", "activation"))
+    linked = linked.select("number", "at", "stage", F.explode(F.regexp_extract_all("line", F.lit(r"\(\./eip-(\d+)\.md\)"), F.lit(1))).alias("n"))
+    required = metas.where("final").select("number", F.lit(2**31 - 1).alias("at"), F.lit("included").alias("stage"), F.explode(F.regexp_extract_all("requires", F.lit(r"(\d+)"), F.lit(1))).alias("n"))
+    found = linked.unionByName(required).groupBy("number", "n").agg(F.min_by("stage", "at").alias("stage")).where(F.col("n").cast("long") != F.col("number"))
+    planned = found.join(metas.select("number", "upgrade", "final"), "number").join(meta_days, "number", "left").select(
+        "n", "upgrade", F.when(F.col("final"), "live").when(F.col("stage") == "included", "scheduled").otherwise(F.col("stage")).alias("stage"),
+        F.when(F.col("final"), F.col("day")).alias("day"), F.lit(1).alias("source"), F.col("number").cast("long").alias("rank"),
+    )
+    every = live.unionByName(planned).withColumn("number", F.col("n").cast("long"))
+    first = Window.partitionBy("number").orderBy("source", "rank")
+    return every.withColumn("r", F.row_number().over(first)).where("r = 1").select("number", "upgrade", "stage", "day")

@@ -11,7 +11,8 @@ from tessella.functions.questions import DIETS, KIND_WORDS, place_asks
 from tessella.operators import cleaning as k
 from tessella.operators import evaluation as e
 from tessella.plans.streams import plan_deltas
-from tessella.plans.tables import places, read
+from tessella.plans.passages import _BEST, _POOL, _POSTS
+from tessella.plans.tables import articles, places, read
 from tessella.sources.scratch import new_path
 from tessella.streaming import live
 
@@ -111,6 +112,39 @@ def kinds_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", place_asks(asked).alias("ask")).select("item_id", F.col("ask.kind").alias("kind"), F.col("ask.diet").alias("diet"))
 
 
+def fork_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as sections of a history, suppliers as documents, every fifth a plan of an upgrade that links parts."""
+    n = F.col("n_nationkey")
+    nation = read(spark, sf_dir, "nation")
+    head = F.concat(F.lit("Upgrade"), F.translate(n.cast("string"), "0123456789", "abcdefghij"), F.when(n % 2 == 0, F.concat(F.lit(' ("N'), n.cast("string"), F.lit('") {#x}'))).otherwise(""))
+    link = F.concat(F.lit("eips.ethereum.org/EIPS/eip-"), (n * 3).cast("string"), F.lit(" and eips.ethereum.org/EIPS/eip-"), (n * 5 + 1).cast("string"))
+    history = nation.select(n.alias("place"), F.concat(head, F.lit("\ntext "), link).alias("section"))
+    dates = nation.where("n_nationkey % 3 <> 0").select(F.lower(F.regexp_extract(head, "^(Upgrade[a-z]+)", 1)).alias("name"), F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int")).alias("day"))
+    k_ = F.col("s_suppkey")
+    word = lambda x: F.concat(F.lit("Upgrade"), F.translate((x % 25).cast("string"), "0123456789", "abcdefghij"))
+    to = lambda x: F.concat(F.lit("- [x](./eip-"), x.cast("string"), F.lit(".md)\n"))
+    body = F.concat(to(k_ * 7), F.lit("### EIPs Considered for Inclusion\n"), to(k_ * 7 + 1), F.lit("### Declined\n"), to(k_ * 7 + 2), F.lit("### Other\n"), to(k_ * 7 + 1), to(k_ * 7 + 3), F.lit("## Rationale\n"), to(k_ * 7 + 4))
+    documents = read(spark, sf_dir, "supplier").select(
+        k_.alias("number"), F.when(k_ % 5 == 0, F.concat(F.lit("Hardfork Meta: "), word(k_ + 1))).otherwise(F.col("s_name")).alias("title"),
+        F.concat(F.lit("about "), word(k_ + 2)).alias("description"), F.when(k_ % 2 == 0, "Final").otherwise("Draft").alias("status"),
+        (k_ * 7 + 5).cast("string").alias("requires"), body.alias("body"),
+    )
+    return k.fork_stages(history, documents, dates)
+
+
+def retrieval_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose five best passages change when popularity counts."""
+    from tessella.plans import passages as pp
+
+    index, docs = pp._index(spark, sf_dir, "lines"), articles(spark, sf_dir)
+    terms = pp._terms(index, pp._items(spark, sf_dir))
+    text = pp.line_passages(spark, sf_dir).select("article_id", "start", "title", "section", F.col("body").alias("text"))
+    one, two = pp.p.top_passages(index, terms, 5), pp.p.ranked_passages(index, terms, docs, per_article=5).where("rank <= 5")
+    shown = lambda hits: hits.select("question", "rank", "article_id", "start").join(text, ["article_id", "start"]).withColumn("via", F.lit("rank"))
+    found = e.retrieval_difference(shown(one), shown(two))
+    return found.select(F.col("question").alias("item_id"), "same", F.array_join(F.transform("two", lambda h: F.md5(h["text"])), ",").alias("two"))
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' runs of events no more than half an hour apart, from a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -133,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         name_keys, run_titles, core_shares, overruled_branches, narrower_kinds, tagged_kinds, expected_answers, list_entries, city_numbers, unblinded_scores,
-        kinds_asked, stream_sessions, stream_texts,
+        kinds_asked, fork_stages, retrieval_changes, stream_sessions, stream_texts,
     )
 }
 
@@ -199,6 +233,26 @@ ORACLES = {
             || CASE WHEN item_id % 3 = 0 THEN ' or ' || {_WORDS}[(item_id * 5 + 1) % len({_WORDS}) + 1] ELSE '' END || ' in rome, ' || lower(text) AS low FROM benchmark),
         k AS ({_FIRST.format(values=_values(KIND_WORDS))}), d AS ({_FIRST.format(values=_values(DIETS))})
         SELECT q.item_id, CASE WHEN k.value <> 'sights' THEN k.value END AS kind, CASE WHEN k.value <> 'sights' THEN d.value END AS diet FROM q LEFT JOIN k USING (item_id) LEFT JOIN d USING (item_id)""",
+    "fork_stages": """WITH w AS (SELECT n_nationkey AS n, 'Upgrade' || translate(n_nationkey::VARCHAR, '0123456789', 'abcdefghij') AS name, '2020-01-01'::DATE + n_nationkey::INTEGER AS day FROM nation),
+        d AS (SELECT name, day FROM w WHERE n % 3 <> 0),
+        live AS (SELECT unnest([n * 3, n * 5 + 1]) AS number, CASE WHEN n % 2 = 0 THEN 'N' || n ELSE w.name END AS upgrade, 'live' AS stage, d.day::DATE AS day, 0 AS source, n AS rank FROM w LEFT JOIN d USING (name)),
+        m AS (SELECT s_suppkey AS k, 'Upgrade' || translate(((s_suppkey + 1) % 25)::VARCHAR, '0123456789', 'abcdefghij') AS upgrade,
+            'Upgrade' || translate(((s_suppkey + 2) % 25)::VARCHAR, '0123456789', 'abcdefghij') AS other, s_suppkey % 2 = 0 AS final FROM supplier WHERE s_suppkey % 5 = 0),
+        meta AS (SELECT m.*, coalesce(a.day, b.day) AS day FROM m LEFT JOIN d a ON a.name = upgrade LEFT JOIN d b ON b.name = other),
+        links AS (SELECT k * 7 + i AS number, upgrade, CASE WHEN final THEN 'live' WHEN i = 1 THEN 'considered' ELSE 'scheduled' END AS stage, CASE WHEN final THEN day END AS day, 1 AS source, k AS rank
+            FROM meta, range(6) AS r(i) WHERE i IN (0, 1, 3) OR (i = 5 AND final))
+        SELECT number, upgrade, stage, day::DATE AS day FROM (SELECT * FROM live UNION ALL SELECT * FROM links WHERE number <> rank)
+        QUALIFY row_number() OVER (PARTITION BY number ORDER BY source, rank) = 1""",
+    "retrieval_changes": f"""{_POSTS},
+        pool AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(hits.score, 9) DESC, article_id, start) AS rank FROM hits QUALIFY rank <= {_POOL}),
+        s AS (SELECT question, article_id, start, score + 2 * log10(1 + views) AS score FROM pool JOIN articles USING (article_id)),
+        t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question, article_id ORDER BY round(s.score, 9) DESC, start DESC) <= 5),
+        u AS (SELECT question, article_id, start, row_number() OVER (PARTITION BY question ORDER BY round(t.score, 9) DESC, article_id DESC, start DESC) AS rank FROM t QUALIFY rank <= {_BEST}),
+        x AS (SELECT question, rank, title || '|' || body AS shown, left(body, 120) AS cut, 1 AS build FROM pool JOIN pas USING (article_id, start) WHERE rank <= {_BEST}
+            UNION ALL SELECT question, rank, title || '|' || body, left(body, 120), 2 FROM u JOIN pas USING (article_id, start)),
+        g AS (SELECT question, string_agg(shown, '~' ORDER BY rank) FILTER (build = 1) AS one, string_agg(shown, '~' ORDER BY rank) FILTER (build = 2) AS two,
+            string_agg(md5(cut), ',' ORDER BY rank) FILTER (build = 2) AS texts FROM x GROUP BY 1)
+        SELECT question AS item_id, one = two AS same, texts AS two FROM g""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true)::INT AS starts FROM events),
         s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
         SELECT user_id, epoch_us(min(ts)) AS t0, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS t1, count(*) AS events FROM s GROUP BY user_id, n""",
