@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import geo, names
-from tessella.functions.questions import DIETS, KIND_WORDS, place_asks
+from tessella.functions import markup as m
+from tessella.functions.questions import DIETS, KIND_WORDS, place_asks, place_texts
 from tessella.operators import cleaning as k
+from tessella.operators import corpus as c
 from tessella.operators import evaluation as e
 from tessella.plans.streams import plan_deltas
 from tessella.plans.passages import _BEST, _POOL, _POSTS
@@ -145,6 +147,67 @@ def retrieval_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("question").alias("item_id"), "same", F.array_join(F.transform("two", lambda h: F.md5(h["text"])), ",").alias("two"))
 
 
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' coordinates from article texts, and those of points and closed rings in WKT."""
+    x = F.col("s_suppkey")
+    part = lambda c: F.format_string("%.2f", c)
+    lat, lon = part(x % 80 + 0.25), part(x % 170 + 0.5)
+    text = F.concat(F.lit("35°40′N 139°45′E near "), lat, F.lit("°"), F.when(x % 2 == 0, "N").otherwise("S"), F.lit(" "), lon, F.lit("°"), F.when(x % 3 == 0, "E").otherwise("W"), F.lit(" and 1.5°N 2.5°E"))
+    point = F.concat(F.lit("POINT ("), lon, F.lit(" -"), lat, F.lit(")"))
+    corner = lambda a, b: F.concat((x % 50 + a).cast("string"), F.lit(" "), (x % 30 + b).cast("string"))
+    ring = F.concat(F.lit("POLYGON (("), corner(0, 0), F.lit(", "), corner(4, 0), F.lit(", "), corner(4, 2), F.lit(", "), corner(0, 0), F.lit("), (9 9, 8 8))"))
+    found = read(spark, sf_dir, "supplier").select("s_suppkey", m.article_coords(text).alias("a"), m.wkt_point(F.when(x % 2 == 0, point).otherwise(ring)).alias("w"))
+    return found.select("s_suppkey", *[F.round(f"{c}.{n}", 6).alias(f"{c}_{n}") for c in "aw" for n in ("lat", "lon")])
+
+
+def document_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents that weigh by their status."""
+    docs = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return k.weighted_documents(docs, {"f": 1000, "o": 500}, 7).select("o_orderkey", F.col("views").cast("long").alias("views"))
+
+
+#: Descriptions of subjects, and the kinds that they are.
+_SUBJECTS = [
+    ("a sushi restaurant in Ginza", "food"), ("a grand hotel and casino bar near the sea", "food,lodging"), ("an art museum that holds coins", "other"), ("a village in the north", ""),
+    ("a 2014 comedy film about a hotel", ""), ("one of the oldest coffeehouses in Paris", "food"), ("a hotel chain", ""), ("a department store with a bakery", "food,other"), ("a guest house by a lake", "lodging"),
+]
+
+
+def subject_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as articles whose first sentence says what they are."""
+    x = F.col("p_partkey")
+    said = F.element_at(F.array(*[F.lit(a) for a, _ in _SUBJECTS]), (x % len(_SUBJECTS) + 1).cast("int"))
+    text = F.concat(F.lit("Key facts: a: b\n\n# "), F.initcap("p_name"), F.lit("\n\nThe "), F.initcap("p_name"), F.lit(" (old; new) is "), said, F.lit(". It is a museum. "), "p_type")
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(m.lead_kinds(text), ",").alias("kinds"))
+
+
+def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of parts as passages: those that begin before their predecessor ends."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.min("l_linenumber").alias("n"))
+    spans = lines.select(F.col("l_partkey").alias("article_id"), F.col("l_orderkey").alias("place"), (F.col("l_orderkey") * 2).alias("start"), (F.col("l_orderkey") * 2 + F.col("n") * 900).alias("end"))
+    return c.overlaps(spans).select("article_id", "place", "before")
+
+
+def place_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where questions about parts may name a place."""
+    name, other = F.initcap("p_name"), F.translate("p_brand", "#", "x")
+    asked = F.concat(F.lit("what is good in "), name, F.lit(", or near the "), other, F.lit("?"))
+    found = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(place_texts(asked)).alias("at", "s"))
+    return found.select("p_partkey", F.col("at").cast("long").alias("at"), "s.text", "s.anchored")
+
+
+def guide_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as wiki pages of a guide with listings, references and tables; the listings found in them."""
+    x, name = F.col("p_partkey"), F.initcap("p_name")
+    section = F.element_at(F.array(*[F.lit(v) for v in ("Eat", "Sleep", "Understand")]), (x % 3 + 1).cast("int"))
+    page = F.concat(
+        F.lit("Intro<ref>x {{y}}</ref>\n=="), section, F.lit("==\n===Budget===\n* {{listing | name="), name, F.lit(" | address="), x.cast("string"),
+        F.lit(" [[High Street|Street]] | content=''Fine'' {{tag}}food}}\n{| class=x\n* {{eat|name=None}}\n|}\n* plain\n* {{see|name=Second "), name, F.lit("}}\n==Buy==\n* {{buy | name=X}}\n* {{buy|name="), "p_brand", F.lit("|price=9}}"),
+    )
+    found = read(spark, sf_dir, "part").select("p_partkey", m.wiki_column(page).alias("text"))
+    return found.select("p_partkey", F.explode(m.listings_column("text")).alias("l")).select("p_partkey", "l.*")
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' runs of events no more than half an hour apart, from a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -167,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         name_keys, run_titles, core_shares, overruled_branches, narrower_kinds, tagged_kinds, expected_answers, list_entries, city_numbers, unblinded_scores,
-        kinds_asked, fork_stages, retrieval_changes, stream_sessions, stream_texts,
+        kinds_asked, fork_stages, retrieval_changes, coordinates, document_weights, subject_kinds, span_overlaps, place_spans, guide_listings, stream_sessions, stream_texts,
     )
 }
 
@@ -253,6 +316,23 @@ ORACLES = {
         g AS (SELECT question, string_agg(shown, '~' ORDER BY rank) FILTER (build = 1) AS one, string_agg(shown, '~' ORDER BY rank) FILTER (build = 2) AS two,
             string_agg(md5(cut), ',' ORDER BY rank) FILTER (build = 2) AS texts FROM x GROUP BY 1)
         SELECT question AS item_id, one = two AS same, texts AS two FROM g""",
+    "coordinates": """WITH s AS (SELECT s_suppkey, s_suppkey % 80 + 0.25 AS lat, s_suppkey % 170 + 0.5 AS lon, s_suppkey % 50 AS x, s_suppkey % 30 AS y FROM supplier)
+        SELECT s_suppkey, (CASE WHEN s_suppkey % 2 = 0 THEN lat ELSE -lat END)::DOUBLE AS a_lat, (CASE WHEN s_suppkey % 3 = 0 THEN lon ELSE -lon END)::DOUBLE AS a_lon,
+            round((CASE WHEN s_suppkey % 2 = 0 THEN -lat ELSE y + 2 / 3 END)::DOUBLE, 6) AS w_lat, round((CASE WHEN s_suppkey % 2 = 0 THEN lon ELSE x + 8 / 3 END)::DOUBLE, 6) AS w_lon FROM s""",
+    "document_weights": "SELECT o_orderkey, CASE lower(o_orderstatus) WHEN 'f' THEN 1000 WHEN 'o' THEN 500 ELSE 7 END::BIGINT AS views FROM orders",
+    "subject_kinds": f"SELECT p_partkey, {_listed([kinds for _, kinds in _SUBJECTS])}[p_partkey % {len(_SUBJECTS)} + 1] AS kinds FROM part",
+    "span_overlaps": """WITH l AS (SELECT l_partkey AS article_id, l_orderkey AS place, l_orderkey * 2 AS start, l_orderkey * 2 + min(l_linenumber) * 900 AS stop FROM lineitem GROUP BY 1, 2),
+        p AS (SELECT *, lag(stop) OVER (PARTITION BY article_id ORDER BY start, place) AS before FROM l)
+        SELECT article_id, place, before FROM p WHERE start < before""",
+    "place_spans": """WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name, replace(p_brand, '#', 'x') AS other FROM part),
+        s AS (SELECT p_partkey, 0 AS at_, other AS text, true AS anchored FROM n UNION ALL SELECT p_partkey, 1, name, true FROM n
+            UNION ALL SELECT p_partkey, 2, name, false FROM n UNION ALL SELECT p_partkey, 3, other, false FROM n)
+        SELECT p_partkey, at_::BIGINT AS "at", text, anchored FROM s""",
+    "guide_listings": """WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
+            ['Eat', 'Sleep', NULL][p_partkey % 3 + 1] AS section, p_brand FROM part)
+        SELECT p_partkey, section, 'Budget' AS tier, name, p_partkey || ' Street. Fine food' AS rest FROM n WHERE section IS NOT NULL
+        UNION ALL SELECT p_partkey, section, 'Budget', 'Second ' || name || ':', '' FROM n WHERE section IS NOT NULL
+        UNION ALL SELECT p_partkey, 'Buy', NULL, 'X:', '' FROM n UNION ALL SELECT p_partkey, 'Buy', NULL, p_brand, '9' FROM n""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true)::INT AS starts FROM events),
         s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
         SELECT user_id, epoch_us(min(ts)) AS t0, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS t1, count(*) AS events FROM s GROUP BY user_id, n""",
