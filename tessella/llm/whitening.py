@@ -74,10 +74,11 @@ def remaindered(residues: list[np.ndarray], moduli: list[int]) -> np.ndarray:
 
 @dataclass
 class Whitening:
-    """n, S, the scatter n^3 * covariance (integers), and the components by falling eigenvalue."""
+    """n, S, the longest |n * x - S|, the scatter n^3 * covariance (integers), and the components by falling eigenvalue."""
 
     n: int
     sums: list[int]
+    longest: int
     scatter: np.ndarray
     values: np.ndarray
     vectors: np.ndarray
@@ -122,8 +123,9 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = _integers(batch.column(0))
             if total is None:
                 total, low, high = np.zeros(x.shape[1], object), x[0], x[0]
-            n, total = n + len(x), total + x.sum(axis=0).astype(object)
             low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+            wide = max(int(high.max()), -int(low.min())) * len(x) >= 1 << 62
+            n, total = n + len(x), total + (x.astype(object) if wide else x).sum(axis=0).astype(object)
     if n:
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(total))), pa.array([n] * len(total)), pa.array([Decimal(t) for t in total], pa.decimal128(38, 0)), pa.array(low), pa.array(high)],
@@ -181,7 +183,7 @@ def fit_whitening(vectors: DataFrame, components: int = COMPONENTS, vector_col:
     covariance = np.array([[int(v) / cube for v in row] for row in exact])
     values, columns = np.linalg.eigh(covariance)
     first = np.argsort(values, kind="stable")[::-1][:components]
-    return Whitening(n, sums, exact, values[first], columns[:, first], sum(int(exact[k, k]) for k in range(d)) / cube)
+    return Whitening(n, sums, longest, exact, values[first], columns[:, first], sum(int(exact[k, k]) for k in range(d)) / cube)
 
 
 def _matrix_rows(totals: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -191,24 +193,27 @@ def _matrix_rows(totals: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _deviations(y: np.ndarray) -> list[Decimal]:
-    """Sum of squares of each row of integers, exact."""
+def _deviations(y: np.ndarray) -> list[Decimal | None]:
+    """Sum of squares of each row of integers, exact; null beyond 38 digits."""
     if len(y) and int(np.abs(y).max()) ** 2 * y.shape[1] >= 1 << 63:
-        return [Decimal(int(v)) for v in (y.astype(object) ** 2).sum(axis=1)]
-    return [Decimal(v) for v in (y * y).sum(axis=1).tolist()]
+        y = y.astype(object)
+    return [Decimal(v) if v < 10**38 else None for v in map(int, (y * y).sum(axis=1))]
 
 
 def whitened(vectors: DataFrame, model: Whitening) -> DataFrame:
     """(vec_id, deviation decimal(38,0), whitened array<double>), a row for each row of vectors (vec_id, vector)."""
     bound_batches(vectors.sparkSession, BLOCK)
-    n, sums, slopes = model.n, np.array(model.sums, np.int64), model.slopes
+    n, slopes = model.n, model.slopes
+    # Python integers where 64 bits could overflow.
+    kind_of = np.int64 if model.longest + max(map(abs, model.sums)) < 1 << 62 else object
+    sums = np.array(model.sums, kind_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = n * _integers(batch.column(1)) - sums
+                y = n * _integers(batch.column(1)).astype(kind_of) - sums
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(_deviations(y), pa.decimal128(38, 0)), pa.array(list((y / n) @ slopes), pa.list_(pa.float64()))],
+                    [batch.column(0), pa.array(_deviations(y), pa.decimal128(38, 0)), pa.array(list((y / n).astype(float) @ slopes), pa.list_(pa.float64()))],
                     ["vec_id", "deviation", "whitened"],
                 )
 

@@ -175,6 +175,15 @@ def test_whitening_of_odd_tables(spark):
     assert len(flat) == 20 and all(r.identity_error < 1e-12 for r in flat) and all(r.whitened == 0 for r in flat if r.component == 2)
 
 
+def test_large_entries_stay_exact(spark):
+    good = [[1e15 * k, -3e15 + k, 0.5 * k] for k in range(9)]
+    y, scatter = exact(good)
+    df = vectors(spark, [(k, v, None, None, None) for k, v in enumerate(good)])
+    assert (whitening.fit_whitening(whitening.clean(df, "vec_id", "embedding")).scatter == scatter).all()
+    found = {r.vec_id: r.deviation for r in whitening.whitening(df).collect()}
+    assert found == {k: None if v >= 2**63 else v for k, v in enumerate((row * row).sum() for row in y)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(-(2**60), 2**60), min_size=3, max_size=3), min_size=1, max_size=30))
 def test_residues_give_back_any_scatter(rows):
