@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.search import few
+
 
 def as_of(probes: DataFrame, samples: DataFrame, key: str, time: str, value: str, forward: bool = False) -> DataFrame:
     """probes with `value` of the last sample at or before their time (forward: the first at or after).
@@ -44,7 +46,9 @@ def window_power(windows: DataFrame, samples: DataFrame, key: str = "rail") -> D
     samples (rail, t, energy), cumulative.
     """
     rails = samples.select(key).distinct()
-    ends = windows.crossJoin(F.broadcast(rails)).select(
+    # A device's rails are a few dozen; what is counted as more isn't sent to all tasks.
+    small = few(rails)
+    ends = windows.crossJoin(rails if small is None else F.broadcast(small)).select(
         "name", "t0", "t1", key, F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("end"), F.col("t1").alias("t")))).alias("p")
     ).select("name", "t0", "t1", key, "p.end", "p.t")
     at = interpolated(ends, samples, key, "t", "energy")

@@ -32,11 +32,14 @@ def by_term(postings: DataFrame, table: str, buckets: int = 64, path: str | None
 
 
 def corpus(articles: DataFrame, chunks: DataFrame, postings: DataFrame, path: str, prefix: str, buckets: int = 64) -> None:
-    """A corpus: articles and chunks as files by article, postings and document frequencies as tables `prefix`_postings and _df by term."""
+    """A corpus: articles and chunks as files by article, postings and document frequencies as tables `prefix`_postings and _df by term.
+
+    All files lie under path, those of the tables too: they live as long as it does.
+    """
     articles.repartitionByRange("article_id").sortWithinPartitions("article_id").write.mode("overwrite").parquet(f"{path}/articles")
     chunks.repartitionByRange("article_id").sortWithinPartitions("article_id", "start").write.mode("overwrite").parquet(f"{path}/chunks")
-    by_term(postings, f"{prefix}_postings", buckets)
-    by_term(postings.groupBy("term").agg(F.count("*").alias("doc")), f"{prefix}_df", buckets)
+    by_term(postings, f"{prefix}_postings", buckets, f"{path}/postings")
+    by_term(postings.groupBy("term").agg(F.count("*").alias("doc")), f"{prefix}_df", buckets, f"{path}/df")
 
 
 def parquet(rows: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:

@@ -199,3 +199,17 @@ def test_letters_bound_the_measure(spark):
             measured = n.jaro_winkler_of(r.a, r.b)
             held = len(r.a) >= 4 and len(r.b) >= 4 and (r.a in r.b or r.b in r.a)
             assert r.sim == 1.0 if r.a == r.b else r.sim == 0.95 if held else (abs(r.sim - measured) < 1e-12 if measured >= 0.8 else r.sim in (0.0, measured))
+
+
+def test_more_than_eight_systems_have_letters_of_their_own(spark):
+    from tessella.operators import evaluation
+
+    rows = [(i, f"s{k}", "x") for i in range(3) for k in range(20)]
+    found = evaluation.blind(spark.createDataFrame(rows, "id long, system string, answer string"), 5).collect()
+    for i in range(3):
+        assert {r.letter for r in found if r.id == i} == set("ABCDEFGH") | {a + b for a in "AB" for b in "ABCDEFGH"} - {"BE", "BF", "BG", "BH"}
+
+
+def test_capitalised_runs_keep_small_words():
+    found = questions.place_spans("what about Rio de Janeiro, or Santiago de Compostela?")
+    assert [text for text, _ in found] == ["Rio de Janeiro", "Santiago de Compostela"]
