@@ -53,6 +53,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_BYTES = 0
 #: Bytes of a package that a task reads at a time, and of ranges that are read together.
 RANGE_BYTES = 16 << 20
+#: Bytes of packages behind the ranges of one task, on average.
+TASK_BYTES = 32 << 20
 LEVEL = 6
 
 
@@ -362,17 +364,19 @@ def _schema(ddl: str) -> pa.Schema:
 _READ = "record string, refers string, type string, url string, digest string, size long, sha1 string, payload binary, error string"
 
 
-def read_records(ranges: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_records(ranges: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
     """(record, refers, type, url, digest, size, sha1, payload, error), a row for each range.
 
     digest is what the record says of its payload; sha1 (base32) and size are those
     of the payload's bytes, null for revisits, which hold none. payload is null
-    unless asked for. Ranges are dealt by package and place, and neighbours are
-    read together.
+    unless asked for. Ranges are dealt by package and place to so many tasks, and
+    neighbours are read together; without a number Spark goes by the ranges' own
+    bytes, which tell little of what is behind them.
     """
     bound_batches(ranges.sparkSession)
     block = F.floor(F.col("at") / range_bytes)
-    dealt = ranges.withColumn("block", block).repartition("file", "block").sortWithinPartitions("file", "at").select("file", "folder", "at", "length", "error")
+    keyed = ranges.withColumn("block", block)
+    dealt = (keyed.repartition(tasks, "file", "block") if tasks else keyed.repartition("file", "block")).sortWithinPartitions("file", "at").select("file", "folder", "at", "length", "error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, stream = None, None
@@ -437,7 +441,8 @@ def archive_digest(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     An empty table makes no package and gives no rows.
     """
     manifest = write_packages(pages, out_dir, id_col, url_col, payload_col, least_bytes)
-    found = kept(read_records(record_ranges(list_members(manifest)), payloads=False), "records")
+    tasks = max(1, (manifest.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES)
+    found = kept(read_records(record_ranges(list_members(manifest)), payloads=False, tasks=tasks), "records")
     kind = pages.schema[id_col].dataType.simpleString()
     full = found.where("type = 'response'").groupBy(F.col("record").alias("target")).agg(F.max("size").alias("full_size"), F.max("sha1").alias("full_sha1"))
     revisited = found.where("type = 'revisit'").select(F.col("refers").alias("target")).distinct()
