@@ -52,14 +52,17 @@ def named_runs(asks: DataFrame) -> DataFrame:
 
 
 def name_dictionary(city_names: DataFrame, cities: DataFrame) -> DataFrame:
-    """(key, city, country, region, population, capital, weight): what each name may stand for.
+    """(key, country, region, best): the heaviest city that each name may stand for in each region: (weight, less, population, capital), less the city's id negated.
 
     A city's own name weighs three times its people, a capital's own name five times
-    that; other names of it weigh its people.
+    that; other names of it weigh its people. Only the heaviest of a region can be
+    chosen, as what follows a name narrows it to countries and regions.
     """
     own = norm_key("name") == F.col("key")
     weight = F.col("population") * F.when(own, OWN_NAME * F.when(F.col("capital"), CAPITAL).otherwise(1)).otherwise(1)
-    return city_names.join(cities, "city").select("key", "city", "country", "region", "population", "capital", weight.alias("weight"))
+    met = city_names.join(cities, "city")
+    best = F.max(F.struct(weight.alias("weight"), (-F.col("city")).alias("less"), "population", "capital")).alias("best")
+    return met.groupBy("key", "country", "region").agg(best)
 
 
 def region_dictionary(region_names: DataFrame, cities: DataFrame) -> DataFrame:
@@ -72,16 +75,19 @@ def region_dictionary(region_names: DataFrame, cities: DataFrame) -> DataFrame:
 
 def _meanings(runs: DataFrame, names: DataFrame, regions: DataFrame, region_names: DataFrame) -> DataFrame:
     """runs with what each stands for: `city`, or else `code` of a country; runs that stand for nothing are left out."""
-    run = F.struct("ask", "span", "at", "less")
-    met = runs.join(names, "key")
+    # A run's cities depend on its key and the words after it alone, so equal ones are looked up once.
+    said = F.struct("key", "rest")
+    met = runs.select("key", "rest").distinct().join(names, "key").withColumn("said", said).withColumn("place", F.struct("country", "region"))
     places = region_names.select("key", "country", "region")
-    chosen = hinted(met.select(run.alias("ask"), "city", "country", "region"), met.select(run.alias("ask"), F.col("rest").alias("words")).distinct(), places)
-    mine = met.withColumn("run", run).join(chosen.select(F.col("ask").alias("run"), "city").distinct(), ["run", "city"])
-    best = mine.groupBy("run").agg(F.max(F.struct("weight", (-F.col("city")).alias("k"), "population", "capital")).alias("b"))
-    best = best.select("run", F.struct(F.col("b.weight").alias("weight"), (-F.col("b.k")).alias("city"), "b.population", "b.capital").alias("named"))
+    chosen = hinted(
+        met.select(F.col("said").alias("ask"), F.col("place").alias("city"), "country", "region"), met.select(F.col("said").alias("ask"), F.col("rest").alias("words")).distinct(), places
+    )
+    mine = met.join(chosen.select(F.col("ask").alias("said"), F.col("city").alias("place")).distinct(), ["said", "place"])
+    best = mine.groupBy("said").agg(F.max("best").alias("b"))
+    best = best.select("said.key", "said.rest", F.struct(F.col("b.weight").alias("weight"), (-F.col("b.less")).alias("city"), "b.population", "b.capital").alias("named"))
     of_region = regions.select("key", F.struct(F.col("people").alias("weight"), "city", "population", "capital").alias("largest"))
     country = region_names.where("region = ''").groupBy("key").agg(F.min("country").alias("code"))
-    all_ = runs.withColumn("run", run).join(best, "run", "left").join(of_region, "key", "left").join(country, "key", "left")
+    all_ = runs.join(best, ["key", "rest"], "left").join(of_region, "key", "left").join(country, "key", "left")
     larger = F.col("anchored") & F.col("largest").isNotNull() & (F.col("largest.weight") > F.coalesce("named.weight", F.lit(0)))
     found = all_.withColumn("best", F.when(larger, F.col("largest")).otherwise(F.col("named")))
     great = F.coalesce((F.col("best.population") >= CITY) | F.col("best.capital"), F.lit(False))
