@@ -73,12 +73,17 @@ def key_facts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def retrieval_difference(one: DataFrame, two: DataFrame, cut: int = 120) -> DataFrame:
-    """(question, same, one, two): two builds' hits (question, rank, title, section, via, text) compared as lists."""
+    """(question, same, one, two): two builds' hits (question, rank, title, section, via, text) compared as lists.
+
+    Whole texts are compared; the lists show `cut` characters of each.
+    """
+    shown = ["rank", "title", "section", "via", "text"]
     listed = lambda hits, name: hits.groupBy("question").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "title", "section", "via", F.substring("text", 1, cut).alias("text")))).alias(name)
+        F.sort_array(F.collect_list(F.struct("rank", "title", "section", "via", F.substring("text", 1, cut).alias("text"), F.sha2("text", 256).alias("whole")))).alias(name)
     )
-    both = listed(one, "one").join(listed(two, "two"), "question", "full_outer")
-    return both.withColumn("same", F.col("one").eqNullSafe(F.col("two")))
+    both = listed(one, "one").join(listed(two, "two"), "question", "full_outer").withColumn("same", F.col("one").eqNullSafe(F.col("two")))
+    short = lambda name: F.transform(name, lambda h: F.struct(*[h[c].alias(c) for c in shown])).alias(name)
+    return both.select("question", short("one"), short("two"), "same")
 
 
 def conversations(turns: DataFrame, id_col: str, order: str, role: str, text: str, cut: int = 60) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import markup as m
 from tessella.operators import cleaning as k
+from tessella.operators import evaluation as e
 from tessella.operators import places as p
 from tessella.operators import retrieval as r
 from tessella.operators import search as s
@@ -175,6 +176,13 @@ def test_terms_begin_after_what_is_no_letter_number_or_underline(spark):
     assert [r.coverage for r in s.coverage(pairs, stems).orderBy("id").collect()] == [0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0]
 
 
+def test_hits_differ_by_what_the_lists_do_not_show(spark):
+    hit = lambda text: spark.createDataFrame([(1, 1, "t", "", "rank", text)], "question long, rank int, title string, section string, via string, text string")
+    found = e.retrieval_difference(hit("x" * 120 + "one"), hit("x" * 120 + "two")).first()
+    assert not found.same and found.one == found.two and found.one[0].text == "x" * 120
+    assert e.retrieval_difference(hit("x" * 120 + "one"), hit("x" * 120 + "one")).first().same
+
+
 def made_places(spark, seed, n=150, lats=(0.0, 40.0, -33.9, 57.5, 64.0, 89.99)):
     rng = random.Random(seed)
     spot = lambda: (rng.choice(lats) + rng.randrange(-9, 9) * 0.0004, -0.0003 + rng.randrange(-9, 9) * 0.0004)
