@@ -190,6 +190,18 @@ def made_places(spark, seed, n=150, lats=(0.0, 40.0, -33.9, 57.5, 64.0, 89.99)):
     return rows, spark.createDataFrame([*rows, (n, None, 1.0, "bar")], "id long, lat double, lon double, name string")
 
 
+def test_near_pairs_are_all_pairs_of_neighbouring_squares(spark):
+    (one, a), (two, b) = made_places(spark, 1), made_places(spark, 2)
+    metres = lambda x, y: math.sqrt(((x[1] - y[1]) * 110540.0) ** 2 + ((x[2] - y[2]) * 111320.0 * math.cos(math.radians(x[1]))) ** 2)
+    next_to = lambda x, y: all(abs(math.floor(x[i] / 0.002) - math.floor(y[i] / 0.002)) <= 1 for i in (1, 2))
+    want = {(x[0], y[0]) for x in one for y in two if metres(x, y) <= 120 and next_to(x, y)}
+    found = [(r.a, r.b) for r in p.near_pairs(a, b).collect()]
+    assert set(found) == want and len(found) == len(want) > 300
+    # Few pairs meet in small squares beyond the near ones.
+    left, right = (x.where("lat between 39 and 41") for x in p._squares(a, b, 120, 0.002))
+    assert left.join(right, ["fy", "fx"]).count() < 4 * sum(39 < one[x][1] < 41 for x, _ in want)
+
+
 def test_matches_are_those_of_all_pairs_and_copies_do_not_meet(spark):
     (_, a), (_, b) = made_places(spark, 3), made_places(spark, 4)
     want = p.mutual_best(p.alike(p.near_pairs(a, b)))
