@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,11 @@ from tessella.llm.shared import bound_batches, kept, small
 from tessella.llm.tokenization import breaks_before_spaces, load
 from tessella.llm.workers import KEPT, tidy
 
-#: Segments that a worker remembers, of at most SEGMENT_CHARS characters each: some 100 MB at most.
-SEGMENTS = 200_000
+#: Segments that a worker remembers, of at most SEGMENT_CHARS characters each: some 150 MB at most.
+SEGMENTS = 350_000
 SEGMENT_CHARS = 48
 #: Characters of new segments that are encoded and aligned together.
-LINE = 1_000_000
+LINE = 200_000
 #: Ids of the second tokenizer fit so many bits of a pair's code.
 SHIFT = 20
 #: A pair's code has so many bits; a batch's rows are counted above them.
@@ -123,13 +125,28 @@ def groups_and_links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray
     return cuts, a.rank(after), b.rank(after), a.rank(ends), b.rank(ends)
 
 
-class Aligned:
-    """What a segment gives: numbers of tokens, groups, the groups as text, and the code of each link's pair."""
+#: Longs of a segment before its pairs.
+HEAD = 3
 
-    __slots__ = ("a", "b", "groups", "pairs", "shown")
 
-    def __init__(self, a: int, b: int, groups: int, shown: str, pairs: np.ndarray):
-        self.a, self.b, self.groups, self.shown, self.pairs = a, b, groups, shown, pairs
+class Aligned(NamedTuple):
+    """What a segment gives: the groups as text; as packed longs its numbers of tokens of either side and of groups, then the code of each link's pair."""
+
+    shown: str
+    packed: bytes
+
+
+def unpacked(found: list[list[Aligned] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row for each of n_a, n_b and n_groups, a column for each text; links of each text; the pairs of all texts in order)."""
+    packed = [x.packed for parts in found for x in parts or ()]
+    edges = starts_of(np.array([len(parts or ()) for parts in found], np.int64))
+    starts = starts_of(np.array(list(map(len, packed)), np.int64) >> 3)
+    longs = np.frombuffer(b"".join(packed), np.int64)
+    sums = np.array([np.diff(starts_of(longs[starts[:-1] + k])[edges]) for k in range(HEAD)])
+    keep = np.ones(len(longs), bool)
+    for k in range(HEAD):
+        keep[starts[:-1] + k] = False
+    return sums, np.diff(starts[edges]) - HEAD * np.diff(edges), longs[keep]
 
 
 class Aligner:
@@ -140,6 +157,8 @@ class Aligner:
         self.first.encode_special_tokens = True
         self.bytes_a, self.bytes_b = entry_bytes(path_a), entry_bytes(path_b)
         self.size_a, self.size_b = (np.array([len(x) for x in found], np.int64) for found in (self.bytes_a, self.bytes_b))
+        #: Each id as text before a comma, a bar and a semicolon.
+        self.signed = np.array([f"{i}{sign}" for sign in ",|;" for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object)
         self.cuts, self.most = can_cut(path_a, path_b), most
         self.known: dict[str, Aligned | None] = {}
 
@@ -147,38 +166,52 @@ class Aligner:
         a = [e.ids for e in self.first.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)]
         return a, self.second.encode(parts, num_threads=1)
 
-    def same_bytes(self, part: str, a: list[int], b: list[int]) -> bool:
-        """Whether both sides' tokens join to a space and the part."""
-        raw = f" {part}".encode()
-        return b"".join(self.bytes_a[i] for i in a) == raw and b"".join(self.bytes_b[i] for i in b) == raw
+    def _joined(self, parts: list[str], ids_a: np.ndarray, edge_a: np.ndarray, ids_b: np.ndarray, edge_b: np.ndarray) -> np.ndarray:
+        """Whether both sides' tokens of each part join to a space and the part: lengths first, then the bytes of all parts at once."""
+        raw = [f" {p}".encode() for p in parts]
+        sizes = np.array(list(map(len, raw)), np.int64)
+        good = (np.diff(starts_of(self.size_a[ids_a])[edge_a]) == sizes) & (np.diff(starts_of(self.size_b[ids_b])[edge_b]) == sizes)
+        want = np.frombuffer(b"".join(raw if good.all() else compress(raw, good.tolist())), np.uint8)
+        lengths, ends, checked = good.copy(), np.cumsum(sizes[good]), np.flatnonzero(good)
+        for entries, ids, edges in ((self.bytes_a, ids_a, edge_a), (self.bytes_b, ids_b, edge_b)):
+            here = ids if len(checked) == len(parts) else ids[np.repeat(lengths, np.diff(edges))]
+            found = np.frombuffer(b"".join(map(entries.__getitem__, here.tolist())), np.uint8)
+            good[checked[np.searchsorted(ends, np.flatnonzero(found != want), side="right")]] = False
+        return good
 
     def _line(self, parts: list[str]) -> list[Aligned | None]:
         """Each part's alignment; None where its tokens don't join to it."""
         every_a, every_b = self._encoded(parts)
-        good = [k for k, p in enumerate(parts) if self.same_bytes(p, every_a[k], every_b[k])]
         found: list[Aligned | None] = [None] * len(parts)
-        if not good:
+        counts_a, counts_b = (np.array(list(map(len, every)), np.int64) for every in (every_a, every_b))
+        ids_a, ids_b = (np.array(list(chain.from_iterable(every)), np.int64) for every in (every_a, every_b))
+        good = self._joined(parts, ids_a, starts_of(counts_a), ids_b, starts_of(counts_b))
+        if not good.any():
             return found
-        ids_a, ids_b = (np.array([i for k in good for i in every[k]], np.int64) for every in (every_a, every_b))
+        if not good.all():
+            ids_a, ids_b = ids_a[np.repeat(good, counts_a)], ids_b[np.repeat(good, counts_b)]
         cuts, first_a, first_b, link_a, link_b = groups_and_links(np.cumsum(self.size_a[ids_a]) - 1, np.cumsum(self.size_b[ids_b]) - 1)
         pairs = (ids_a[link_a] << SHIFT) | ids_b[link_b]
-        edge_a, edge_b = (starts_of(np.array([len(every[k]) for k in good])) for every in (every_a, every_b))
+        edge_a, edge_b = starts_of(counts_a[good]), starts_of(counts_b[good])
         # A part's bytes end at a shared cut, so parts are runs of groups and of links.
         edge_group, edge_link = np.searchsorted(first_a, edge_a), np.searchsorted(link_a, edge_a)
-        first_a, first_b = [*first_a.tolist(), len(ids_a)], [*first_b.tolist(), len(ids_b)]
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        shown = [
-            f"{','.join(text_a[first_a[g] : first_a[g + 1]])}|{','.join(text_b[first_b[g] : first_b[g + 1]])}"
-            for g in range(len(cuts))
-        ]
-        for at, k in enumerate(good):
-            g, h = int(edge_group[at]), int(edge_group[at + 1])
-            found[k] = Aligned(
-                int(edge_a[at + 1] - edge_a[at]), int(edge_b[at + 1] - edge_b[at]), h - g, ";".join(shown[g:h]),
-                pairs[edge_link[at] : edge_link[at + 1]].copy(),
-            )
+        heads = np.stack([np.diff(edge_a), np.diff(edge_b), np.diff(edge_group)], axis=1)
+        packed, edge_packed = np.insert(pairs, np.repeat(edge_link[:-1], HEAD), heads.ravel()).tobytes(), (edge_link + HEAD * np.arange(len(edge_link))).tolist()
+        shown, edge_shown = self._shown(ids_a, ids_b, first_a, first_b), (edge_a + edge_b).tolist()
+        for at, k in enumerate(np.flatnonzero(good).tolist()):
+            found[k] = Aligned("".join(shown[edge_shown[at] : edge_shown[at + 1]])[:-1], packed[8 * edge_packed[at] : 8 * edge_packed[at + 1]])
         return found
 
+    def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> list[str]:
+        """The ids of both sides in the order of their groups, each with the sign that follows it."""
+        ends_a, ends_b = np.append(first_a[1:], len(ids_a)), np.append(first_b[1:], len(ids_b))
+        code_a, code_b, order = ids_a.copy(), ids_b.copy(), np.empty(len(ids_a) + len(ids_b), np.int64)
+        code_a[ends_a - 1] += len(self.signed) // 3
+        code_b[ends_b - 1] += len(self.signed) // 3 * 2
+        order[np.arange(len(ids_a)) + np.repeat(first_b, ends_a - first_a)] = code_a
+        order[np.arange(len(ids_b)) + np.repeat(ends_a, ends_b - first_b)] = code_b
+        return self.signed[order].tolist()
+
     def _lines(self, parts: list[str]) -> Iterator[Aligned | None]:
         held, size = [], 0
         for part in parts:
@@ -226,7 +259,6 @@ def worker_aligner(path_a: str, path_b: str) -> Aligner:
     return _ALIGNERS[path_a, path_b]
 
 
-_NONE = np.zeros(0, np.int64)
 _KINDS = "n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs array<long>, times array<long>"
 
 
@@ -245,15 +277,13 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_
         aligner = worker_aligner(path_a, path_b)
         for batch in gathered(batches):
             found = aligner.align(text_array(batch.column(1)).to_pylist())
-            runs = [np.concatenate([x.pairs for x in parts]) if parts else _NONE for parts in found]
-            owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-            keys, times = np.unique((owner << OWNER) | np.concatenate([*runs, _NONE]), return_counts=True)
-            edges = pa.array(np.searchsorted(keys >> OWNER, np.arange(len(runs) + 1)).astype(np.int32))
-            shown = [";".join(x.shown for x in parts) if parts else "" for parts in found]
-            sums = [np.array([sum(getattr(x, name) for x in parts or ()) for parts in found], np.int64) for name in ("a", "b", "groups")]
+            sums, links, pairs = unpacked(found)
+            keys, times = np.unique((np.repeat(np.arange(len(found)), links) << OWNER) | pairs, return_counts=True)
+            edges = pa.array(np.searchsorted(keys >> OWNER, np.arange(len(found) + 1)).astype(np.int32))
+            shown = [";".join([x.shown for x in parts]) if parts else "" for parts in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), *map(pa.array, sums), pa.array([len(r) for r in runs], pa.int64()),
+                    batch.column(0), *map(pa.array, sums), pa.array(links),
                     pa.array(shown if groups else [None] * len(shown), pa.string()),
                     pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown], pa.string()),
                     pa.ListArray.from_arrays(edges, pa.array(keys & ((1 << OWNER) - 1))), pa.ListArray.from_arrays(edges, pa.array(times)),

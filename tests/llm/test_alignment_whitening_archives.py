@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import math
+import sys
 import zipfile
 import zlib
 from bisect import bisect_left
@@ -116,6 +117,18 @@ def test_aligner_forgets_and_stays_right(plain, sf_dir, spark):
         assert len(one.known) <= 30 and all(len(p) <= alignment.SEGMENT_CHARS for p in one.known)
 
 
+def test_segments_are_small_and_give_each_text_its_numbers(plain):
+    texts = [*ODD, "one two  three", "ab cd", ""]
+    found = alignment.Aligner(BYTE, PIECE).align(texts)
+    sums, links, pairs = alignment.unpacked(found)
+    groups = [plain.row(t)[2] for t in texts]
+    assert sums[2].tolist() == [g.count(";") + 1 if g else 0 for g in groups] and links.sum() == len(pairs)
+    assert [len(p) for p in sums[:2]] == [len(texts)] * 2
+    for side in (0, 1):
+        assert sums[side].tolist() == [sum(x.split("|")[side].count(",") + 1 for x in g.split(";")) if g else 0 for g in groups]
+    assert all(sys.getsizeof(x) + sum(map(sys.getsizeof, x)) < 500 for x in found[-2])
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 300), min_size=1), st.integers(0, 300))
 def test_bits_rank_and_select(places, at):
