@@ -134,16 +134,29 @@ def fork_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.fork_stages(history, documents, dates)
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to scratch and read back: what they come from is computed once."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def retrieval_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose five best passages change when popularity counts."""
     from tessella.plans import passages as pp
 
     index, docs = pp._index(spark, sf_dir, "lines"), articles(spark, sf_dir)
     terms = pp._terms(index, pp._items(spark, sf_dir))
+    # The best five of all are those of the pool, which is kept, as are the passages shown.
+    pool = _stored(pp.p.top_passages(index, terms, _POOL), "pool")
+    one, two = pool.where(F.col("rank") <= _BEST), pp.p.with_popularity(pool, docs, per_article=_BEST).where(F.col("rank") <= _BEST)
+    named = ["question", "rank", "article_id", "start"]
+    hits = _stored(one.select(F.lit(1).alias("build"), *named).unionByName(two.select(F.lit(2).alias("build"), *named)), "shown")
+    # Texts aren't shuffled to meet the few that are shown: the hits come to them.
+    met = F.broadcast(hits) if hits.count() <= pp.p.BROADCAST_ROWS else hits
     text = pp.line_passages(spark, sf_dir).select("article_id", "start", "title", "section", F.col("body").alias("text"))
-    one, two = pp.p.top_passages(index, terms, 5), pp.p.ranked_passages(index, terms, docs, per_article=5).where("rank <= 5")
-    shown = lambda hits: hits.select("question", "rank", "article_id", "start").join(text, ["article_id", "start"]).withColumn("via", F.lit("rank"))
-    found = e.retrieval_difference(shown(one), shown(two))
+    shown = _stored(text.join(met, ["article_id", "start"]).withColumn("via", F.lit("rank")), "texts")
+    found = e.retrieval_difference(shown.where("build = 1"), shown.where("build = 2"))
     return found.select(F.col("question").alias("item_id"), "same", F.array_join(F.transform("two", lambda h: F.md5(h["text"])), ",").alias("two"))
 
 
